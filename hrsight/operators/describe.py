@@ -306,25 +306,30 @@ def satisfaction_levels(df: DataFrame, roles: Roles | None = None) -> DataFrame:
             .orderBy("series", "level"))
 
 
-def department_pay_gap(df: DataFrame, roles: Roles | None = None) -> DataFrame:
-    """Spread of department mean income: (max - min) / mean of the
-    department means * 100, with the departments at both ends (ties: first
-    name alphabetically)."""
+def pay_gap_raw(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+    """One row: the departments with the highest and lowest mean income
+    (ties: first name alphabetically), both means and the gap
+    (max - min) / mean of the department means * 100, unrounded."""
     roles = Roles.of(roles)
     dept, inc = roles.col(df, "department"), roles.col(df, "income")
-    if dept is None or inc is None:
-        return df.sparkSession.createDataFrame(
-            [], "max_department string, max_avg_income double, min_department string, "
-                "min_avg_income double, pay_gap_pct double")
     means = (df.where(F.col(dept).isNotNull()).groupBy(dept)
              .agg(F.avg(F.col(inc).cast("double")).alias("m")))
-    agg = means.agg(
+    return means.agg(
         F.min_by(F.col(dept), F.struct(F.negative(F.col("m")), F.col(dept))).alias("max_department"),
+        F.max("m").alias("max_avg_income"),
         F.min_by(F.col(dept), F.struct(F.col("m"), F.col(dept))).alias("min_department"),
-        F.max("m").alias("max_avg_income"), F.min("m").alias("min_avg_income"),
-        F.avg("m").alias("mean_of_means"))
-    return agg.select(
+        F.min("m").alias("min_avg_income"),
+        (F.try_divide(F.max("m") - F.min("m"), F.avg("m")) * F.lit(100.0)).alias("gap"))
+
+
+def department_pay_gap(df: DataFrame, roles: Roles | None = None) -> DataFrame:
+    """Spread of department mean income (A24), rounded for display."""
+    roles = Roles.of(roles)
+    if not roles.has(df, "department", "income"):
+        return df.sparkSession.createDataFrame(
+            [], "max_department string, max_avg_income double, min_department string, "
+                "min_avg_income double, pay_gap_pct double")
+    return pay_gap_raw(df, roles).select(
         "max_department", rnd(F.col("max_avg_income"), 0).alias("max_avg_income"),
         "min_department", rnd(F.col("min_avg_income"), 0).alias("min_avg_income"),
-        rnd(F.try_divide(F.col("max_avg_income") - F.col("min_avg_income"), F.col("mean_of_means"))
-            * F.lit(100.0), 2).alias("pay_gap_pct"))
+        rnd(F.col("gap"), 2).alias("pay_gap_pct"))

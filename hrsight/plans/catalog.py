@@ -12,9 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hrsight.operators import describe
+from pyspark.sql import functions as F
+
+from hrsight.operators import activity, describe, findings, lookup, profile, projection, scores
 from hrsight.roles import Roles
-from hrsight.sources.fixture import employee_view, with_emp
+from hrsight.sources.fixture import employee_view, table, with_emp
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -142,3 +144,250 @@ UNION ALL SELECT 'department', Department, round_even(avg(MonthlyIncome), 0)
 UNION ALL SELECT 'job_role', JobRole, round_even(avg(MonthlyIncome), 0)
   FROM emp WHERE JobRole IS NOT NULL GROUP BY JobRole
 """))(lambda spark, sf: describe.pay_by_group(emp(spark, sf), ROLES))
+
+
+# ---- A11 - A16 -----------------------------------------------------------
+
+def _scores_sql(keys: list[str]) -> str:
+    sel = "".join(f"{k}, " for k in keys)
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    where = " AND ".join(f"{k} IS NOT NULL" for k in keys) or "true"
+    join = f"JOIN st USING ({', '.join(keys)})" if keys else ", st"
+    risk_parts = ["CASE WHEN r > 10.0 THEN least(100.0, r * 5.0) END",
+                  "CASE WHEN sat < 2.5 THEN 70.0 END", "CASE WHEN wlb < 2.5 THEN 60.0 END"]
+    risk_sum = " + ".join(f"coalesce({p}, 0.0)" for p in risk_parts)
+    risk_n = " + ".join(f"CASE WHEN ({p}) IS NULL THEN 0 ELSE 1 END" for p in risk_parts)
+    return with_emp(f"""
+WITH s AS (
+  SELECT {sel}{rate_sql()} AS r, avg(JobSatisfaction) AS sat, avg(EnvironmentSatisfaction) AS env,
+    avg(WorkLifeBalance) AS wlb, avg(JobInvolvement) AS inv, avg(PerformanceRating) AS rat,
+    avg(YearsAtCompany) AS ten, avg(TrainingTimesLastYear) AS tr
+  FROM emp WHERE {where} {grp}),
+d AS (SELECT {sel}Department, {rate_sql()} AS r FROM emp WHERE Department IS NOT NULL AND {where}
+      GROUP BY {sel}Department),
+st AS (SELECT {sel}round_even(avg(greatest(0.0, 100.0 - r * 3.0)), 1) AS department_stability_score
+       FROM d {grp})
+SELECT {sel}
+  round_even((sat / 4.0 * 100.0 + env / 4.0 * 100.0 + wlb / 4.0 * 100.0
+              + least(greatest((rat - 3.0) / 1.0 * 100.0, 0.0), 100.0)
+              + greatest(0.0, 100.0 - r * 5.0)) / 5.0, 1) AS workforce_health_score,
+  round_even((inv / 4.0 * 100.0 + sat / 4.0 * 100.0 + env / 4.0 * 100.0) / 3.0, 1) AS engagement_score,
+  round_even(coalesce(({risk_sum}) / nullif(CAST({risk_n} AS DOUBLE), 0), r * 3.0), 1) AS workforce_risk_index,
+  round_even(greatest(0.0, 100.0 - r * 4.0), 1) AS retention_effectiveness,
+  round_even((rat / 4.0 * 100.0 + least(ten / 10.0 * 100.0, 100.0) + least(tr / 5.0 * 100.0, 100.0)) / 3.0, 1)
+    AS productivity_score,
+  department_stability_score
+FROM s {join}
+""")
+
+
+register("workforce_scores", _scores_sql([]))(
+    lambda spark, sf: scores.workforce_scores(emp(spark, sf), ROLES))
+register("scores_by_gender", _scores_sql(["Gender"]))(
+    lambda spark, sf: scores.workforce_scores(emp(spark, sf), ROLES, by="Gender"))
+register("scores_by_department", _scores_sql(["Department"]))(
+    lambda spark, sf: scores.workforce_scores(emp(spark, sf), ROLES, by="Department"))
+
+
+# ---- R1 - R6, I1 - I6 ------------------------------------------------------
+
+OT_YES = "coalesce(lower(OverTime) IN ('yes', '1', 'true'), false)"
+
+register("recommendations", with_emp(f"""
+WITH q AS (SELECT quantile_cont(MonthlyIncome, 0.25) AS q25 FROM emp),
+ev AS (
+  SELECT count(*) AS n, {rate_sql('MonthlyIncome < q25')} AS low_income_rate,
+    {cnt_if('JobSatisfaction <= 2')} AS low_sat_count, {rate_sql(OT_YES)} AS overtime_rate,
+    {rate_sql('YearsSinceLastPromotion > 5')} AS no_promo_rate
+  FROM emp, q),
+d AS (SELECT Department, {rate_sql()} AS r FROM emp WHERE Department IS NOT NULL GROUP BY Department),
+fired AS (
+  SELECT 1 AS rule_no, 'Department Risk' AS category, 'High' AS priority, Department AS target,
+         r AS metric_value, CAST(NULL AS BIGINT) AS employees FROM d WHERE r > 20.0
+  UNION ALL SELECT 2, 'Compensation', 'High', 'Low-income employees', low_income_rate, NULL
+    FROM ev WHERE low_income_rate > 15.0
+  UNION ALL SELECT 3, 'Employee Satisfaction', 'Medium', 'Low satisfaction employees',
+    {pct_sql('low_sat_count', 'n')}, low_sat_count FROM ev WHERE low_sat_count > n * CAST(0.15 AS DOUBLE)
+  UNION ALL SELECT 4, 'Workload Management', 'High', 'Overtime employees', overtime_rate, NULL
+    FROM ev WHERE overtime_rate > 20.0
+  UNION ALL SELECT 5, 'Career Growth', 'Medium', 'Long-tenure without promotion', no_promo_rate, NULL
+    FROM ev WHERE no_promo_rate > 15.0)
+SELECT * FROM fired
+UNION ALL SELECT 6, 'General', 'Low', 'All employees', NULL, NULL WHERE (SELECT count(*) FROM fired) = 0
+"""))(lambda spark, sf: findings.recommendations(emp(spark, sf), ROLES).select(
+    "rule_no", "category", "priority", "target", "metric_value", "employees"))
+
+register("insights", with_emp(f"""
+WITH q AS (SELECT quantile_cont(MonthlyIncome, 0.5) AS med FROM emp),
+ev AS (
+  SELECT {rate_sql(OT_YES)} AS ot, {rate_sql('NOT ' + OT_YES)} AS no_ot,
+    {rate_sql('MonthlyIncome < med')} AS lo_inc, {rate_sql('MonthlyIncome >= med')} AS hi_inc,
+    {rate_sql('JobSatisfaction <= 2')} AS lo_sat, {rate_sql('JobSatisfaction >= 4')} AS hi_sat,
+    avg(Age) AS age
+  FROM emp, q),
+m AS (SELECT Department, avg(MonthlyIncome) AS m FROM emp WHERE Department IS NOT NULL GROUP BY Department),
+g AS (SELECT (max(m) - min(m)) / avg(m) * 100.0 AS gap FROM m)
+SELECT 1 AS rule_no, 'Attrition Driver' AS type, 'High' AS severity, ot AS metric_value, no_ot AS compare_value
+  FROM ev WHERE ot > no_ot * 1.5
+UNION ALL SELECT 2, 'Compensation Risk', 'High', lo_inc, hi_inc FROM ev WHERE lo_inc > hi_inc * 1.5
+UNION ALL SELECT 3, 'Satisfaction Risk', 'Critical', lo_sat, hi_sat FROM ev WHERE lo_sat > hi_sat * 2.0
+UNION ALL SELECT 4, 'Pay Equity', 'Medium', round_even(gap, 2), NULL FROM g WHERE gap > 30.0
+UNION ALL SELECT 5, 'Aging Workforce', 'Medium', round_even(age, 1), NULL FROM ev WHERE age > 45.0
+UNION ALL SELECT 6, 'Young Workforce', 'Low', round_even(age, 1), NULL FROM ev WHERE age < 28.0
+"""))(lambda spark, sf: findings.insights(emp(spark, sf), ROLES).select(
+    "rule_no", "type", "severity", "metric_value", "compare_value"))
+
+
+# ---- A17, A24, A25, A27 --------------------------------------------------
+
+register("attrition_crosstab", with_emp(f"""
+SELECT Department AS department, JobRole AS job_role, count(*) AS employees, {rate_sql()} AS attrition_pct
+FROM emp WHERE Department IS NOT NULL AND JobRole IS NOT NULL GROUP BY Department, JobRole
+"""))(lambda spark, sf: describe.attrition_crosstab(emp(spark, sf), ROLES))
+
+register("department_pay_gap", with_emp("""
+WITH m AS (SELECT Department, avg(MonthlyIncome) AS m FROM emp WHERE Department IS NOT NULL GROUP BY Department)
+SELECT first(Department ORDER BY m DESC, Department) AS max_department, round_even(max(m), 0) AS max_avg_income,
+  first(Department ORDER BY m ASC, Department) AS min_department, round_even(min(m), 0) AS min_avg_income,
+  round_even((max(m) - min(m)) / avg(m) * 100.0, 2) AS pay_gap_pct
+FROM m
+"""))(lambda spark, sf: describe.department_pay_gap(emp(spark, sf), ROLES))
+
+
+def _hist_sql(col: str, bins: int) -> str:
+    return with_emp(f"""
+WITH v AS (SELECT CAST({col} AS DOUBLE) AS x FROM emp WHERE {col} IS NOT NULL),
+mm AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+b AS (SELECT CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / ((hi - lo) / {float(bins)})), {bins - 1}) END
+             AS INTEGER) AS bin, lo, hi FROM v, mm)
+SELECT bin, round_even(lo + bin * (hi - lo) / {bins}, 4) AS bin_lo,
+  round_even(lo + (bin + 1) * (hi - lo) / {bins}, 4) AS bin_hi, count(*) AS n
+FROM b GROUP BY bin, lo, hi
+""")
+
+
+for _role, _col, _bins in (("income", "MonthlyIncome", 30), ("age", "Age", 20), ("tenure", "YearsAtCompany", 15)):
+    register(f"histogram_{_role}", _hist_sql(_col, _bins))(
+        lambda spark, sf, _r=_role, _b=_bins: describe.role_histogram(emp(spark, sf), ROLES, _r, _b))
+
+register("satisfaction_levels", with_emp("""
+WITH long AS (
+  SELECT 'JobSatisfaction' AS c, JobSatisfaction AS level FROM emp
+  UNION ALL SELECT 'EnvironmentSatisfaction', EnvironmentSatisfaction FROM emp
+  UNION ALL SELECT 'WorkLifeBalance', WorkLifeBalance FROM emp
+  UNION ALL SELECT 'JobInvolvement', JobInvolvement FROM emp)
+SELECT replace(replace(c, 'Satisfaction', ' Sat'), 'Balance', ' Balance') AS series, CAST(level AS INTEGER) AS level,
+  'Level ' || CAST(level AS VARCHAR) AS label, count(*) AS n
+FROM long WHERE level IS NOT NULL GROUP BY c, level
+"""))(lambda spark, sf: describe.satisfaction_levels(emp(spark, sf), ROLES))
+
+
+# ---- A19 - A22 -----------------------------------------------------------
+
+NUMERIC = ["EducationLevel", "Age", "MonthlyIncome", "YearsAtCompany", "YearsSinceLastPromotion",
+           "NumCompaniesWorked", "TrainingTimesLastYear", "JobSatisfaction", "EnvironmentSatisfaction",
+           "WorkLifeBalance", "JobInvolvement", "PerformanceRating"]
+TEXT = ["EmployeeID", "Gender", "Department", "JobRole", "Education", "OverTime", "Attrition"]
+ALL_COLUMNS = ["EmployeeID", "Gender", "Department", "JobRole", "Education", "EducationLevel", "Age",
+               "MonthlyIncome", "YearsAtCompany", "YearsSinceLastPromotion", "NumCompaniesWorked",
+               "TrainingTimesLastYear", "JobSatisfaction", "EnvironmentSatisfaction", "WorkLifeBalance",
+               "JobInvolvement", "PerformanceRating", "OverTime", "Attrition"]
+SPARK_TYPES = {c: "string" for c in TEXT} | {c: "int" for c in NUMERIC} | {"MonthlyIncome": "double"}
+
+
+def _corr_sql() -> str:
+    parts = []
+    for i, a in enumerate(NUMERIC):
+        for b in NUMERIC[i:]:
+            xa = f"CASE WHEN {b} IS NOT NULL THEN CAST({a} AS DOUBLE) END"
+            xb = f"CASE WHEN {a} IS NOT NULL THEN CAST({b} AS DOUBLE) END"
+            r = f"covar_pop({xa}, {xb}) / nullif(stddev_pop({xa}) * stddev_pop({xb}), 0)"
+            parts.append(f"SELECT '{a}' AS x, '{b}' AS y, round_even({r}, 6) AS r FROM emp")
+            if a != b:
+                parts.append(f"SELECT '{b}' AS x, '{a}' AS y, round_even({r}, 6) AS r FROM emp")
+    return with_emp("\nUNION ALL ".join(parts))
+
+
+register("correlation_matrix", _corr_sql())(
+    lambda spark, sf: profile.correlation_matrix(emp(spark, sf), NUMERIC))
+
+register("profile_nulls", with_emp("\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS position, '{SPARK_TYPES[c]}' AS dtype, {cnt_if(c + ' IS NULL')} AS null_count, "
+    f"{pct_sql(cnt_if(c + ' IS NULL'), 'count(*)')} AS null_pct, count(*) AS rows, {len(ALL_COLUMNS)} AS columns FROM emp"
+    for i, c in enumerate(ALL_COLUMNS))))(lambda spark, sf: profile.null_profile(emp(spark, sf)))
+
+register("profile_numeric", with_emp("\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", round_even(avg(CAST({c} AS DOUBLE)), 2) AS mean, "
+    f"round_even(stddev_samp(CAST({c} AS DOUBLE)), 2) AS std, round_even(min(CAST({c} AS DOUBLE)), 2) AS min, "
+    f"round_even(max(CAST({c} AS DOUBLE)), 2) AS max, "
+    f"round_even(quantile_cont(CAST({c} AS DOUBLE), 0.5), 2) AS median FROM emp" for c in NUMERIC)))(
+    lambda spark, sf: profile.numeric_profile(emp(spark, sf), NUMERIC))
+
+register("profile_categorical", with_emp("""
+WITH long AS (""" + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM emp" for c in TEXT) + """),
+counts AS (SELECT "column", value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL),
+uniq AS (SELECT "column", count(*) AS unique_count FROM counts GROUP BY "column"),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS rank
+           FROM counts)
+SELECT "column", unique_count, rank, value, n FROM ranked JOIN uniq USING ("column") WHERE rank <= 5
+"""))(lambda spark, sf: profile.categorical_profile(emp(spark, sf), TEXT))
+
+
+# ---- W1 ------------------------------------------------------------------
+
+def _projection_sql(keys: list[str], periods: int = 12) -> str:
+    sel = "".join(f"{k}, " for k in keys)
+    grp = f"GROUP BY {', '.join(keys)}" if keys else ""
+    where = " AND ".join(f"{k} IS NOT NULL" for k in keys) or "true"
+    return with_emp(f"""
+WITH s AS (SELECT {sel}count(*) AS n0, {rate_sql()} AS r0 FROM emp WHERE {where} {grp}),
+m AS (SELECT {sel}n0, r0, CAST(month AS INTEGER) AS month,
+        CAST(floor(n0 * 0.02 / 12.0) AS BIGINT) AS step,
+        least(greatest(greatest(5.0, r0 * pow(0.98, CAST(month AS DOUBLE))), 0.0), 50.0) AS r
+      FROM s, range(1, {periods + 1}) t(month)),
+d AS (SELECT *, CAST(floor((n0 + (month - 1) * step) * r / 100.0 / 12.0) AS BIGINT) AS dep FROM m)
+SELECT {sel}month, round_even(r, 2) AS projected_attrition_rate, dep AS projected_departures,
+  n0 + month * step AS projected_size, dep + step AS hiring_needed
+FROM d
+""")
+
+
+register("projection", _projection_sql([]))(
+    lambda spark, sf: projection.projection(emp(spark, sf), ROLES))
+register("projection_by_department", _projection_sql(["Department"]))(
+    lambda spark, sf: projection.projection(emp(spark, sf), ROLES, by="Department"))
+
+
+# ---- P13 - P15 -----------------------------------------------------------
+
+SEARCH_TERM = "emp_12"
+
+register("preview", with_emp("SELECT * FROM emp ORDER BY EmployeeID LIMIT 50"))(
+    lambda spark, sf: lookup.preview(emp(spark, sf), ROLES, 50))
+register("employee_search", with_emp(
+    f"SELECT * FROM emp WHERE contains(lower(EmployeeID), '{SEARCH_TERM}') ORDER BY EmployeeID LIMIT 20"))(
+    lambda spark, sf: lookup.employee_search(emp(spark, sf), SEARCH_TERM, ROLES))
+register("department_search", with_emp(
+    "SELECT DISTINCT Department AS department FROM emp WHERE Department IS NOT NULL "
+    "AND contains(lower(Department), 'ur')"))(
+    lambda spark, sf: lookup.department_search(emp(spark, sf), "UR", ROLES))
+
+
+# ---- K8 / P17 on the events table -----------------------------------------
+
+register("activity_latest", """
+SELECT user_id, CAST(rank AS INTEGER) AS rank, event_id, ts, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
+WHERE rank <= 5
+""")(lambda spark, sf: activity.latest_per_user(
+    table(spark, sf, "events"), 5, ts_col="ts", tie_col="event_id")
+    .select("user_id", "rank", "event_id", "ts", "event_type"))
+
+register("activity_user_history", """
+SELECT event_id, ts, user_id, event_type FROM events
+WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 100
+""")(lambda spark, sf: activity.history(
+    table(spark, sf, "events"),
+    table(spark, sf, "events").agg(F.min("user_id")).collect()[0][0], 100, ts_col="ts", tie_col="event_id")
+    .select("event_id", "ts", "user_id", "event_type"))
