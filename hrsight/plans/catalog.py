@@ -391,3 +391,175 @@ WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY ts DESC, event_id DES
     table(spark, sf, "events"),
     table(spark, sf, "events").agg(F.min("user_id")).collect()[0][0], 100, ts_col="ts", tie_col="event_id")
     .select("event_id", "ts", "user_id", "event_type"))
+
+
+# ---- M1 - M17: models ----------------------------------------------------
+# Training is iterative (no SQL equivalent): the model queries have no
+# oracle. They share one training run per (session, data folder).
+
+_TRAINED: dict = {}
+
+
+def trained(spark: SparkSession, sf: str):
+    from hrsight.ml import train
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = train.train_models(emp(spark, sf), ROLES, settings=train.LIGHT, cv_folds=5,
+                                           parallelism=4)
+    return _TRAINED[key]
+
+
+def _ml(fn):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return fn(spark, sf, trained(spark, sf))
+    return run
+
+
+register("class_weights", with_emp(f"""
+WITH l AS (SELECT CASE WHEN {LEFT} THEN 1.0 ELSE 0.0 END AS label FROM emp WHERE Attrition IS NOT NULL),
+c AS (SELECT label, count(*) AS n_c FROM l GROUP BY label)
+SELECT label, n_c, CAST((SELECT sum(n_c) FROM c) AS DOUBLE) / ((SELECT count(*) FROM c) * n_c) AS class_weight FROM c
+"""))(lambda spark, sf: _prep().class_weights(_prep().labelled(emp(spark, sf), ROLES)))
+
+
+def _prep():
+    from hrsight.ml import prep
+    return prep
+
+
+def _split_counts(spark: SparkSession, sf: str) -> DataFrame:
+    prep = _prep()
+    data = prep.row_key(prep.labelled(emp(spark, sf), ROLES), ROLES)
+    train, test = prep.split(data)
+    return (train.select(F.lit("train").alias("split"), "label", "fold")
+            .unionByName(test.select(F.lit("test").alias("split"), "label", F.lit(None).cast("int").alias("fold")))
+            .groupBy("split", "label", "fold").agg(F.count(F.lit(1)).alias("n")))
+
+
+register("ml_split_counts")(_split_counts)
+register("ml_metrics")(_ml(lambda spark, sf, r: r.results))
+register("ml_feature_importance")(_ml(lambda spark, sf, r: __import__(
+    "hrsight.ml.train", fromlist=["x"]).feature_importance(r, top=15)))
+register("ml_model_comparison")(_ml(lambda spark, sf, r: __import__(
+    "hrsight.ml.train", fromlist=["x"]).model_comparison(r)))
+register("ml_roc")(_ml(lambda spark, sf, r: __import__("hrsight.ml.train", fromlist=["x"]).roc_curves(r)))
+
+
+def _scores_frame(spark, sf, r):
+    from hrsight.ml import score
+    return score.predict_with(r, emp(spark, sf), ROLES)
+
+
+register("ml_risk_distribution")(_ml(lambda spark, sf, r: __import__(
+    "hrsight.ml.score", fromlist=["x"]).risk_distribution(_scores_frame(spark, sf, r))))
+register("ml_top_risk")(_ml(lambda spark, sf, r: __import__(
+    "hrsight.ml.score", fromlist=["x"]).top_risk(_scores_frame(spark, sf, r), 100)))
+
+# Metric formulas (M10) on a fixed rule score, checked against SQL.
+_FIXED_SCORE_SQL = (f"round_even((CASE WHEN {OT_YES} THEN 40 ELSE 0 END"
+                    " + CASE WHEN coalesce(JobSatisfaction <= 2, false) THEN 35 ELSE 0 END"
+                    " + CASE WHEN coalesce(MonthlyIncome < 1200, false) THEN 20 ELSE 0 END"
+                    " + CASE WHEN coalesce(YearsSinceLastPromotion > 5, false) THEN 5 ELSE 0 END) / 100.0, 2)")
+
+
+def _fixed_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.ml import evaluate
+    sc = emp(spark, sf).selectExpr(f"{_FIXED_SCORE_SQL.replace('round_even', 'bround')} AS p_left",
+                                   f"CASE WHEN {LEFT} THEN 1.0 ELSE 0.0 END AS label")
+    sc = sc.withColumn("prediction", (F.col("p_left") >= 0.5).cast("double"))
+    m = evaluate.metrics_from_confusion(evaluate.confusion(sc))
+    a = evaluate.auc(sc)
+    return m.select(*[F.bround(c, 6).alias(c) for c in m.columns],
+                    F.bround(F.lit(a).cast("double"), 6).alias("roc_auc"))
+
+
+register("ml_metrics_fixed_score", with_emp(f"""
+WITH sc AS (SELECT {_FIXED_SCORE_SQL} AS s, CASE WHEN {LEFT} THEN 1.0 ELSE 0.0 END AS y FROM emp),
+p AS (SELECT y, CASE WHEN s >= 0.5 THEN 1.0 ELSE 0.0 END AS yhat FROM sc),
+c AS (SELECT count(*) AS total, sum(CASE WHEN y = yhat THEN 1 ELSE 0 END) AS correct,
+        sum(CASE WHEN y = 1 AND yhat = 1 THEN 1 ELSE 0 END) AS tp1, sum(CASE WHEN y = 0 AND yhat = 0 THEN 1 ELSE 0 END) AS tp0,
+        sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS a1, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS a0,
+        sum(CASE WHEN yhat = 1 THEN 1 ELSE 0 END) AS p1, sum(CASE WHEN yhat = 0 THEN 1 ELSE 0 END) AS p0 FROM p),
+r AS (SELECT *, coalesce(tp1 / nullif(CAST(p1 AS DOUBLE), 0), 0.0) AS pr1, coalesce(tp0 / nullif(CAST(p0 AS DOUBLE), 0), 0.0) AS pr0,
+        coalesce(tp1 / nullif(CAST(a1 AS DOUBLE), 0), 0.0) AS rc1, coalesce(tp0 / nullif(CAST(a0 AS DOUBLE), 0), 0.0) AS rc0,
+        a1 / CAST(total AS DOUBLE) AS w1, a0 / CAST(total AS DOUBLE) AS w0 FROM c),
+per AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY s),
+cum AS (SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM per),
+a AS (SELECT sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM cum)
+SELECT round_even(correct / CAST(total AS DOUBLE), 6) AS accuracy,
+  round_even(w0 * pr0 + w1 * pr1, 6) AS precision, round_even(w0 * rc0 + w1 * rc1, 6) AS recall,
+  round_even(w0 * coalesce(2.0 * pr0 * rc0 / nullif(pr0 + rc0, 0), 0.0) + w1 * coalesce(2.0 * pr1 * rc1 / nullif(pr1 + rc1, 0), 0.0), 6) AS f1_score,
+  round_even(auc, 6) AS roc_auc
+FROM r, a
+"""))(_fixed_metrics)
+
+
+# ---- S5 / S6: synthetic rows keyed by the order keys -----------------------
+
+def _synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.sources import synthetic
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return synthetic.refine_labels(synthetic.generate(ids))
+
+
+register("synthetic_rows")(_synthetic)
+
+register("synthetic_label_rule", with_emp("""
+WITH q AS (SELECT quantile_cont(MonthlyIncome, 0.25) AS q25 FROM emp),
+s AS (SELECT EmployeeID, Attrition,
+  CASE WHEN coalesce(JobSatisfaction <= 2, false) THEN 30 ELSE 0 END + CASE WHEN coalesce(OverTime = 'Yes', false) THEN 20 ELSE 0 END
+  + CASE WHEN coalesce(YearsSinceLastPromotion > 5, false) THEN 15 ELSE 0 END + CASE WHEN coalesce(MonthlyIncome < q25, false) THEN 15 ELSE 0 END
+  + CASE WHEN coalesce(WorkLifeBalance <= 2, false) THEN 10 ELSE 0 END
+  + CASE WHEN coalesce(EnvironmentSatisfaction <= 2, false) THEN 10 ELSE 0 END AS risk FROM emp, q)
+SELECT EmployeeID, risk, risk > 40 AND Attrition = 'No' AS may_flip_to_yes,
+  risk < 10 AND Attrition = 'Yes' AS may_flip_to_no FROM s
+"""))(lambda spark, sf: _label_rule(spark, sf))
+
+
+def _label_rule(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.functions.quantiles import exact_quantile
+    from hrsight.sources import synthetic
+    e = emp(spark, sf)
+    risk = synthetic.risk_hundredths(e, exact_quantile(e, "MonthlyIncome", 0.25))
+    return e.select("EmployeeID", risk.alias("risk"), "Attrition").select(
+        "EmployeeID", "risk",
+        ((F.col("risk") > synthetic.FLIP_UP_ABOVE) & (F.col("Attrition") == "No")).alias("may_flip_to_yes"),
+        ((F.col("risk") < synthetic.FLIP_DOWN_BELOW) & (F.col("Attrition") == "Yes")).alias("may_flip_to_no"))
+
+
+# ---- S1 - S4, S7 - S9 ------------------------------------------------------
+
+def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the view as CSV into the shared scratch folder, validate it and
+    read it back with inference; report checks plus row/column counts."""
+    import uuid
+
+    from hrsight.session import scratch_path
+    from hrsight.sources import csv
+    path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
+    csv.write_employees(emp(spark, sf), path)
+    checks = csv.validate(spark, path)
+    back = csv.read_employees(spark, path)
+    counts = back.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("rows_read").alias("check"), F.lit(True).alias("ok"), F.col("n").cast("string").alias("detail"))
+    types = spark.createDataFrame([("column_types", True, ",".join(f"{f.name}:{f.dataType.simpleString()}"
+                                                                   for f in back.schema.fields))],
+                                  "check string, ok boolean, detail string")
+    return checks.unionByName(counts).unionByName(types)
+
+
+register("csv_roundtrip")(_csv_roundtrip)
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.plans.report import report_sections
+    return report_sections(emp(spark, sf), ROLES)
+
+
+def _text_report(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.plans.report import report_sections, text_lines
+    return text_lines(report_sections(emp(spark, sf), ROLES))
+
+
+register("report_sections")(_report)
+register("report_text_lines")(_text_report)
