@@ -92,7 +92,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
             bucket = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
             items.append(F.when(x.between(a, b), F.struct(F.lit(i).alias("t"), bucket.alias("k"),
                                                           x.alias("v"))))
-        rows = (cached.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s"))
+        rows = (cached.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
                 .groupBy(F.col("s.t").alias("t"), F.col("s.k").alias("k"))
                 .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
                 .collect())
@@ -115,7 +115,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
         items = [F.when(F.col(targets[i][0]).between(targets[i][2], targets[i][3]),
                         F.struct(F.lit(i).alias("t"), F.col(targets[i][0]).alias("v")))
                  for i in todo]
-        rows = (base.select(F.explode(F.filter(F.array(*items), lambda s: s.isNotNull())).alias("s"))
+        rows = (base.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
                 .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
                 .agg(F.count(F.lit(1)).alias("n")).collect())
         per = {}

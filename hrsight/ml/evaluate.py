@@ -60,10 +60,15 @@ def metrics_from_confusion(cm: DataFrame) -> DataFrame:
                     weighted(f1).alias("f1_score"))
 
 
-def auc(scored: DataFrame, score: str = PROB, label: str = LABEL) -> float | None:
-    """Exact area under the ROC curve (ties count one half)."""
-    counts = scored.agg(F.sum(F.col(label)).alias("pos"), F.count(F.lit(1)).alias("n")).collect()[0]
-    if not counts["n"] or counts["pos"] in (0, counts["n"]):
+def auc(scored: DataFrame, score: str = PROB, label: str = LABEL,
+        counts: tuple[int, int] | None = None) -> float | None:
+    """Exact area under the ROC curve (ties count one half); None when one
+    class is absent. ``counts`` = (positives, rows) when already known."""
+    if counts is None:
+        r = scored.agg(F.sum(F.col(label)).alias("pos"), F.count(F.lit(1)).alias("n")).collect()[0]
+        counts = (r["pos"] or 0, r["n"])
+    pos, n = counts
+    if not n or pos in (0, n):
         return None
     ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC",
                                        numBins=0)

@@ -120,11 +120,13 @@ def fit_preparation(train: DataFrame, spec: FeatureSpec) -> tuple[PipelineModel,
                          + [f"coalesce(CAST({_q(c)} AS STRING), {_lit(UNKNOWN)}) AS {_q('_s_' + c)}"
                             for c in keep_cat])
     fill = SQLTransformer(statement=f"SELECT *{', ' + fill_sql if fill_sql else ''} FROM __THIS__")
-    indexers = [StringIndexer(inputCol=f"_s_{c}", outputCol=f"_k_{c}", stringOrderType="alphabetAsc",
-                              handleInvalid="keep") for c in keep_cat]
+    # One multi-column indexer: all text columns in one pass.
+    indexers = [StringIndexer(inputCols=[f"_s_{c}" for c in keep_cat], outputCols=[f"_k_{c}" for c in keep_cat],
+                              stringOrderType="alphabetAsc", handleInvalid="keep")] if keep_cat else []
     first = Pipeline(stages=[fill, *indexers]).fit(train)
     # Stage 2: unseen category (code == number of labels) -> -1.
-    n_labels = {c: len(m.labelsArray[0]) for c, m in zip(keep_cat, first.stages[1:])}
+    n_labels = ({c: len(labels) for c, labels in zip(keep_cat, first.stages[1].labelsArray)}
+                if keep_cat else {})
     remap = ", ".join(f"CASE WHEN {_q('_k_' + c)} >= {n_labels[c]} THEN -1.0 ELSE {_q('_k_' + c)} END "
                       f"AS {_q('_i_' + c)}" for c in keep_cat)
     unseen = SQLTransformer(statement=f"SELECT *{', ' + remap if remap else ''} FROM __THIS__")

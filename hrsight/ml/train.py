@@ -96,7 +96,9 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
     roles = Roles.of(roles)
     settings = settings or DEFAULT
     spark: SparkSession = df.sparkSession
-    data = row_key(labelled(df, roles), roles)
+    # The input is read by ~10 passes (quantiles, ranges, indexing, scaling,
+    # split counts, fits): persist it once instead of recomputing its plan.
+    data = row_key(labelled(df, roles), roles).persist(StorageLevel.MEMORY_AND_DISK)
     spec = candidate_features(data, roles, exclude)
     train, test = split(data, test_size, seed, max(cv_folds, 2))
     prep, kept = fit_preparation(train, spec)
@@ -125,8 +127,10 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
             scored = evaluate.with_probability(model.transform(test_p))
             cm_rows = evaluate.confusion(scored).collect()
             cm = {(r["actual"], r["predicted"]): r["n"] for r in cm_rows}
-            m = evaluate.metrics_from_confusion(evaluate.confusion(scored)).collect()[0]
-            a = evaluate.auc(scored)
+            m = evaluate.metrics_from_confusion(
+                spark.createDataFrame(cm_rows, "actual int, predicted int, n long")).collect()[0]
+            pos = cm.get((1, 0), 0) + cm.get((1, 1), 0)
+            a = evaluate.auc(scored, counts=(pos, sum(cm.values())))
             rows.append((name, round(m["accuracy"], 4), round(m["precision"], 4), round(m["recall"], 4),
                          round(m["f1_score"], 4), None if a is None else round(a, 4),
                          None if cv_mean is None else round(cv_mean, 4),
@@ -140,6 +144,7 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
             rows.append((name, None, None, None, None, None, None, None, None,
                          f"{type(e).__name__}: {e}\n{traceback.format_exc(limit=2)}"[:2000]))
     train_p.unpersist()
+    data.unpersist()
     results = spark.createDataFrame(rows, RESULT_SCHEMA)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return TrainResult(prep, kept, models, results, best, test_p, types, _label_values(df, roles))
