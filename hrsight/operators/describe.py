@@ -210,13 +210,9 @@ def pay_by_group(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     if inc is None or not dims:
         return df.sparkSession.createDataFrame([], "dimension string, value string, avg_income double")
     names = [c for _, c in dims]
-    sets = ", ".join(f"(`{c}`)" for c in names)
-    df.createOrReplaceTempView("_hrsight_pay")
-    gid = "grouping_id(" + ", ".join(f"`{c}`" for c in names) + ")"
-    body = df.sparkSession.sql(
-        f"SELECT {gid} AS gid, " + ", ".join(f"`{c}`" for c in names)
-        + f", bround(avg(CAST(`{inc}` AS DOUBLE)), 0) AS avg_income FROM _hrsight_pay "
-        f"GROUP BY GROUPING SETS ({sets})")
+    body = df.groupingSets([[F.col(c)] for c in names], *[F.col(c) for c in names]).agg(
+        F.grouping_id(*[F.col(c) for c in names]).alias("gid"),
+        F.bround(F.avg(F.col(inc).cast("double")), 0).alias("avg_income"))
     k = len(names)
     branches = []
     for i, (d, c) in enumerate(dims):
