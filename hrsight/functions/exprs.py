@@ -111,7 +111,7 @@ def safe_divide(a: Column, b: Column, default: float = 0.0) -> Column:
 
 def format_decimals(c: Column, decimals: int = 2) -> Column:
     """Round anything numeric-looking to ``decimals``; pass other text on."""
-    num = F.try_cast(c.cast("string"), "double") if hasattr(F, "try_cast") else c.cast("double")
+    num = c.cast("string").try_cast("double")
     return F.coalesce(F.bround(num, decimals).cast("string"), c.cast("string"))
 
 
