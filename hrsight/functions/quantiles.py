@@ -43,94 +43,145 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return lo, hi, h - lo
 
 
+# target fields
+_COL, _RANK, _A, _B, _BELOW, _COUNT, _VALUE = range(7)
+
+
+def _locate(targets: list[list], per: dict[int, list], todo: list[int], key: str) -> list[int]:
+    """Move each target into the bucket (or value) holding its rank; return
+    the targets whose rank was not where the bounds said (sketch miss)."""
+    missed = []
+    for i in todo:
+        t = targets[i]
+        got = per.get(i, [])
+        if t[_BELOW] is None:
+            t[_BELOW] = sum(r["n"] for r in got if r[key] is None)
+        rows = sorted((r for r in got if r[key] is not None), key=lambda r: r[key])
+        seen = t[_BELOW]
+        inside = sum(r["n"] for r in rows)
+        if not seen <= t[_RANK] < seen + inside:
+            missed.append(i)
+            continue
+        for r in rows:
+            if seen + r["n"] > t[_RANK]:
+                if key == "v":
+                    t[_VALUE] = r["v"]
+                else:
+                    t[_A], t[_B], t[_BELOW], t[_COUNT] = r["lo"], r["hi"], seen, r["n"]
+                    if r["lo"] == r["hi"]:
+                        t[_VALUE] = r["lo"]
+                break
+            seen += r["n"]
+    return missed
+
+
 def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], buckets: int = 4096,
-                    final_max: int = 100_000, max_passes: int = 16) -> dict[str, list[float | None]]:
+                    final_max: int = 100_000, max_passes: int = 16,
+                    sketch_accuracy: int = 1_000) -> dict[str, list[float | None]]:
     """{column: [quantile for each p]} with exact type-7 interpolation.
 
-    NULLs are ignored; a column with no values gives None.
+    NULLs are ignored; a column with no values gives None. The first pass
+    also runs a ``percentile_approx`` sketch (rank error at most
+    n / ``sketch_accuracy``, bounded memory per task); its values just
+    below and above each wanted level bracket the order statistic, so the
+    next pass only counts the rows below the bracket and looks at the few
+    rows inside it. A bracket that does not hold the rank (never expected)
+    falls back to narrowing from [min, max].
     """
     cols = list(wanted)
     if not cols:
         return {}
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    first = src.agg(*[e for c in cols for e in (F.count(c).alias(f"n_{c}"),
-                                                  F.min(c).alias(f"lo_{c}"),
-                                                  F.max(c).alias(f"hi_{c}"))]).collect()[0]
-    # target: [column, rank, a, b, below, count, value]
+    eps = 3.0 / sketch_accuracy
+    levels = {c: sorted({min(1.0, max(0.0, p + d)) for p in wanted[c] for d in (-eps, eps)}) for c in cols}
+    first = src.agg(*[e for c in cols for e in (
+        F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"),
+        F.percentile_approx(c, levels[c], sketch_accuracy).alias(f"q_{c}"))]).collect()[0]
     targets: list[list] = []
     index: dict[tuple[str, int], int] = {}
     for c in cols:
         n = first[f"n_{c}"]
         if not n:
             continue
+        sk = dict(zip(levels[c], first[f"q_{c}"]))
         for p in wanted[c]:
+            lo_v = sk[min(1.0, max(0.0, p - eps))]
+            hi_v = sk[min(1.0, max(0.0, p + eps))]
             for r in set(_ranks(n, p)[:2]):
                 if (c, r) not in index:
                     index[(c, r)] = len(targets)
-                    targets.append([c, r, first[f"lo_{c}"], first[f"hi_{c}"], 0, n, None])
+                    if first[f"lo_{c}"] == first[f"hi_{c}"]:
+                        targets.append([c, r, first[f"lo_{c}"], first[f"hi_{c}"], 0, n, first[f"lo_{c}"]])
+                    else:
+                        # below (rows < lo_v) and the count inside are learnt next pass
+                        targets.append([c, r, lo_v, hi_v, None, None, None])
+
+    def reset(i: int) -> None:
+        c = targets[i][_COL]
+        targets[i][_A:_VALUE + 1] = [first[f"lo_{c}"], first[f"hi_{c}"], 0, first[f"n_{c}"], None]
 
-    def open_targets():
-        return [t for t in targets if t[6] is None and t[2] == t[3]]
+    def small(t: list) -> bool:
+        # A sketch bracket spans at most ~8 n / accuracy ranks.
+        est = t[_COUNT] if t[_COUNT] is not None else 8 * first[f"n_{t[_COL]}"] / sketch_accuracy
+        return est <= final_max
 
-    for t in open_targets():
-        t[6] = t[2]
+    def explode_rows(base: DataFrame, items: list) -> DataFrame:
+        return base.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
 
     cached = None
     passes = 0
-    while True:
-        todo = [i for i, t in enumerate(targets) if t[6] is None and t[5] > final_max]
-        if not todo or passes >= max_passes:
+    while passes < max_passes:
+        open_ = [i for i, t in enumerate(targets) if t[_VALUE] is None]
+        if not open_:
             break
-        if cached is None:
+        if cached is None and passes > 0:
             cached = src.persist(StorageLevel.MEMORY_AND_DISK)
+        base = cached if cached is not None else src
         passes += 1
+        wide = [i for i in open_ if not small(targets[i])]
+        if wide:
+            # Refinement pass: bucket counts inside each interval.
+            items = []
+            for i in wide:
+                c, _, a, b = targets[i][:4]
+                x = F.col(c)
+                width = (b - a) / buckets if b > a else 1.0
+                bucket = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+                inside = F.when(x.between(a, b), F.struct(F.lit(i).alias("t"), bucket.alias("k"), x.alias("v")))
+                if targets[i][_BELOW] is None:
+                    inside = F.when(x < a, F.struct(F.lit(i).alias("t"), F.lit(None).cast("int").alias("k"),
+                                                    x.alias("v"))).otherwise(inside)
+                items.append(inside)
+            rows = (explode_rows(base, items).groupBy(F.col("s.t").alias("t"), F.col("s.k").alias("k"))
+                    .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
+                    .collect())
+            per: dict[int, list] = {}
+            for r in rows:
+                per.setdefault(r["t"], []).append(r)
+            for i in _locate(targets, per, wide, "k"):
+                reset(i)
+            continue
+        # Final pass: distinct values (with counts) inside each small interval.
         items = []
-        for i in todo:
-            c, _, a, b, _, _, _ = targets[i]
+        for i in open_:
+            c, _, a, b = targets[i][:4]
             x = F.col(c)
-            width = (b - a) / buckets
-            bucket = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-            items.append(F.when(x.between(a, b), F.struct(F.lit(i).alias("t"), bucket.alias("k"),
-                                                          x.alias("v"))))
-        rows = (cached.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
-                .groupBy(F.col("s.t").alias("t"), F.col("s.k").alias("k"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
-                .collect())
-        per: dict[int, list] = {}
-        for r in rows:
-            per.setdefault(r["t"], []).append(r)
-        for i in todo:
-            t = targets[i]
-            seen = t[4]
-            for r in sorted(per.get(i, []), key=lambda r: r["k"]):
-                if seen + r["n"] > t[1]:
-                    t[2], t[3], t[4], t[5] = r["lo"], r["hi"], seen, r["n"]
-                    if r["lo"] == r["hi"]:
-                        t[6] = r["lo"]
-                    break
-                seen += r["n"]
-    todo = [i for i, t in enumerate(targets) if t[6] is None]
-    if todo:
-        base = cached if cached is not None else src
-        items = [F.when(F.col(targets[i][0]).between(targets[i][2], targets[i][3]),
-                        F.struct(F.lit(i).alias("t"), F.col(targets[i][0]).alias("v")))
-                 for i in todo]
-        rows = (base.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
-                .groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
+            inside = F.when(x.between(a, b), F.struct(F.lit(i).alias("t"), x.alias("v")))
+            if targets[i][_BELOW] is None:
+                inside = F.when(x < a, F.struct(F.lit(i).alias("t"), F.lit(None).cast("double").alias("v"))
+                                ).otherwise(inside)
+            items.append(inside)
+        rows = (explode_rows(base, items).groupBy(F.col("s.t").alias("t"), F.col("s.v").alias("v"))
                 .agg(F.count(F.lit(1)).alias("n")).collect())
         per = {}
         for r in rows:
             per.setdefault(r["t"], []).append(r)
-        for i in todo:
-            t = targets[i]
-            seen = t[4]
-            for r in sorted(per.get(i, []), key=lambda r: r["v"]):
-                if seen + r["n"] > t[1]:
-                    t[6] = r["v"]
-                    break
-                seen += r["n"]
+        for i in _locate(targets, per, open_, "v"):
+            reset(i)
     if cached is not None:
         cached.unpersist()
+    if any(t[_VALUE] is None for t in targets):
+        raise RuntimeError("exact_quantiles did not converge; raise max_passes")
 
     out: dict[str, list[float | None]] = {}
     for c in cols:
@@ -141,8 +192,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
                 vals.append(None)
                 continue
             lo, hi, frac = _ranks(n, p)
-            a = targets[index[(c, lo)]][6]
-            b = targets[index[(c, hi)]][6]
+            a = targets[index[(c, lo)]][_VALUE]
+            b = targets[index[(c, hi)]][_VALUE]
             vals.append(a if lo == hi else a + frac * (b - a))
         out[c] = vals
     return out

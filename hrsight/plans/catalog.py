@@ -405,7 +405,7 @@ def trained(spark: SparkSession, sf: str):
     key = (id(spark), sf)
     if key not in _TRAINED:
         _TRAINED[key] = train.train_models(emp(spark, sf), ROLES, settings=train.LIGHT, cv_folds=5,
-                                           parallelism=4)
+                                           parallelism=3)
     return _TRAINED[key]
 
 

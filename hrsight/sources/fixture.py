@@ -7,8 +7,12 @@ rows.
 
 Plan notes (scale): the line items are pre-aggregated per order key before
 the join (partial aggregation, so a hot order key costs one row per map
-task), and that aggregate's hash partitioning on the order key is reused by
-the order join. The customer side is left to Spark's size-checked automatic
+task). Orders and that aggregate have about the same row count, so their
+join is a sort-merge join on the order key (``merge`` hint): it reuses the
+aggregate's hash partitioning (no second exchange on that side) and spreads
+the orders over the shuffle partitions even when the order files are few
+and large, which a broadcast join would not (it keeps the scan's
+partitioning). The customer side is left to Spark's size-checked automatic
 broadcast (static statistics or AQE's runtime sizes); beyond the threshold
 it is a sort-merge join whose skewed partitions AQE splits.
 """
@@ -39,7 +43,7 @@ def employee_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.max("l_discount").alias("disc"),
                F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("ret")))
     j = (o.join(c, o.o_custkey == c.c_custkey, "inner")
-         .join(li, o.o_orderkey == li.l_orderkey, "left"))
+         .join(li.hint("merge"), o.o_orderkey == li.l_orderkey, "left"))
     qty4 = F.col("qty").cast("int") % 4
     return j.select(
         F.concat(F.lit("EMP_"), F.col("o_orderkey").cast("string")).alias("EmployeeID"),

@@ -4,8 +4,9 @@ import pytest
 from hrsight.functions.quantiles import exact_quantiles
 
 
-@pytest.mark.parametrize("final_max,buckets", [(100_000, 4096), (7, 4), (1, 2)])
-def test_exact_quantiles_match_linear_interpolation(spark, final_max, buckets):
+@pytest.mark.parametrize("final_max,buckets,accuracy", [(100_000, 4096, 10_000), (7, 4, 10_000), (1, 2, 10_000),
+                                                         (7, 4, 20), (3, 3, 8)])
+def test_exact_quantiles_match_linear_interpolation(spark, final_max, buckets, accuracy):
     rng = np.random.default_rng(3)
     a = np.round(rng.lognormal(8, 0.7, 997), 2)
     a[:50] = a[50]  # heavy duplicates
@@ -13,7 +14,8 @@ def test_exact_quantiles_match_linear_interpolation(spark, final_max, buckets):
     rows = [(float(x), float(y) if i % 13 else None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(rows, "a double, b double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, {"a": probs, "b": probs}, buckets=buckets, final_max=final_max)
+    got = exact_quantiles(df, {"a": probs, "b": probs}, buckets=buckets, final_max=final_max,
+                          sketch_accuracy=accuracy)
     bb = np.array([r[1] for r in rows if r[1] is not None])
     for p, g in zip(probs, got["a"]):
         assert g == pytest.approx(np.percentile(a, p * 100), rel=1e-12)
