@@ -74,7 +74,8 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None, top: in
     uniq = counts.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
     ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-    return ranked.join(uniq, "column").select("column", "unique_count", "rank", "value", "n")
+    return (ranked.join(uniq, "column").select("column", "unique_count", "rank", "value", "n")
+            .orderBy("column", "rank"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
