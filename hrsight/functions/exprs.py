@@ -20,6 +20,12 @@ LEFT_TOKENS: tuple[str, ...] = ("yes", "1", "true", "left")
 TRUTHY_TOKENS: tuple[str, ...] = ("yes", "1", "true")
 
 
+def col(name: str) -> Column:
+    """Column by its exact name (dots, spaces and backticks in CSV headers
+    are not read as struct access)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def label_flag(df: DataFrame, roles: Roles) -> Column | None:
     """Boolean "left" flag, never NULL (a NULL label counts as stayed).
 
@@ -30,7 +36,7 @@ def label_flag(df: DataFrame, roles: Roles) -> Column | None:
     if name is None:
         return None
     dtype = df.schema[name].dataType
-    c = F.col(name)
+    c = col(name)
     if isinstance(dtype, StringType):
         cond = F.lower(c).isin(*LEFT_TOKENS)
     elif isinstance(dtype, BooleanType):

@@ -88,10 +88,13 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
     rows inside it. A bracket that does not hold the rank (never expected)
     falls back to narrowing from [min, max].
     """
-    cols = list(wanted)
-    if not cols:
+    names = list(wanted)
+    if not names:
         return {}
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    # Work on positional aliases so any column name (dots, spaces) is safe.
+    cols = [f"_q{i}" for i in range(len(names))]
+    wanted = {a: wanted[n] for a, n in zip(cols, names)}
+    src = df.select(*[F.col("`" + n.replace("`", "``") + "`").cast("double").alias(a) for a, n in zip(cols, names)])
     eps = 3.0 / sketch_accuracy
     levels = {c: sorted({min(1.0, max(0.0, p + d)) for p in wanted[c] for d in (-eps, eps)}) for c in cols}
     first = src.agg(*[e for c in cols for e in (
@@ -196,7 +199,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
             b = targets[index[(c, hi)]][_VALUE]
             vals.append(a if lo == hi else a + frac * (b - a))
         out[c] = vals
-    return out
+    return {n: out[a] for a, n in zip(cols, names)}
 
 
 def exact_quantile(df: DataFrame, column: str, p: float, **kw) -> float | None:

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrsight.functions.exprs import count_if, group_cols, label_flag, pct, rate, rnd
+from hrsight.functions.exprs import col, count_if, group_cols, label_flag, pct, rate, rnd
 from hrsight.functions.quantiles import approx_quantile_cols, exact_quantiles
 from hrsight.roles import Roles
 
@@ -22,13 +22,13 @@ def _avg(df: DataFrame, roles: Roles, role: str, digits: int, alias: str) -> Col
     name = roles.col(df, role)
     if name is None:
         return F.lit(None).cast("double").alias(alias)
-    return rnd(F.avg(F.col(name)), digits).alias(alias)
+    return rnd(F.avg(col(name)), digits).alias(alias)
 
 
 def _all_not_null(keys: list[str]) -> Column:
-    cond = F.col(keys[0]).isNotNull()
+    cond = col(keys[0]).isNotNull()
     for k in keys[1:]:
-        cond = cond & F.col(k).isNotNull()
+        cond = cond & col(k).isNotNull()
     return cond
 
 
@@ -52,7 +52,7 @@ def attrition_rate(df: DataFrame, roles: Roles | None = None, by: str | Iterable
     leavers = count_if(flag) if flag is not None else F.lit(0).cast("long")
     aggs = [F.count(F.lit(1)).alias("employees"), leavers.alias("leavers"), rate(flag).alias("attrition_rate")]
     if keys:
-        out = df.where(_all_not_null(keys)).groupBy(*keys).agg(*aggs)
+        out = df.where(_all_not_null(keys)).groupBy(*[col(k) for k in keys]).agg(*aggs)
         return out.withColumn("band", band(F.col("attrition_rate")))
     out = df.agg(*aggs)
     return out.withColumn("band", band(F.col("attrition_rate"), high=15.0, mid=None))
@@ -68,8 +68,8 @@ def department_metrics(df: DataFrame, roles: Roles | None = None, by: str | Iter
         return df.sparkSession.createDataFrame([], "department string")
     keys = group_cols(by) + [dept]
     flag = label_flag(df, roles)
-    out = (df.where(F.col(dept).isNotNull())
-           .groupBy(*keys)
+    out = (df.where(col(dept).isNotNull())
+           .groupBy(*[col(k) for k in keys])
            .agg(F.count(F.lit(1)).alias("employee_count"),
                 _avg(df, roles, "age", 1, "avg_age"),
                 _avg(df, roles, "income", 0, "avg_income"),
@@ -94,7 +94,7 @@ def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str]
         name = roles.col(df, role)
         if name is None:
             return F.lit(0).cast("long").alias(alias)
-        return distinct(F.col(name)).cast("long").alias(alias)
+        return distinct(col(name)).cast("long").alias(alias)
 
     aggs = [F.count(F.lit(1)).alias("total_employees"),
             n_distinct("department", "total_departments"),
@@ -103,7 +103,7 @@ def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str]
             _avg(df, roles, "income", 0, "avg_income"),
             _avg(df, roles, "tenure", 1, "avg_tenure"),
             rate(flag).alias("attrition_rate")]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    return df.groupBy(*[col(k) for k in keys]).agg(*aggs) if keys else df.agg(*aggs)
 
 
 def distribution(df: DataFrame, column: str, by: str | Iterable[str] | None = None) -> DataFrame:
@@ -112,10 +112,10 @@ def distribution(df: DataFrame, column: str, by: str | Iterable[str] | None = No
     broadcast (a single row, so its size is fixed), not an unpartitioned
     window."""
     keys = group_cols(by)
-    counts = (df.where(F.col(column).isNotNull())
-              .groupBy(*keys, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    counts = (df.where(col(column).isNotNull())
+              .groupBy(*keys, col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")))
     if keys:
-        totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+        totals = counts.groupBy(*[col(k) for k in keys]).agg(F.sum("n").alias("_total"))
         out = counts.join(totals, keys)
     else:
         totals = counts.agg(F.sum("n").alias("_total"))
@@ -144,7 +144,7 @@ def performance_distribution(df: DataFrame, roles: Roles | None = None) -> DataF
     if not present:
         return df.sparkSession.createDataFrame([], "metric string, value double, n long, mean double")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"),
-                                                  F.col(c).cast("double").alias("value"))
+                                                  col(c).cast("double").alias("value"))
                                          for m, c in present])).alias("s")).select("s.*")
     counts = long.where(F.col("value").isNotNull()).groupBy("metric", "value").agg(
         F.count(F.lit(1)).alias("n"))
@@ -164,7 +164,7 @@ def performer_counts(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     if rating is None:
         return df.sparkSession.createDataFrame([], schema)
     q25, q75 = exact_quantiles(df, {rating: [0.25, 0.75]})[rating]
-    r = F.col(rating)
+    r = col(rating)
     n = F.count(F.lit(1))
     hi = count_if(r >= F.lit(q75)) if q75 is not None else F.lit(0).cast("long")
     lo = count_if(r <= F.lit(q25)) if q25 is not None else F.lit(0).cast("long")
@@ -185,12 +185,12 @@ def salary_stats(df: DataFrame, roles: Roles | None = None, by: str | Iterable[s
     keys = group_cols(by)
     if inc is None:
         return df.sparkSession.createDataFrame([], "mean double")
-    x = F.col(inc).cast("double")
+    x = col(inc).cast("double")
     base = [rnd(F.avg(x), 0).alias("mean"), rnd(F.stddev_samp(x), 0).alias("std"),
             rnd(F.min(x), 0).alias("min"), rnd(F.max(x), 0).alias("max")]
     if keys:
         q = approx_quantile_cols(inc, [0.5, 0.25, 0.75], accuracy, prefix="q")
-        return (df.groupBy(*keys).agg(*base, *q)
+        return (df.groupBy(*[col(k) for k in keys]).agg(*base, *q)
                 .select(*keys, "mean", rnd(F.col("q_p50"), 0).alias("median"), "std", "min", "max",
                         rnd(F.col("q_p25"), 0).alias("q25"), rnd(F.col("q_p75"), 0).alias("q75")))
     med, q25, q75 = exact_quantiles(df, {inc: [0.5, 0.25, 0.75]})[inc]
@@ -210,15 +210,15 @@ def pay_by_group(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     if inc is None or not dims:
         return df.sparkSession.createDataFrame([], "dimension string, value string, avg_income double")
     names = [c for _, c in dims]
-    body = df.groupingSets([[F.col(c)] for c in names], *[F.col(c) for c in names]).agg(
-        F.grouping_id(*[F.col(c) for c in names]).alias("gid"),
-        F.bround(F.avg(F.col(inc).cast("double")), 0).alias("avg_income"))
+    body = df.groupingSets([[col(c)] for c in names], *[col(c) for c in names]).agg(
+        F.grouping_id(*[col(c) for c in names]).alias("gid"),
+        F.bround(F.avg(col(inc).cast("double")), 0).alias("avg_income"))
     k = len(names)
     branches = []
     for i, (d, c) in enumerate(dims):
         gid_val = (2 ** k - 1) - (2 ** (k - 1 - i))
         branches.append(F.when(F.col("gid") == gid_val,
-                               F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value"))))
+                               F.struct(F.lit(d).alias("dimension"), col(c).cast("string").alias("value"))))
     picked = F.coalesce(*branches)
     return (body.select(picked.alias("s"), "avg_income")
             .select("s.dimension", "s.value", "avg_income")
@@ -239,12 +239,12 @@ def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: bool = F
         return df.sparkSession.createDataFrame([], "department string, job_role string, attrition_pct double")
     if role is None:
         return attrition_rate(df, roles, by=dept).withColumnRenamed(dept, "department")
-    cells = (df.where(F.col(dept).isNotNull() & F.col(role).isNotNull())
-             .groupBy(F.col(dept).alias("department"), F.col(role).alias("job_role"))
+    cells = (df.where(col(dept).isNotNull() & col(role).isNotNull())
+             .groupBy(col(dept).alias("department"), col(role).alias("job_role"))
              .agg(F.count(F.lit(1)).alias("employees"), rate(flag).alias("attrition_pct")))
     if not wide:
         return cells
-    values = sorted(r[0] for r in df.where(F.col(role).isNotNull()).select(role).distinct().collect())
+    values = sorted(r[0] for r in df.where(col(role).isNotNull()).select(col(role)).distinct().collect())
     return (cells.groupBy("department").pivot("job_role", values)
             .agg(F.first("attrition_pct")).na.fill(0.0))
 
@@ -253,7 +253,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram: ``bins`` buckets between min and max (the last
     one closed), empty buckets omitted. min/max come from a one-row
     aggregate joined by broadcast."""
-    x = F.col(column).cast("double")
+    x = col(column).cast("double")
     vals = df.select(x.alias("x")).where(F.col("x").isNotNull())
     mm = vals.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
@@ -291,7 +291,7 @@ def satisfaction_levels(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     if not cols:
         return df.sparkSession.createDataFrame([], "series string, level int, label string, n long")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                  F.col(c).cast("int").alias("level"))
+                                                  col(c).cast("int").alias("level"))
                                          for c in cols])).alias("s")).select("s.*")
     series = F.replace(F.replace(F.col("column"), F.lit("Satisfaction"), F.lit(" Sat")),
                        F.lit("Balance"), F.lit(" Balance"))
@@ -308,12 +308,12 @@ def pay_gap_raw(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     (max - min) / mean of the department means * 100, unrounded."""
     roles = Roles.of(roles)
     dept, inc = roles.col(df, "department"), roles.col(df, "income")
-    means = (df.where(F.col(dept).isNotNull()).groupBy(dept)
-             .agg(F.avg(F.col(inc).cast("double")).alias("m")))
+    means = (df.where(col(dept).isNotNull()).groupBy(col(dept))
+             .agg(F.avg(col(inc).cast("double")).alias("m")))
     return means.agg(
-        F.min_by(F.col(dept), F.struct(F.negative(F.col("m")), F.col(dept))).alias("max_department"),
+        F.min_by(col(dept), F.struct(F.negative(F.col("m")), col(dept))).alias("max_department"),
         F.max("m").alias("max_avg_income"),
-        F.min_by(F.col(dept), F.struct(F.col("m"), F.col(dept))).alias("min_department"),
+        F.min_by(col(dept), F.struct(F.col("m"), col(dept))).alias("min_department"),
         F.min("m").alias("min_avg_income"),
         (F.try_divide(F.max("m") - F.min("m"), F.avg("m")) * F.lit(100.0)).alias("gap"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from hrsight.functions.exprs import count_if, label_flag, not_truthy, pct, rate, rnd, truthy
+from hrsight.functions.exprs import col, count_if, label_flag, not_truthy, pct, rate, rnd, truthy
 from hrsight.functions.quantiles import exact_quantiles
 from hrsight.operators.describe import pay_gap_raw
 from hrsight.roles import Roles
@@ -151,29 +151,29 @@ def _evidence(df: DataFrame, roles: Roles, t: dict) -> tuple[DataFrame, dict]:
     if flag is not None:
         if inc is not None and q25 is not None:
             have["income"] = True
-            x = F.col(inc)
+            x = col(inc)
             sub("low_income", x < F.lit(q25))
             sub("below_median", x < F.lit(med))
             sub("above_median", x >= F.lit(med))
         sat = roles.col(df, "satisfaction")
         if sat is not None:
             have["satisfaction"] = True
-            aggs.append(count_if(F.col(sat) <= 2).alias("low_sat_count"))
-            sub("low_sat", F.col(sat) <= 2)
-            sub("high_sat", F.col(sat) >= 4)
+            aggs.append(count_if(col(sat) <= 2).alias("low_sat_count"))
+            sub("low_sat", col(sat) <= 2)
+            sub("high_sat", col(sat) >= 4)
         ot = roles.col(df, "overtime")
         if ot is not None:
             have["overtime"] = True
-            sub("overtime", F.coalesce(truthy(F.col(ot)), F.lit(False)))
-            sub("no_overtime", not_truthy(F.col(ot)))
+            sub("overtime", F.coalesce(truthy(col(ot)), F.lit(False)))
+            sub("no_overtime", not_truthy(col(ot)))
         gap = roles.col(df, "promotion_gap")
         if gap is not None:
             have["promotion"] = True
-            sub("no_promo", F.col(gap) > t["promo_gap_years"])
+            sub("no_promo", col(gap) > t["promo_gap_years"])
     age = roles.col(df, "age")
     if age is not None:
         have["age"] = True
-        aggs.append(F.avg(F.col(age).cast("double")).alias("avg_age"))
+        aggs.append(F.avg(col(age).cast("double")).alias("avg_age"))
     return df.agg(*aggs), have
 
 
@@ -200,9 +200,9 @@ def recommendations(df: DataFrame, roles: Roles | None = None, **thresholds) ->
 
     dept = roles.col(df, "department")
     if flag is not None and dept is not None:
-        per = df.where(F.col(dept).isNotNull()).groupBy(dept).agg(rate(flag).alias("r"))
+        per = df.where(col(dept).isNotNull()).groupBy(col(dept)).agg(rate(flag).alias("r"))
         cat, pri, _, text, plan = RECOMMENDATION_TEXT[1]
-        d = F.col(dept).cast("string")
+        d = col(dept).cast("string")
         parts.append(per.where(F.col("r") > t["dept_rate"]).select(
             F.lit(1).alias("rule_no"), F.lit(cat).alias("category"), F.lit(pri).alias("priority"),
             d.alias("target"), _fill(ISSUE_TEXT[1], v=_fmt1(F.col("r"))).alias("issue"),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hrsight.functions.exprs import col
 from hrsight.roles import SEARCH_COLUMNS, Roles
 
 
@@ -52,7 +53,7 @@ def department_search(df: DataFrame, query: str, roles: Roles | None = None) ->
     dept = roles.col(df, "department")
     if dept is None or not query:
         return df.sparkSession.createDataFrame([], "department string")
-    return (df.select(F.col(dept).cast("string").alias("department")).where(F.col("department").isNotNull())
+    return (df.select(col(dept).cast("string").alias("department")).where(F.col("department").isNotNull())
             .distinct().where(F.lower("department").contains(query.lower())).orderBy("department"))
 
 

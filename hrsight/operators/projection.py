@@ -25,7 +25,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrsight.functions.exprs import group_cols, label_flag, rate, rnd
+from hrsight.functions.exprs import col, group_cols, label_flag, rate, rnd
 from hrsight.roles import Roles
 
 # Projection constants.
@@ -46,11 +46,11 @@ def projection(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str
     flag = label_flag(df, roles)
     base = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)) if keys else df
     agg = [F.count(F.lit(1)).alias("n0"), rate(flag).alias("r0")]
-    stats = base.groupBy(*keys).agg(*agg) if keys else base.agg(*agg)
+    stats = base.groupBy(*[col(k) for k in keys]).agg(*agg) if keys else base.agg(*agg)
     m = F.col("month")
     raw = F.col("r0") * F.pow(F.lit(MONTHLY_DECAY), m.cast("double"))
     if noise_sd > 0:
-        key = [F.col(k).cast("string") for k in keys] or [F.lit("")]
+        key = [col(k).cast("string") for k in keys] or [F.lit("")]
         u1 = _uniform(F.lit(seed), m, F.lit(1), *key)
         u2 = _uniform(F.lit(seed), m, F.lit(2), *key)
         raw = raw + F.lit(noise_sd) * F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)

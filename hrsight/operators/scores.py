@@ -15,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrsight.functions.exprs import clamp, group_cols, label_flag, mean_of, rate, rnd
+from hrsight.functions.exprs import clamp, col, group_cols, label_flag, mean_of, rate, rnd
 from hrsight.roles import Roles
 
 # Score weights and thresholds.
@@ -38,9 +38,9 @@ def stats(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | N
     for role in ("satisfaction", "environment", "worklife", "involvement", "rating", "tenure", "training",
                  "age"):
         name = roles.col(df, role)
-        aggs.append((F.avg(F.col(name).cast("double")) if name else F.lit(None).cast("double"))
+        aggs.append((F.avg(col(name).cast("double")) if name else F.lit(None).cast("double"))
                     .alias(f"mean_{role}"))
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    return df.groupBy(*[col(k) for k in keys]).agg(*aggs) if keys else df.agg(*aggs)
 
 
 def _stability(df: DataFrame, roles: Roles, keys: list[str]) -> DataFrame | None:
@@ -48,8 +48,8 @@ def _stability(df: DataFrame, roles: Roles, keys: list[str]) -> DataFrame | None
     if dept is None:
         return None
     flag = label_flag(df, roles)
-    per = (df.where(F.col(dept).isNotNull()).groupBy(*keys, dept).agg(rate(flag).alias("r")))
-    return per.groupBy(*keys).agg(
+    per = (df.where(col(dept).isNotNull()).groupBy(*[col(k) for k in keys], col(dept)).agg(rate(flag).alias("r")))
+    return per.groupBy(*[col(k) for k in keys]).agg(
         rnd(F.avg(F.greatest(F.lit(0.0), F.lit(100.0) - F.col("r") * STABILITY_PENALTY)), 1)
         .alias("department_stability_score"))
 

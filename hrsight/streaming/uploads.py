@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from hrsight.functions.exprs import count_if, label_flag, pct
+from hrsight.functions.exprs import col, count_if, label_flag, pct
 from hrsight.roles import Roles
 from hrsight.session import scratch_path
 from hrsight.sources.csv import CSV_GLOB
@@ -44,8 +44,8 @@ def live_attrition(stream: DataFrame, roles: Roles | None = None, by: str = "dep
     key = roles.col(stream, by) or by
     flag = label_flag(stream, roles)
     leavers = count_if(flag) if flag is not None else F.lit(0).cast("long")
-    agg = (stream.where(F.col(key).isNotNull())
-           .groupBy("dataset_name", F.col(key).alias("group"))
+    agg = (stream.where(col(key).isNotNull())
+           .groupBy("dataset_name", col(key).alias("group"))
            .agg(F.count(F.lit(1)).alias("employees"), leavers.alias("leavers")))
     return agg.withColumn("attrition_rate", pct(F.col("leavers"), F.col("employees")))
 

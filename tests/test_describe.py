@@ -151,3 +151,16 @@ def test_left_flag_helper_matches_reference_rule():
     s = pd.Series(["Yes", "no", "LEFT", "1", None, "true"])
     assert left_flag(s).tolist() == [True, False, True, True, False, True]
     assert np.isclose(py_rate(pd.DataFrame({"Attrition": s})), 66.67)
+
+
+def test_headers_with_dots_and_spaces(spark):
+    from hrsight.operators import findings, scores
+    df = spark.createDataFrame([("A.x", 1000.0, 2, "Yes"), ("A.x", 3000.0, 4, "No"), ("B y", 2000.0, 1, "No")],
+                               "`Dept.Name` string, `Monthly Income` double, `Job Sat` int, Attrition string")
+    roles = Roles.of({"department": "Dept.Name", "income": "Monthly Income", "satisfaction": "Job Sat"})
+    rows = {r["department"]: r["attrition_rate"] for r in describe.department_metrics(df, roles).collect()}
+    assert rows == {"A.x": 50.0, "B y": 0.0}
+    assert describe.salary_stats(df, roles).collect()[0]["median"] == 2000.0
+    assert describe.attrition_rate(df, roles, by="Dept.Name").count() == 2
+    assert scores.workforce_scores(df, roles).collect()[0]["department_stability_score"] is not None
+    assert findings.recommendations(df, roles).count() >= 1
