@@ -177,13 +177,23 @@ def _evidence(df: DataFrame, roles: Roles, t: dict) -> tuple[DataFrame, dict]:
     return df.agg(*aggs), have
 
 
-def recommendations(df: DataFrame, roles: Roles | None = None, **thresholds) -> DataFrame:
+def findings(df: DataFrame, roles: Roles | None = None, **thresholds) -> tuple[DataFrame, DataFrame]:
+    """(recommendations, insights) from one shared evidence aggregate (and
+    one quantile computation)."""
+    roles = Roles.of(roles)
+    t = {**THRESHOLDS, **thresholds}
+    evidence = _evidence(df, roles, t)
+    return (recommendations(df, roles, _evidence_of=evidence, **thresholds),
+            insights(df, roles, _evidence_of=evidence, **thresholds))
+
+
+def recommendations(df: DataFrame, roles: Roles | None = None, _evidence_of=None, **thresholds) -> DataFrame:
     """R1-R6 as rows ``REC_SCHEMA``, ordered by rule then target."""
     roles = Roles.of(roles)
     t = {**THRESHOLDS, **thresholds}
     spark = df.sparkSession
     flag = label_flag(df, roles)
-    ev, have = _evidence(df, roles, t)
+    ev, have = _evidence_of or _evidence(df, roles, t)
     parts: list[DataFrame] = []
 
     def rec_row(no: int, fired: Column, value: Column, k: Column | None = None,
@@ -237,12 +247,12 @@ def recommendations(df: DataFrame, roles: Roles | None = None, **thresholds) ->
     return fired.unionByName(general).orderBy("rule_no", "target")
 
 
-def insights(df: DataFrame, roles: Roles | None = None, **thresholds) -> DataFrame:
+def insights(df: DataFrame, roles: Roles | None = None, _evidence_of=None, **thresholds) -> DataFrame:
     """I1-I6 as rows ``INSIGHT_SCHEMA``, ordered by rule."""
     roles = Roles.of(roles)
     t = {**THRESHOLDS, **thresholds}
     spark = df.sparkSession
-    ev, have = _evidence(df, roles, t)
+    ev, have = _evidence_of or _evidence(df, roles, t)
 
     def row(no: int, fired: Column, a: Column | None, b: Column | None, **text_parts: Column) -> Column:
         typ, sev, text, rec = INSIGHT_TEXT[no]

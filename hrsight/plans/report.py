@@ -33,11 +33,12 @@ def report_sections(df: DataFrame, roles: Roles | None = None, model_results: Da
     roles = Roles.of(roles)
     ov = _kv("overview", describe.overview(df, roles), OVERVIEW_KEYS)
     sc = _kv("scores", scores.workforce_scores(df, roles), SCORE_KEYS)
-    ins = findings.insights(df, roles).select(
+    recs, insights = findings.findings(df, roles)
+    ins = insights.select(
         F.lit("insights").alias("section"), F.col("rule_no").alias("ordinal"), F.col("type").alias("key"),
         F.col("severity").alias("label"),
         F.to_json(F.struct("type", "severity", "insight", "recommendation")).alias("value"))
-    rec = findings.recommendations(df, roles).select(
+    rec = recs.select(
         F.lit("recommendations").alias("section"), F.col("rule_no").alias("ordinal"),
         F.col("category").alias("key"), F.col("priority").alias("label"),
         F.to_json(F.struct("priority", "category", "target", "issue", "recommendation", "action_plan"))
