@@ -389,7 +389,7 @@ SELECT event_id, ts, user_id, event_type FROM events
 WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 100
 """)(lambda spark, sf: activity.history(
     table(spark, sf, "events"),
-    table(spark, sf, "events").agg(F.min("user_id")).collect()[0][0], 100, ts_col="ts", tie_col="event_id")
+    table(spark, sf, "events").agg(F.min("user_id")).scalar(), 100, ts_col="ts", tie_col="event_id")
     .select("event_id", "ts", "user_id", "event_type"))
 
 

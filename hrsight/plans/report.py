@@ -9,6 +9,8 @@ rules, not by the data; writing it as one file (``coalesce(1)``) is safe.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,11 @@ def text_lines(sections: DataFrame) -> DataFrame:
             .where(F.col("line").isNotNull()).orderBy("_o", "ordinal", "key").select("line"))
 
 
+def report_filename(fmt: str, now: datetime | None = None) -> str:
+    """``report_<yyyymmdd>_<hhmmss>.<fmt>``."""
+    return f"report_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}.{fmt}"
+
+
 def write_json_report(sections: DataFrame, path: str) -> None:
     sections.coalesce(1).write.mode("overwrite").json(path)
 
