@@ -68,7 +68,12 @@ def row_key(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     return df.withColumn(ROW_KEY, F.xxhash64(*cols))
 
 
-def candidate_features(df: DataFrame, roles: Roles | None = None, exclude: tuple[str, ...] = ()) -> FeatureSpec:
+def candidate_features(df: DataFrame, roles: Roles | None = None, exclude: tuple[str, ...] = (),
+                       max_categories: int | None = 10_000) -> FeatureSpec:
+    """Numeric and text feature columns. Text columns with more than
+    ``max_categories`` distinct values (estimated in one pass with
+    ``approx_count_distinct``) are left out: their index labels would all
+    come to the driver and an id-like column is no feature anyway."""
     roles = Roles.of(roles)
     skip = {LABEL, WEIGHT, ROW_KEY, FEATURES, roles.label_col(df), roles.id_col(df), *SEARCH_COLUMNS, *exclude}
     spec = FeatureSpec()
@@ -79,6 +84,12 @@ def candidate_features(df: DataFrame, roles: Roles | None = None, exclude: tuple
             spec.numeric.append(f.name)
         elif isinstance(f.dataType, StringType):
             spec.categorical.append(f.name)
+    if max_categories is not None and spec.categorical:
+        est = df.agg(*[F.approx_count_distinct(F.col(_q(c))).alias(f"d{i}")
+                       for i, c in enumerate(spec.categorical)]).collect()[0]
+        wide = [c for i, c in enumerate(spec.categorical) if est[f"d{i}"] > max_categories]
+        spec.categorical = [c for c in spec.categorical if c not in wide]
+        spec.dropped.extend(wide)
     return spec
 
 
@@ -114,7 +125,7 @@ def fit_preparation(train: DataFrame, spec: FeatureSpec) -> tuple[PipelineModel,
             keep_num.append(c)
         else:
             keep_cat.append(c)
-    kept = FeatureSpec(keep_num, keep_cat, dropped)
+    kept = FeatureSpec(keep_num, keep_cat, [*spec.dropped, *dropped])
     # Stage 1: fill (fitted values baked into the statement).
     fill_sql = ", ".join([f"coalesce(CAST({_q(c)} AS DOUBLE), {_lit(fills[c])}) AS {_q('_n_' + c)}" for c in keep_num]
                          + [f"coalesce(CAST({_q(c)} AS STRING), {_lit(UNKNOWN)}) AS {_q('_s_' + c)}"

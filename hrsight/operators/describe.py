@@ -225,7 +225,8 @@ def pay_by_group(df: DataFrame, roles: Roles | None = None) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: bool = False) -> DataFrame:
+def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: bool = False,
+                       max_columns: int = 1000) -> DataFrame:
     """Attrition percent per (department, job role) cell.
 
     Long form: only cells that have rows. ``wide=True`` pivots job roles to
@@ -244,7 +245,12 @@ def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: bool = F
              .agg(F.count(F.lit(1)).alias("employees"), rate(flag).alias("attrition_pct")))
     if not wide:
         return cells
-    values = sorted(r[0] for r in df.where(col(role).isNotNull()).select(col(role)).distinct().collect())
+    # The pivot values come to the driver: fetch at most max_columns + 1 to
+    # check the bound instead of trusting the data.
+    got = df.where(col(role).isNotNull()).select(col(role)).distinct().limit(max_columns + 1).collect()
+    if len(got) > max_columns:
+        raise ValueError(f"more than {max_columns} job roles: use the long form")
+    values = sorted(r[0] for r in got)
     return (cells.groupBy("department").pivot("job_role", values)
             .agg(F.first("attrition_pct")).na.fill(0.0))
 

@@ -119,3 +119,10 @@ def test_feature_importance_and_comparison(result):
     assert len(imp) == 5 and imp[0]["importance"] >= imp[-1]["importance"]
     comp = train.model_comparison(res).collect()
     assert len(comp) == 4 * len(SMALL) and {r["label"] for r in comp} >= {"F1 Score", "Accuracy"}
+
+
+def test_high_cardinality_text_is_not_a_feature(spark):
+    rows = [(f"n{i}", "a" if i % 2 else "b", float(i), "Yes" if i % 3 else "No") for i in range(60)]
+    df = spark.createDataFrame(rows, "code string, grp string, x double, Attrition string")
+    spec = candidate_features(labelled(df, Roles.of()), Roles.of(), max_categories=10)
+    assert spec.categorical == ["grp"] and spec.dropped == ["code"]
