@@ -137,11 +137,13 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
         open_ = [i for i, t in enumerate(targets) if t[_VALUE] is None]
         if not open_:
             break
-        if cached is None and passes > 0:
+        wide = [i for i in open_ if not small(targets[i])]
+        if cached is None and wide:
+            # A refinement pass means at least two more scans: keep the
+            # pruned columns instead of recomputing their plan each time.
             cached = src.persist(StorageLevel.MEMORY_AND_DISK)
         base = cached if cached is not None else src
         passes += 1
-        wide = [i for i in open_ if not small(targets[i])]
         if wide:
             # Refinement pass: bucket counts inside each interval.
             items = []

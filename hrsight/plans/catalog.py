@@ -563,3 +563,19 @@ def _text_report(spark: SparkSession, sf: str) -> DataFrame:
 
 register("report_sections")(_report)
 register("report_text_lines")(_text_report)
+
+
+# ---- segment variants (by=) ------------------------------------------------
+
+register("overview_by_gender", with_emp(f"""
+SELECT Gender, count(*) AS total_employees, count(DISTINCT Department) AS total_departments,
+  count(DISTINCT JobRole) AS total_job_roles, round_even(avg(Age), 1) AS avg_age,
+  round_even(avg(MonthlyIncome), 0) AS avg_income, round_even(avg(YearsAtCompany), 1) AS avg_tenure,
+  {rate_sql()} AS attrition_rate
+FROM emp GROUP BY Gender
+"""))(lambda spark, sf: describe.overview(emp(spark, sf), ROLES, by="Gender"))
+
+register("distribution_department_by_gender", with_emp(f"""
+SELECT Gender, value, n, {pct_sql('n', 'sum(n) OVER (PARTITION BY Gender)')} AS share_pct FROM (
+  SELECT Gender, Department AS value, count(*) AS n FROM emp WHERE Department IS NOT NULL GROUP BY Gender, Department)
+"""))(lambda spark, sf: describe.role_distribution(emp(spark, sf), ROLES, "department", by="Gender"))
