@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from hrsight.functions.exprs import col, count_if, label_flag, not_truthy, pct, rate, rnd, truthy
 from hrsight.functions.quantiles import exact_quantiles
@@ -301,6 +300,3 @@ def insights(df: DataFrame, roles: Roles | None = None, _evidence_of=None, **thr
         out = out.unionByName(p)
     return out.orderBy("rule_no")
 
-
-def action_plan_type() -> ArrayType:
-    return ArrayType(StringType())
