@@ -402,7 +402,7 @@ _TRAINED: dict = {}
 
 def trained(spark: SparkSession, sf: str):
     from hrsight.ml import train
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         _TRAINED[key] = train.train_models(emp(spark, sf), ROLES, settings=train.LIGHT, cv_folds=5,
                                            parallelism=3)
