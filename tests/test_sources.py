@@ -144,3 +144,22 @@ def test_one_row_table(spark, n):
     assert describe.salary_stats(df).collect()[0]["std"] is None
     corr = profile.correlation_matrix(df, ["Age", "MonthlyIncome"]).collect()
     assert all(r["r"] is None for r in corr)
+
+
+def test_json_report_sink_and_filename(spark):
+    from datetime import datetime
+    df = synthetic.synthetic_employees(spark, 200)
+    sec = report.report_sections(df)
+    out = scratch_path(spark, f"test-json-report-{os.getpid()}")
+    report.write_json_report(sec, out)
+    back = spark.read.json(out)
+    assert back.count() == sec.count() and set(back.columns) == set(sec.columns)
+    assert report.report_filename("json", datetime(2026, 6, 12, 10, 20, 59)) == "report_20260612_102059.json"
+
+
+def test_wide_crosstab_is_bounded(spark):
+    from hrsight.operators import describe
+    df = synthetic.synthetic_employees(spark, 200)
+    with pytest.raises(ValueError):
+        describe.attrition_crosstab(df, wide=True, max_columns=3)
+    assert len(describe.attrition_crosstab(df, wide=True).columns) == 1 + len(synthetic.JOB_ROLES)
