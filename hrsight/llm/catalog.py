@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from hrsight.llm import near_dup
+from hrsight.llm import decontaminate, id_files, line_dedup, near_dup, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
+    "op1_pii": pii.op1,
+    "op2_suffix_dedup": suffix_dedup.op2,
+    "op3_line_dedup": line_dedup.op3,
+    "op4_id_files": id_files.op4,
+    "op5_quality_model": quality_model.op5,
+    "op6_quality_rules": quality_rules.op6,
+    "op7_token_counts": token_counts.op7,
+    "op8_decontamination": decontaminate.op8,
     "op9_minhash_near_dup": near_dup.op9,
+    "op10_packing": packing.op10,
 }
 
 ORACLES: dict[str, str] = {}

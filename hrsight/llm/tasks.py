@@ -47,11 +47,11 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hrsight-{tag}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, tag: str, **options) -> DataFrame:
-    """Write `df` to a fresh table in the shared folder and read it back."""
+def saved(df: DataFrame, tag: str, parts: int | None = None, **options) -> DataFrame:
+    """Write `df` to a fresh table in the shared folder (by at most `parts` tasks) and read it back."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.options(**options).parquet(path)
+    (df if parts is None else df.coalesce(parts)).write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hrsight_path = path
     return out

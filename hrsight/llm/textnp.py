@@ -96,3 +96,31 @@ def gram_hashes(h, first, k):
                 x = mix64(x * U64(0xA0761D6478BD642F) + h[j])
         out[begin[d]] = x
     return out, begin
+
+
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[_BLANK] = 0
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:] = 1
+_CLASS[0x30:0x3A] = 2
+
+
+def tokens_of(texts):
+    """(fingerprint of each token, first token of each text plus the total).
+
+    Tokens are maximal runs of letters, of digits, or of other non-blank bytes; case counts.
+    """
+    buf, at = buffer_of(texts)
+    if len(texts) == 0:
+        return np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64)
+    kind = _CLASS[buf]
+    start = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    end = np.append(start[1:], len(buf))
+    real = kind[start] != 0
+    start, end = start[real], end[real]
+    n = len(buf)
+    with np.errstate(over="ignore"):
+        run = np.empty(n + 1, dtype=U64)
+        run[0] = 0
+        np.cumsum(_BYTE[buf] * powers(_BASE, n), out=run[1:])
+        h = mix64((run[end] - run[start]) * powers(_INV, n)[start] + (end - start).astype(U64))
+    return h, np.searchsorted(start, at)
