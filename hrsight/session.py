@@ -26,7 +26,7 @@ LOCAL_CONF = {
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "hrsight", driver_memory: str = "16g") -> SparkSession:
+                  app_name: str = "hrsight", driver_memory: str = "8g") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory))
@@ -47,11 +47,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's checkpoint folder; pick one only when none is set
-    (local tests). On a cluster ``spark.checkpoint.dir`` must point at shared
-    storage, so a machine-local folder is never chosen when it is set."""
+    """Use the session's checkpoint folder. Only a local master may do without
+    one (it gets a temporary folder); on a cluster executors would each write
+    to their own disk, so a missing ``spark.checkpoint.dir`` is an error."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master {master})")
         d = tempfile.mkdtemp(prefix="hrsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

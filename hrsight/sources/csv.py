@@ -1,20 +1,27 @@
 """CSV employee files: scan (S1), extension filter (S2), validation (S3),
 write (S4).
 
-Reading is Spark's CSV source with a header; a declared schema is used when
-given (the right choice at scale: inference costs an extra pass), else
-inference. Missing-value tokens are normalised after a string read
-(Spark's ``nullValue`` takes one token only). Validation reports every
-problem at once from Spark's file listing (``binaryFile`` with the content
-column dropped, so only path and length are read) and one parse of the
-data with a corrupt-record column.
+Cells follow RFC 4180: a quoted cell may hold separators, newlines and doubled
+quotes, and the writer quotes the same way, so a written table reads back as it
+was. Give a declared schema where one is known: without it the types come from
+one extra pass over the cleaned text. Missing-value tokens are normalised after
+a string read (Spark's ``nullValue`` takes one token only).
+
+Validation reports every problem at once, from Spark's file listing
+(``binaryFile`` without its content column, so only path and length are read)
+and one parse with a column more than the header has: a record that fills it
+has more fields than the header. Records with fewer fields are padded with NULL,
+as the usual readers do.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from hrsight.functions.exprs import col
 
 # Text read as missing (the usual CSV reader defaults).
 NA_TOKENS: tuple[str, ...] = (
@@ -22,16 +29,20 @@ NA_TOKENS: tuple[str, ...] = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 CSV_GLOB = "*.[cC][sS][vV]"
-DEFAULT_MAX_BYTES = 50 * 1024 * 1024
-CORRUPT = "_corrupt_record"
+# Quoted cells: doubled quotes inside, separators and newlines allowed.
+QUOTING = {"quote": '"', "escape": '"', "header": True}
+# Text that reads as a number; Java's own forms such as "1D" or "0x1p3" stay text.
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
 def read_employees(spark: SparkSession, path: str, schema: StructType | str | None = None,
-                   infer: bool = True, normalise_na: bool = True, multiline: bool = False) -> DataFrame:
+                   infer: bool = True, normalise_na: bool = True, multiline: bool = True) -> DataFrame:
     """Employee table from one CSV file or a folder of them (only ``.csv``
     files, any letter case). Text cells equal to an NA token become NULL and
-    inference then runs on the cleaned text."""
-    reader = (spark.read.option("header", True).option("pathGlobFilter", CSV_GLOB)
+    inference then runs on the cleaned text. ``multiline=False`` lets Spark
+    split large files, for data known to have no newline inside a cell."""
+    reader = (spark.read.options(**QUOTING).option("pathGlobFilter", CSV_GLOB)
               .option("multiLine", multiline).option("mode", "PERMISSIVE"))
     if schema is not None:
         df = reader.schema(schema).csv(path)
@@ -39,50 +50,39 @@ def read_employees(spark: SparkSession, path: str, schema: StructType | str | No
     raw = reader.option("inferSchema", False).csv(path)
     if normalise_na:
         raw = _null_tokens(raw)
-    if not infer:
+    if not infer or not raw.columns:
         return raw
-    # Infer on the cleaned strings: a column is integer / double when every
-    # non-NULL value casts, else it stays text. One aggregate pass.
+    # One aggregate pass: what every value of a column reads as, and the range of its integers.
     checks = []
-    for c in raw.columns:
-        x = F.col(f"`{c}`")
-        checks += [F.sum(F.when(x.isNotNull() & x.try_cast("bigint").isNull(), 1).otherwise(0)).alias(f"i|{c}"),
-                   F.sum(F.when(x.isNotNull() & x.try_cast("double").isNull(), 1).otherwise(0)).alias(f"d|{c}"),
-                   F.sum(F.when(x.isNotNull() & ~F.lower(x).isin("true", "false"), 1)
-                         .otherwise(0)).alias(f"b|{c}"),
-                   F.count(x).alias(f"n|{c}")]
-    r = raw.agg(*checks).collect()[0] if raw.columns else None
+    for i, c in enumerate(raw.columns):
+        x = col(c)
+        whole = F.when(x.rlike(INTEGER), F.trim(x).try_cast("bigint"))
+        checks += [F.count(x).alias(f"n{i}"), F.count(whole).alias(f"i{i}"),
+                   F.min(whole).alias(f"lo{i}"), F.max(whole).alias(f"hi{i}"),
+                   F.count(F.when(x.rlike(DECIMAL), 1)).alias(f"d{i}"),
+                   F.count(F.when(F.lower(x).isin("true", "false"), 1)).alias(f"b{i}")]
+    r = raw.agg(*checks).first()
     cols = []
-    for c in raw.columns:
-        x = F.col(f"`{c}`")
-        if not r[f"n|{c}"]:
+    for i, c in enumerate(raw.columns):
+        x, n = col(c), r[f"n{i}"]
+        if not n:
             cols.append(x.alias(c))
-        elif not r[f"b|{c}"]:
+        elif r[f"b{i}"] == n:
             cols.append((F.lower(x) == "true").alias(c))
-        elif not r[f"i|{c}"]:
-            cols.append(x.cast("bigint").alias(c))
-        elif not r[f"d|{c}"]:
-            cols.append(x.cast("double").alias(c))
+        elif r[f"i{i}"] == n:
+            small = -2**31 <= r[f"lo{i}"] and r[f"hi{i}"] < 2**31
+            cols.append(F.trim(x).cast("int" if small else "bigint").alias(c))
+        elif r[f"d{i}"] == n:
+            cols.append(F.trim(x).cast("double").alias(c))
         else:
             cols.append(x.alias(c))
-    out = raw.select(*cols)
-    # Integers that fit 32 bits become int, as the usual readers do.
-    ints = [c for c in out.columns if out.schema[c].dataType.simpleString() == "bigint"]
-    if ints:
-        rng = out.agg(*[e for c in ints for e in (F.min(f"`{c}`").alias(f"lo|{c}"),
-                                                  F.max(f"`{c}`").alias(f"hi|{c}"))]).collect()[0]
-        small = {c for c in ints if rng[f"lo|{c}"] is not None and -2**31 <= rng[f"lo|{c}"]
-                 and rng[f"hi|{c}"] < 2**31}
-        out = out.select(*[F.col(f"`{c}`").cast("int").alias(c) if c in small else F.col(f"`{c}`")
-                           for c in out.columns])
-    return out
+    return raw.select(*cols)
 
 
 def _null_tokens(df: DataFrame) -> DataFrame:
     return df.select(*[
-        (F.when(F.trim(F.col(f"`{f.name}`")).isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(f"`{f.name}`"))
-         .alias(f.name)) if isinstance(f.dataType, StringType) else F.col(f"`{f.name}`")
-        for f in df.schema.fields])
+        F.when(F.trim(col(f.name)).isin(*NA_TOKENS), F.lit(None)).otherwise(col(f.name)).alias(f.name)
+        if isinstance(f.dataType, StringType) else col(f.name) for f in df.schema.fields])
 
 
 def allowed_file(name: str) -> bool:
@@ -90,39 +90,58 @@ def allowed_file(name: str) -> bool:
     return "." in name and name.rsplit(".", 1)[1].lower() == "csv"
 
 
+def _missing_path(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in (e.getCondition() or "") or "PATH_NOT_FOUND" in str(e)
+
+
 def validate(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """All problems of a CSV file (or folder) as rows (check, ok, detail):
-    exists, allowed extension, non-empty, size limit (off unless
-    ``max_bytes``), parses, has rows, has columns."""
+    exists, extension, non_empty, size_limit (off unless ``max_bytes``),
+    parses, has_rows, has_columns. Only a missing path is a finding; other
+    failures of the file system are raised."""
     checks: list[tuple[str, bool, str]] = []
+
+    def note(check: str, ok: bool, detail: str) -> None:
+        checks.append((check, ok, "" if ok else detail))
+
+    def report() -> DataFrame:
+        return spark.createDataFrame(checks, "check string, ok boolean, detail string")
+
+    try:
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "length")
+                 .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"),
+                      F.sum(F.when(~F.lower("path").endswith(".csv"), 1).otherwise(0)).alias("bad"))).first()
+    except AnalysisException as e:
+        if not _missing_path(e):
+            raise
+        note("exists", False, f"nothing found at {path}")
+        return report()
+    total = files["bytes"] or 0
+    note("exists", files["files"] > 0, f"nothing found at {path}")
+    note("extension", not files["bad"], f"{files['bad']} file(s) without the .csv ending")
+    note("non_empty", total > 0, "0 bytes")
+    if max_bytes is not None:
+        note("size_limit", total <= max_bytes, f"{total} bytes, limit {max_bytes}")
+    if not total:
+        return report()
+    reader = spark.read.options(**QUOTING).option("multiLine", True).option("pathGlobFilter", CSV_GLOB)
     try:
-        listing = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "length")
-        files = listing.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"),
-                            F.sum(F.when(~F.lower("path").endswith(".csv"), 1).otherwise(0)).alias("bad")
-                            ).collect()[0]
-    except Exception as e:  # noqa: BLE001 - a missing path is a finding, not an error
-        files = None
-        checks.append(("exists", False, f"File does not exist: {type(e).__name__}"))
-    if files is not None:
-        checks.append(("exists", files["files"] > 0, "" if files["files"] else "File does not exist."))
-        checks.append(("extension", not files["bad"], "" if not files["bad"] else "Only CSV files are allowed."))
-        total = files["bytes"] or 0
-        checks.append(("non_empty", total > 0, "" if total > 0 else "File is empty."))
-        if max_bytes is not None:
-            checks.append(("size_limit", total <= max_bytes,
-                           "" if total <= max_bytes else f"File exceeds {max_bytes // (1024 * 1024)}MB limit."))
-        if total > 0:
-            try:
-                raw = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-                       .option("pathGlobFilter", CSV_GLOB).option("columnNameOfCorruptRecord", CORRUPT).csv(path))
-                ncols = len([c for c in raw.columns if c != CORRUPT])
-                stats = raw.agg(F.count(F.lit(1)).alias("n")).collect()[0]
-                checks.append(("parses", True, ""))
-                checks.append(("has_rows", stats["n"] > 0, "" if stats["n"] else "CSV file contains no data."))
-                checks.append(("has_columns", ncols > 0, "" if ncols else "CSV file has no columns."))
-            except Exception as e:  # noqa: BLE001
-                checks.append(("parses", False, f"Error reading CSV: {type(e).__name__}"))
-    return spark.createDataFrame(checks, "check string, ok boolean, detail string")
+        header = reader.csv(path).columns
+    except AnalysisException as e:  # no readable header
+        note("parses", False, e.getCondition() or "no header")
+        return report()
+    extra = "more_fields"
+    while extra in header:
+        extra += "_"
+    wide = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))] + [StructField(extra, StringType())])
+    # an empty cell must not look like an absent one, and unread columns must not be skipped
+    rows = (reader.schema(wide).option("mode", "PERMISSIVE").option("nullValue", "\u0001").option("enforceSchema", True)
+            .csv(path).agg(F.count(F.lit(1)).alias("n"), F.count(extra).alias("wide"),
+                           *[F.count(f"c{i}") for i in range(len(header))])).first()
+    note("parses", rows["wide"] == 0, f"{rows['wide']} record(s) with more fields than the header's {len(header)}")
+    note("has_rows", rows["n"] > 0, "no record after the header")
+    note("has_columns", len(header) > 0, "empty header")
+    return report()
 
 
 def problems(validation: DataFrame) -> list[str]:
@@ -130,5 +149,5 @@ def problems(validation: DataFrame) -> list[str]:
 
 
 def write_employees(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Dataset as CSV with a header (one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Dataset as CSV with a header (one file per partition), quoted as it is read."""
+    df.write.mode(mode).options(**QUOTING).csv(path)

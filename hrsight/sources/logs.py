@@ -8,6 +8,7 @@ are ``uuid()`` and times ``current_timestamp()``, both evaluated by Spark.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,21 +37,30 @@ def log_report(spark: SparkSession, path: str, user_id: int, filename: str, fmt:
                        F.current_timestamp().alias("created_at")), path)
 
 
+def _nothing_there(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in (e.getCondition() or "") or "PATH_NOT_FOUND" in str(e)
+
+
 def read_log(spark: SparkSession, path: str, schema: str = ACTIVITY_SCHEMA) -> DataFrame:
-    """The log table, or an empty one when nothing was written yet."""
+    """The log table, or an empty one when nothing was written yet. Any other
+    failure (an unreachable store, say) is raised, not read as an empty log."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - no files yet means an empty log
+        return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as e:
+        if not _nothing_there(e):
+            raise
         return spark.createDataFrame([], schema)
 
 
 def read_json_entries(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     """Entries of a ``{key: [ ... ]}`` JSON document; an empty frame when the
     file is missing or does not parse (the default)."""
+    fields = ",".join(":".join(p.strip().split(" ", 1)) for p in schema.split(","))
     try:
-        fields = ",".join(":".join(p.strip().split(" ", 1)) for p in schema.split(","))
         doc = (spark.read.option("multiLine", True).option("mode", "PERMISSIVE")
                .schema(f"{key} array<struct<{fields}>>").json(path))
-        return doc.select(F.explode(key).alias("e")).select("e.*")
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if not _nothing_there(e):
+            raise
         return spark.createDataFrame([], schema)
+    return doc.select(F.explode(key).alias("e")).select("e.*")

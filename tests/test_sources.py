@@ -33,14 +33,14 @@ def test_validation_reports_problems(spark):
     d = tempfile.mkdtemp(prefix="hrsight-test-")
     empty = os.path.join(d, "empty.csv")
     _write(empty, "")
-    assert "File is empty." in csv.problems(csv.validate(spark, empty))
+    assert "0 bytes" in csv.problems(csv.validate(spark, empty))
     header = os.path.join(d, "header.csv")
     _write(header, "a,b\n")
-    assert csv.problems(csv.validate(spark, header)) == ["CSV file contains no data."]
+    assert csv.problems(csv.validate(spark, header)) == ["no record after the header"]
     good = os.path.join(d, "good.csv")
     _write(good, "a,b\n1,2\n")
     assert csv.problems(csv.validate(spark, good)) == []
-    assert csv.problems(csv.validate(spark, good, max_bytes=3)) == ["File exceeds 0MB limit."]
+    assert csv.problems(csv.validate(spark, good, max_bytes=3)) == [f"{os.path.getsize(good)} bytes, limit 3"]
     assert csv.problems(csv.validate(spark, os.path.join(d, "missing.csv")))
     assert csv.allowed_file("x.CsV") and not csv.allowed_file("x.txt") and not csv.allowed_file("csv")
 
@@ -157,9 +157,66 @@ def test_json_report_sink_and_filename(spark):
     assert report.report_filename("json", datetime(2026, 6, 12, 10, 20, 59)) == "report_20260612_102059.json"
 
 
-def test_wide_crosstab_is_bounded(spark):
+def test_wide_crosstab_takes_its_columns_from_the_caller(spark):
     from hrsight.operators import describe
     df = synthetic.synthetic_employees(spark, 200)
+    assert describe.attrition_crosstab(df, wide=synthetic.JOB_ROLES).columns == ["department", *synthetic.JOB_ROLES]
+
+
+def test_crosstab_of_many_roles(spark):
+    from hrsight.operators import describe
+    rows = [("A" if i % 2 else "B", f"role{i}", "Yes") for i in range(1500)]
+    df = spark.createDataFrame(rows, "Department string, JobRole string, Attrition string")
+    got = describe.attrition_crosstab(df).collect()
+    assert len(got) == 3000 and sum(r.employees for r in got) == 1500
+    assert {r.attrition_pct for r in got if not r.employees} == {0.0}
+
+
+def test_quoted_cells_read_as_written(spark, tmp_path):
+    path = str(tmp_path / "q.csv")
+    with open(path, "w", newline="") as f:
+        f.write('EmployeeID,Title,Age\r\nE1,"He said ""hi"", ok",30\r\nE2,"two\nlines",31\r\nE3,plain,\r\n')
+    rows = csv.read_employees(spark, path).orderBy("EmployeeID").collect()
+    assert [tuple(r) for r in rows] == [("E1", 'He said "hi", ok', 30), ("E2", "two\nlines", 31), ("E3", "plain", None)]
+    assert csv.problems(csv.validate(spark, path)) == []
+
+
+def test_round_trip_of_awkward_cells(spark):
+    rows = [("E1", 'a "quoted" word', 1.5), ("E2", "new\nline, comma", None), ("E3", 'back\\slash\\', 2.0), ("E4", '"', -0.25)]
+    df = spark.createDataFrame(rows, "EmployeeID string, note string, x double")
+    path = scratch_path(spark, "awkward-csv")
+    csv.write_employees(df, path)
+    assert sorted(map(tuple, csv.read_employees(spark, path).collect())) == sorted(rows)
+
+
+def test_number_suffixes_stay_text_and_odd_headers_work(spark, tmp_path):
+    path = str(tmp_path / "n.csv")
+    with open(path, "w") as f:
+        f.write("room,a`b,x.y,n,big,flag\n1D,1,0.5, 7 ,3000000000,true\n2F,2,1e3,8,1,FALSE\n3d,,-.5,9,2,True\n")
+    df = csv.read_employees(spark, path)
+    assert dict(df.dtypes) == {"room": "string", "a`b": "int", "x.y": "double", "n": "int", "big": "bigint", "flag": "boolean"}
+    assert [r[0] for r in df.orderBy("room").collect()] == ["1D", "2F", "3d"]
+
+
+def test_records_with_more_fields_do_not_parse(spark, tmp_path):
+    path = str(tmp_path / "r.csv")
+    with open(path, "w") as f:
+        f.write("a,b\n1,2\n1,2,3,4\n5\n")
+    found = {r.check: (r.ok, r.detail) for r in csv.validate(spark, path).collect()}
+    assert found["parses"] == (False, "1 record(s) with more fields than the header's 2") and found["has_rows"][0]
+
+
+def test_unreadable_store_is_an_error_not_an_empty_log(spark, tmp_path):
+    assert logs.read_log(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception):
+        logs.read_log(spark, "nosuchfs://host/path").count()
+
+
+def test_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from hrsight import session
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))
     with pytest.raises(ValueError):
-        describe.attrition_crosstab(df, wide=True, max_columns=3)
-    assert len(describe.attrition_crosstab(df, wide=True).columns) == 1 + len(synthetic.JOB_ROLES)
+        session.ensure_checkpoint_dir(fake)

@@ -46,3 +46,22 @@ def test_live_attrition_memory_sink(spark):
     q.awaitTermination(120)
     got = {r["group"]: (r["employees"], r["attrition_rate"]) for r in spark.table(name).collect()}
     assert got == {"HR": (2, 50.0), "IT": (1, 0.0)}
+
+
+def test_retried_batch_writes_the_same_rows(spark):
+    """The batch function of a query that is run again over the same files, with a fresh checkpoint, replaces its rows."""
+    folder = tempfile.mkdtemp(prefix="hrsight-uploads-")
+    os.makedirs(os.path.join(folder, "x"))
+    os.makedirs(os.path.join(folder, "y"))
+    _csv(os.path.join(folder, "x"), "a.csv", [("1", "HR", "Yes")])
+    _csv(os.path.join(folder, "y"), "a.csv", [("2", "HR", "No"), ("3", "HR", "No")])
+    log_path = scratch_path(spark, f"test-stream-log-{uuid.uuid4().hex}")
+    seen = []
+    for turn in range(2):
+        stream = uploads.upload_stream(spark, folder + "/*", SCHEMA)
+        q = uploads.log_uploads(stream, log_path, user_id=7, query_name="again", available_now=True,
+                                checkpoint=scratch_path(spark, f"test-stream-ckpt-{uuid.uuid4().hex}"))
+        q.awaitTermination(120)
+        seen.append(sorted((r["id"], r["details"]) for r in logs.read_log(spark, log_path).collect()))
+    assert seen[0] == seen[1]
+    assert [d for _, d in sorted(seen[0], key=lambda x: x[1])] == ["Uploaded 1 rows, 3 columns", "Uploaded 2 rows, 3 columns"]
