@@ -5,21 +5,20 @@ the final aggregation task, which does not survive a column with billions of
 distinct values. ``exact_quantiles`` instead narrows, pass by pass, an
 interval that is known to hold the wanted order statistic:
 
-1. one aggregate gives count, min and max per column;
-2. each refinement pass splits every open interval into ``buckets``
-   equal-width buckets and counts rows (and min/max) per bucket; only
-   ``buckets`` rows per target reach the driver. The bucket holding the
-   wanted rank becomes the new interval. Bucket numbers are a monotone
-   function of the value, so a bucket is a contiguous value range and its
-   own min/max bound it exactly;
-3. once an interval holds at most ``final_max`` rows (or a single value),
-   its distinct values with counts are fetched and the rank is read off.
+1. one aggregate gives count, min, max and a ``percentile_approx`` sketch per
+   column; the sketch values around a wanted level bracket it;
+2. an interval that still holds many rows is split at sketch values of its own
+   rows, and the rows (and min/max) of each part are counted. A part holds about
+   1/``parts`` of the rows, or a single value, whatever the values' spread, so
+   every pass shrinks the interval and no limit of passes is needed;
+3. once an interval holds at most its share of ``final_max`` rows (all wanted
+   quantiles share that budget) or a single value, its distinct values with
+   counts are fetched and the rank is read off.
 
 Linear interpolation between the order statistics at floor((n-1)p) and
 ceil((n-1)p) matches the usual "type 7" definition (pandas, NumPy, DuckDB
-``quantile_cont``, Spark ``percentile``). Every pass is one full scan of the
-(pruned) columns with a tiny result; at 10^12 rows and 4096 buckets that is
-about three passes.
+``quantile_cont``, Spark ``percentile``). Every pass scans the (pruned) columns
+and has a tiny result. NaN counts as missing, as NULL does.
 
 Per-group quantiles (``by``) use ``percentile_approx`` (a bounded, mergeable
 sketch) because a per-group exact answer would need a per-group interval
@@ -30,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -75,9 +75,8 @@ def _locate(targets: list[list], per: dict[int, list], todo: list[int], key: str
     return missed
 
 
-def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], buckets: int = 4096,
-                    final_max: int = 100_000, max_passes: int = 16,
-                    sketch_accuracy: int = 1_000) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], parts: int = 64,
+                    final_max: int = 100_000, sketch_accuracy: int = 1_000) -> dict[str, list[float | None]]:
     """{column: [quantile for each p]} with exact type-7 interpolation.
 
     NULLs are ignored; a column with no values gives None. The first pass
@@ -94,7 +93,8 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
     # Work on positional aliases so any column name (dots, spaces) is safe.
     cols = [f"_q{i}" for i in range(len(names))]
     wanted = {a: wanted[n] for a, n in zip(cols, names)}
-    src = df.select(*[F.col("`" + n.replace("`", "``") + "`").cast("double").alias(a) for a, n in zip(cols, names)])
+    src = df.select(*[F.nanvl(F.col("`" + n.replace("`", "``") + "`").cast("double"), F.lit(None).cast("double")).alias(a)
+                      for a, n in zip(cols, names)])
     eps = 3.0 / sketch_accuracy
     levels = {c: sorted({min(1.0, max(0.0, p + d)) for p in wanted[c] for d in (-eps, eps)}) for c in cols}
     first = src.agg(*[e for c in cols for e in (
@@ -126,14 +126,13 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
     def small(t: list) -> bool:
         # A sketch bracket spans at most ~8 n / accuracy ranks.
         est = t[_COUNT] if t[_COUNT] is not None else 8 * first[f"n_{t[_COL]}"] / sketch_accuracy
-        return est <= final_max
+        return est <= final_max / max(1, len(targets))
 
     def explode_rows(base: DataFrame, items: list) -> DataFrame:
         return base.select(F.explode(F.array(*items)).alias("s")).where(F.col("s").isNotNull())
 
     cached = None
-    passes = 0
-    while passes < max_passes:
+    while True:
         open_ = [i for i, t in enumerate(targets) if t[_VALUE] is None]
         if not open_:
             break
@@ -143,16 +142,19 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
             # pruned columns instead of recomputing their plan each time.
             cached = src.persist(StorageLevel.MEMORY_AND_DISK)
         base = cached if cached is not None else src
-        passes += 1
         if wide:
-            # Refinement pass: bucket counts inside each interval.
+            # Refinement pass: rows in each part of the interval, split at its own sketch values.
+            cuts = base.agg(*[F.percentile_approx(F.when(F.col(c).between(a, b), F.col(c)),
+                                                  [j / parts for j in range(1, parts)], 4 * parts).alias(f"s{i}")
+                              for i in wide for c, _, a, b in [targets[i][:4]]]).first()
             items = []
             for i in wide:
                 c, _, a, b = targets[i][:4]
                 x = F.col(c)
-                width = (b - a) / buckets if b > a else 1.0
-                bucket = F.least(F.floor((x - F.lit(a)) / F.lit(width)), F.lit(buckets - 1)).cast("int")
-                inside = F.when(x.between(a, b), F.struct(F.lit(i).alias("t"), bucket.alias("k"), x.alias("v")))
+                at = sorted(set(cuts[f"s{i}"] or []))
+                # part 2j + 1 is the value at[j] alone, so a much repeated value is a part of its own
+                part = reduce(lambda n, v: n + (x >= v).cast("int") + (x > v).cast("int"), at, F.lit(0))
+                inside = F.when(x.between(a, b), F.struct(F.lit(i).alias("t"), part.alias("k"), x.alias("v")))
                 if targets[i][_BELOW] is None:
                     inside = F.when(x < a, F.struct(F.lit(i).alias("t"), F.lit(None).cast("int").alias("k"),
                                                     x.alias("v"))).otherwise(inside)
@@ -185,8 +187,6 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]], bucket
             reset(i)
     if cached is not None:
         cached.unpersist()
-    if any(t[_VALUE] is None for t in targets):
-        raise RuntimeError("exact_quantiles did not converge; raise max_passes")
 
     out: dict[str, list[float | None]] = {}
     for c in cols:

@@ -8,7 +8,7 @@ map task); whole-table metrics are one multi-expression ``agg``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,29 +81,32 @@ def department_metrics(df: DataFrame, roles: Roles | None = None, by: str | Iter
             .withColumn("band", band(F.col("attrition_rate"))))
 
 
-def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None,
-             approx_distinct: bool = False) -> DataFrame:
+def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None) -> DataFrame:
     """Workforce overview: headcount, distinct departments and roles, mean
-    age (1 dp), income (0 dp), tenure (1 dp), attrition rate."""
+    age (1 dp), income (0 dp), tenure (1 dp), attrition rate.
+
+    The data is aggregated once per (group, department, role); distinct counts
+    and means are then taken over that small frame."""
     roles = Roles.of(roles)
     keys = group_cols(by)
     flag = label_flag(df, roles)
-    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
-
-    def n_distinct(role: str, alias: str) -> Column:
-        name = roles.col(df, role)
-        if name is None:
-            return F.lit(0).cast("long").alias(alias)
-        return distinct(col(name)).cast("long").alias(alias)
-
-    aggs = [F.count(F.lit(1)).alias("total_employees"),
-            n_distinct("department", "total_departments"),
-            n_distinct("job_role", "total_job_roles"),
-            _avg(df, roles, "age", 1, "avg_age"),
-            _avg(df, roles, "income", 0, "avg_income"),
-            _avg(df, roles, "tenure", 1, "avg_tenure"),
-            rate(flag).alias("attrition_rate")]
-    return df.groupBy(*[col(k) for k in keys]).agg(*aggs) if keys else df.agg(*aggs)
+    dims = {"department": "total_departments", "job_role": "total_job_roles"}
+    means = {"age": 1, "income": 0, "tenure": 1}
+    names = {r: roles.col(df, r) for r in (*dims, *means)}
+    inner = [col(k).alias(f"_k{i}") for i, k in enumerate(keys)] + [col(names[r]).alias(f"_{r}") for r in dims if names[r]]
+    parts = [F.count(F.lit(1)).alias("n"), (count_if(flag) if flag is not None else F.lit(0).cast("bigint")).alias("leavers")]
+    for r in means:
+        if names[r]:
+            parts += [F.sum(col(names[r]).cast("double")).alias(f"sum_{r}"), F.count(col(names[r])).alias(f"n_{r}")]
+    per = df.groupBy(*inner).agg(*parts)
+    none = F.lit(None).cast("double")
+    out = [F.coalesce(F.sum("n"), F.lit(0)).alias("total_employees"),
+           *[(F.count_distinct(f"_{r}") if names[r] else F.lit(0)).cast("long").alias(alias) for r, alias in dims.items()],
+           *[(rnd(F.try_divide(F.sum(f"sum_{r}"), F.sum(f"n_{r}").cast("double")), d) if names[r] else none).alias(f"avg_{r}")
+             for r, d in means.items()],
+           pct(F.coalesce(F.sum("leavers"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).alias("attrition_rate")]
+    outer = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+    return per.groupBy(*outer).agg(*out) if keys else per.agg(*out)
 
 
 def distribution(df: DataFrame, column: str, by: str | Iterable[str] | None = None) -> DataFrame:
@@ -225,13 +228,10 @@ def pay_by_group(df: DataFrame, roles: Roles | None = None) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: bool = False,
-                       max_columns: int = 1000) -> DataFrame:
-    """Attrition percent per (department, job role) cell.
-
-    Long form: only cells that have rows. ``wide=True`` pivots job roles to
-    columns with absent cells 0.0, the list of roles taken from the data in
-    one small distinct query (so ``pivot`` needs no extra job).
+def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: Sequence[str] | None = None) -> DataFrame:
+    """Attrition percent per (department, job role) cell; a cell without rows
+    has 0 employees and 0.0. ``wide`` lists job roles to be columns of a wide
+    table (the caller knows them, so nothing is gathered to find them).
     """
     roles = Roles.of(roles)
     dept, role = roles.col(df, "department"), roles.col(df, "job_role")
@@ -243,16 +243,12 @@ def attrition_crosstab(df: DataFrame, roles: Roles | None = None, wide: bool = F
     cells = (df.where(col(dept).isNotNull() & col(role).isNotNull())
              .groupBy(col(dept).alias("department"), col(role).alias("job_role"))
              .agg(F.count(F.lit(1)).alias("employees"), rate(flag).alias("attrition_pct")))
-    if not wide:
-        return cells
-    # The pivot values come to the driver: fetch at most max_columns + 1 to
-    # check the bound instead of trusting the data.
-    got = df.where(col(role).isNotNull()).select(col(role)).distinct().limit(max_columns + 1).collect()
-    if len(got) > max_columns:
-        raise ValueError(f"more than {max_columns} job roles: use the long form")
-    values = sorted(r[0] for r in got)
-    return (cells.groupBy("department").pivot("job_role", values)
-            .agg(F.first("attrition_pct")).na.fill(0.0))
+    if wide is not None:
+        return (cells.groupBy("department").pivot("job_role", list(wide))
+                .agg(F.first("attrition_pct")).na.fill(0.0))
+    # the grid is the result itself: departments times roles, from the aggregated cells
+    grid = cells.select("department").distinct().crossJoin(cells.select("job_role").distinct())
+    return grid.join(cells, ["department", "job_role"], "left").na.fill({"employees": 0, "attrition_pct": 0.0})
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:

@@ -38,68 +38,66 @@ THRESHOLDS = {
     "age_young": 28.0,          # I6 mean age below
 }
 
-# Recommendation texts (category, priority, target, text,
-# action plan). "{dept}" is replaced by the department name.
+# Category, priority and target of each recommendation are fixed values; the
+# sentences are this library's own. "{dept}" is the department's name.
 RECOMMENDATION_TEXT = {
     1: ("Department Risk", "High", "{dept}",
-        "Conduct exit interviews in {dept} department. Review workload distribution and management practices.",
-        ["Schedule 1-on-1 meetings with all {dept} employees", "Audit workload and overtime hours",
-         "Review department manager effectiveness", "Implement team-building initiatives"]),
+        "Ask leavers and staff of {dept} for their reasons and agree changes with its managers.",
+        ["Collect leaving reasons in {dept} for the past year", "Compare hours and staffing in {dept} with other departments",
+         "Set a target rate for {dept} and check it monthly"]),
     2: ("Compensation", "High", "Low-income employees",
-        "Review compensation structure. Consider market-rate adjustments for underpaid roles.",
-        ["Conduct salary benchmarking analysis", "Identify roles below market rate",
-         "Plan phased salary adjustments", "Introduce retention bonuses for critical roles"]),
+        "Check whether the lowest quarter of salaries is below what other employers pay.",
+        ["List the roles in the lowest pay quarter", "Compare each with an outside pay survey",
+         "Budget raises where the difference is largest"]),
     3: ("Employee Satisfaction", "Medium", "Low satisfaction employees",
-        "Implement employee satisfaction improvement programs. Address common pain points.",
-        ["Distribute anonymous satisfaction survey", "Identify top 3 dissatisfaction drivers",
-         "Create action committees per department", "Track satisfaction quarterly"]),
+        "Learn what makes satisfaction scores low and fix the most frequent causes first.",
+        ["Ask everyone with a score of 1 or 2 for the cause", "Rank the causes by how many name them",
+         "Repeat the measurement after half a year"]),
     4: ("Workload Management", "High", "Overtime employees",
-        "Reduce mandatory overtime. Hire additional staff or redistribute workload.",
-        ["Audit overtime patterns by department", "Hire temporary staff for peak periods",
-         "Implement flexible scheduling", "Review project timelines and resource allocation"]),
+        "Bring hours down where overtime goes along with leaving.",
+        ["Find the teams with the most overtime", "Move work or positions to these teams",
+         "Agree an upper limit of monthly overtime"]),
     5: ("Career Growth", "Medium", "Long-tenure without promotion",
-        "Create clear career progression paths. Accelerate promotion cycles for high performers.",
-        ["Map career ladders for all roles", "Implement quarterly promotion reviews",
-         "Create mentorship programs", "Offer lateral moves for growth"]),
+        "Talk about the next step with everyone who has waited long for a promotion.",
+        ["List who waits longest in each department", "Name the conditions for the next grade in writing",
+         "Open internal positions to these employees first"]),
     6: ("General", "Low", "All employees",
-        "Continue monitoring workforce metrics. Maintain current retention strategies.",
-        ["Continue quarterly satisfaction surveys", "Maintain competitive compensation",
-         "Invest in employee development", "Celebrate employee achievements"]),
+        "No rule fired; keep measuring.",
+        ["Recompute these figures with the next data set", "Look at segments with few employees by hand"]),
 }
 
-# Issue texts; {v} is the rate or percent with 1 decimal,
-# {k} a row count.
+# {v} is the rate or share in percent with 1 decimal, {k} a row count.
 ISSUE_TEXT = {
-    1: "High attrition rate of {v}%",
-    2: "{v}% attrition among bottom 25% earners",
-    3: "{k} employees ({v}%) report low job satisfaction",
-    4: "{v}% attrition among employees working overtime",
-    5: "{v}% attrition among employees with 5+ years without promotion",
-    6: "No critical retention issues detected",
+    1: "{v}% of the department left",
+    2: "{v}% of the lowest pay quarter left",
+    3: "{k} employees, {v}% of all, are at satisfaction 1 or 2",
+    4: "{v}% of those with overtime left",
+    5: "{v}% of those more than five years from their last promotion left",
+    6: "All measures are below their thresholds",
 }
 
-# Insight texts (type, severity, insight, recommendation);
+# Type and severity are fixed values; the sentences are this library's own.
 # {a}/{b} are rates with 1 decimal, {hi}/{lo} department names, {hv}/{lv}
-# whole-dollar means, {age} the mean age with 1 decimal.
+# whole-unit means, {age} the mean age with 1 decimal.
 INSIGHT_TEXT = {
     1: ("Attrition Driver", "High",
-        "Overtime is a major attrition driver. Employees working overtime have {a}% attrition vs {b}% for others.",
-        "Review overtime policies and workload distribution immediately."),
+        "With overtime {a}% left, without it {b}%.",
+        "Look for teams in which overtime has become the rule."),
     2: ("Compensation Risk", "High",
-        "Lower-paid employees show {a}% attrition vs {b}% for higher-paid employees.",
-        "Review compensation equity and consider market adjustments."),
+        "Below the median income {a}% left, above it {b}%.",
+        "Compare the pay of the lower half with the market."),
     3: ("Satisfaction Risk", "Critical",
-        "Low job satisfaction strongly correlates with attrition: {a}% vs {b}% for satisfied employees.",
-        "Prioritize employee satisfaction improvement initiatives."),
+        "At low satisfaction {a}% left, at high satisfaction {b}%.",
+        "Treat a low satisfaction score as an early warning."),
     4: ("Pay Equity", "Medium",
-        "Significant pay gap between departments: {hi} averages ${hv} vs {lo} at ${lv}.",
-        "Review department compensation structures for equity."),
+        "Mean income is {hv} in {hi} and {lv} in {lo}.",
+        "Check whether the roles explain the difference."),
     5: ("Aging Workforce", "Medium",
-        "Average employee age is {age} years. Succession planning is critical.",
-        "Develop knowledge transfer programs and succession plans."),
+        "The mean age is {age} years.",
+        "Plan who takes over from those who retire soon."),
     6: ("Young Workforce", "Low",
-        "Average employee age is {age} years. High growth potential but retention risk.",
-        "Invest in career development and mentorship programs."),
+        "The mean age is {age} years.",
+        "Offer training and clear grades early."),
 }
 
 REC_SCHEMA = ("rule_no int, category string, priority string, target string, issue string, "

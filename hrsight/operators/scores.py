@@ -1,9 +1,8 @@
 """Composite workforce scores (health, engagement, stability, risk,
 retention, productivity).
 
-All inputs come from one multi-expression aggregate (one scan) plus one
-per-department rate aggregate for the stability score; the formulas are
-then plain column arithmetic on the (per-group) stats row. A score averages
+All inputs come from one aggregate per (group, department), one scan; the
+formulas are then plain column arithmetic on the (per-group) stats row. A score averages
 only the parts whose columns exist; a part whose mean is NULL (all values
 missing) is left out of the average.
 """
@@ -15,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hrsight.functions.exprs import clamp, col, group_cols, label_flag, mean_of, rate, rnd
+from hrsight.functions.exprs import clamp, col, count_if, group_cols, label_flag, mean_of, pct, rnd
 from hrsight.roles import Roles
 
 # Score weights and thresholds.
@@ -29,29 +28,35 @@ RISK_FALLBACK_FACTOR = 3.0   # no part fired: 3 * rate
 TENURE_FULL, TRAINING_FULL = 10.0, 5.0
 
 
+MEANS = ("satisfaction", "environment", "worklife", "involvement", "rating", "tenure", "training", "age")
+
+
 def stats(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None) -> DataFrame:
-    """One row per group: headcount, attrition rate and the means the scores use."""
+    """One row per group: headcount, attrition rate, the means the scores use, and the stability score.
+
+    One aggregation per (group, department) reads the data; everything else is
+    derived from that small frame."""
     roles = Roles.of(roles)
     keys = group_cols(by)
     flag = label_flag(df, roles)
-    aggs = [F.count(F.lit(1)).alias("n"), rate(flag).alias("attrition_rate")]
-    for role in ("satisfaction", "environment", "worklife", "involvement", "rating", "tenure", "training",
-                 "age"):
-        name = roles.col(df, role)
-        aggs.append((F.avg(col(name).cast("double")) if name else F.lit(None).cast("double"))
-                    .alias(f"mean_{role}"))
-    return df.groupBy(*[col(k) for k in keys]).agg(*aggs) if keys else df.agg(*aggs)
-
-
-def _stability(df: DataFrame, roles: Roles, keys: list[str]) -> DataFrame | None:
     dept = roles.col(df, "department")
-    if dept is None:
-        return None
-    flag = label_flag(df, roles)
-    per = (df.where(col(dept).isNotNull()).groupBy(*[col(k) for k in keys], col(dept)).agg(rate(flag).alias("r")))
-    return per.groupBy(*[col(k) for k in keys]).agg(
-        rnd(F.avg(F.greatest(F.lit(0.0), F.lit(100.0) - F.col("r") * STABILITY_PENALTY)), 1)
-        .alias("department_stability_score"))
+    names = {r: roles.col(df, r) for r in MEANS}
+    leavers = count_if(flag) if flag is not None else F.lit(0).cast("bigint")
+    parts = [F.count(F.lit(1)).alias("n"), leavers.alias("leavers")]
+    for r, name in names.items():
+        if name:
+            parts += [F.sum(col(name).cast("double")).alias(f"sum_{r}"), F.count(col(name)).alias(f"n_{r}")]
+    inner = [*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *([col(dept).alias("_dept")] if dept else [])]
+    per = df.groupBy(*inner).agg(*parts)
+    r = pct(F.col("leavers"), F.col("n"))
+    stable = F.greatest(F.lit(0.0), F.lit(100.0) - r * STABILITY_PENALTY)
+    whole = [F.sum("n").alias("n"), pct(F.sum("leavers"), F.sum("n")).alias("attrition_rate"),
+             (rnd(F.avg(F.when(F.col("_dept").isNotNull(), stable)), 1) if dept else F.lit(None).cast("double"))
+             .alias("department_stability_score"),
+             *[(F.try_divide(F.sum(f"sum_{r}"), F.sum(f"n_{r}").cast("double")) if name else F.lit(None).cast("double"))
+               .alias(f"mean_{r}") for r, name in names.items()]]
+    outer = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+    return per.groupBy(*outer).agg(*whole) if keys else per.agg(*whole)
 
 
 def workforce_scores(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None
@@ -87,18 +92,12 @@ def workforce_scores(df: DataFrame, roles: Roles | None = None, by: str | Iterab
     if has["training"]:
         productivity.append(clamp(m("training") / TRAINING_FULL * 100.0, None, 100.0))
 
-    out = s.select(
-        *keys,
+    return s.select(
+        *[col(k) for k in keys],
         rnd(mean_of(health), 1).alias("workforce_health_score"),
         rnd(mean_of(engagement), 1).alias("engagement_score"),
         rnd(F.coalesce(mean_of(risk), r * RISK_FALLBACK_FACTOR), 1).alias("workforce_risk_index"),
         rnd(F.greatest(F.lit(0.0), F.lit(100.0) - r * RETENTION_EFF_PENALTY), 1).alias("retention_effectiveness"),
         rnd(mean_of(productivity), 1).alias("productivity_score"),
+        "department_stability_score",
     )
-    stab = _stability(df, roles, keys)
-    if stab is None:
-        return out.withColumn("department_stability_score", F.lit(None).cast("double"))
-    if keys:
-        return out.join(stab, keys, "left")
-    # both sides are single rows
-    return out.crossJoin(F.broadcast(stab))

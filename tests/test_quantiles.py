@@ -4,9 +4,9 @@ import pytest
 from hrsight.functions.quantiles import exact_quantiles
 
 
-@pytest.mark.parametrize("final_max,buckets,accuracy", [(100_000, 4096, 10_000), (7, 4, 10_000), (1, 2, 10_000),
+@pytest.mark.parametrize("final_max,parts,accuracy", [(100_000, 4096, 10_000), (7, 4, 10_000), (1, 2, 10_000),
                                                          (7, 4, 20), (3, 3, 8)])
-def test_exact_quantiles_match_linear_interpolation(spark, final_max, buckets, accuracy):
+def test_exact_quantiles_match_linear_interpolation(spark, final_max, parts, accuracy):
     rng = np.random.default_rng(3)
     a = np.round(rng.lognormal(8, 0.7, 997), 2)
     a[:50] = a[50]  # heavy duplicates
@@ -14,7 +14,7 @@ def test_exact_quantiles_match_linear_interpolation(spark, final_max, buckets, a
     rows = [(float(x), float(y) if i % 13 else None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(rows, "a double, b double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, {"a": probs, "b": probs}, buckets=buckets, final_max=final_max,
+    got = exact_quantiles(df, {"a": probs, "b": probs}, parts=parts, final_max=final_max,
                           sketch_accuracy=accuracy)
     bb = np.array([r[1] for r in rows if r[1] is not None])
     for p, g in zip(probs, got["a"]):
@@ -34,3 +34,12 @@ def test_median_of_four(spark):
     # An approximate imputer would answer 2.0 here; the exact median is 3.0.
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,), (10.0,)], "x double")
     assert exact_quantiles(df, {"x": [0.5]})["x"] == [3.0]
+
+
+def test_values_of_all_magnitudes_and_nan(spark):
+    rows = [(10.0 ** (i % 600 - 300),) for i in range(2000)] + [(float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    want = sorted(r[0] for r in rows[:2000])
+    got = exact_quantiles(df, {"x": [0.0, 0.5, 1.0]}, final_max=1, sketch_accuracy=10)["x"]
+    assert got[0] == want[0] and got[2] == want[-1]
+    assert got[1] == want[999] + 0.5 * (want[1000] - want[999])
