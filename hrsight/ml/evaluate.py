@@ -4,19 +4,21 @@ Accuracy and weighted precision / recall / F1 come from the confusion
 counts (a 2x2 aggregate); zero divisions give 0. The AUC is exact: Spark's
 binary evaluator with no down-sampling sorts the distinct scores in a
 distributed way (range partitioning plus per-partition offsets), so it
-never gathers the scores in one task. ROC points for charts use fixed
-probability bins, so the curve has at most ``bins + 1`` points whatever the
-data size, and the running sums run over that bounded frame.
+never gathers the scores in one task. ROC points are one for each distinct
+score, with running sums by range partition.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hrsight.ml.prep import LABEL
+from hrsight.session import scratch_path
 
 PROB = "p_left"
 
@@ -75,19 +77,29 @@ def auc(scored: DataFrame, score: str = PROB, label: str = LABEL,
     return ev.evaluate(scored.select(F.col(score).cast("double").alias(score), F.col(label).cast("double")))
 
 
-def roc_points(scored: DataFrame, score: str = PROB, label: str = LABEL, bins: int = 1000) -> DataFrame:
-    """(threshold, fpr, tpr) at ``bins`` fixed probability thresholds,
-    highest threshold first, starting at (0, 0)."""
-    b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int")
-    per = (scored.select(b.alias("bin"), F.col(label).alias("y"))
-           .groupBy("bin").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")))
-    # per has at most `bins` rows: the window below is over a bounded frame.
-    w = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = per.agg(F.sum("pos").alias("P"), (F.sum("n") - F.sum("pos")).alias("N"))
-    cum = per.select("bin", F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"))
-    pts = cum.crossJoin(F.broadcast(tot)).select(
-        (F.col("bin") / float(bins)).alias("threshold"),
-        F.coalesce(F.try_divide(F.col("fp"), F.col("N")), F.lit(0.0)).alias("fpr"),
-        F.coalesce(F.try_divide(F.col("tp"), F.col("P")), F.lit(0.0)).alias("tpr"))
-    origin = scored.sparkSession.createDataFrame([(1.0, 0.0, 0.0)], "threshold double, fpr double, tpr double")
+def roc_points(scored: DataFrame, score: str = PROB, label: str = LABEL) -> DataFrame:
+    """(threshold, fpr, tpr) at every distinct score, highest first, after (inf, 0, 0).
+
+    The running sums are distributed: scores are range-partitioned, each
+    partition sums its own, and gets the totals of the partitions before it
+    (one row for each partition)."""
+    spark = scored.sparkSession
+    per = (scored.groupBy(F.col(score).cast("double").alias("threshold"))
+           .agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+           .repartitionByRange(F.desc("threshold")).withColumn("part", F.spark_partition_id()))
+    path = scratch_path(spark, f"roc-{uuid.uuid4().hex}")
+    per.write.parquet(path)  # the partition numbers must not change between reads
+    per = spark.read.parquet(path)
+    w = Window.partitionBy("part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = per.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select("part", F.coalesce(F.sum("pos").over(before), F.lit(0)).alias("tp0"),
+                         F.coalesce(F.sum(F.col("n") - F.col("pos")).over(before), F.lit(0)).alias("fp0"),
+                         F.sum("pos").over(every).alias("P"), F.sum(F.col("n") - F.col("pos")).over(every).alias("N"))
+    cum = per.select("part", "threshold", F.sum("pos").over(w).alias("tp"), F.sum(F.col("n") - F.col("pos")).over(w).alias("fp"))
+    pts = cum.join(F.broadcast(parts), "part").select(
+        "threshold", F.coalesce(F.try_divide(F.col("fp") + F.col("fp0"), F.col("N")), F.lit(0.0)).alias("fpr"),
+        F.coalesce(F.try_divide(F.col("tp") + F.col("tp0"), F.col("P")), F.lit(0.0)).alias("tpr"))
+    origin = spark.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return origin.unionByName(pts).orderBy(F.desc("threshold"))

@@ -10,7 +10,9 @@ data replays exactly what training saw:
 * columns constant on the training split (min == max after filling) are
   dropped: one aggregate, no per-column distinct count;
 * text columns: ``StringIndexer`` in alphabetical order; a value not seen
-  in training gets code -1;
+  in training gets code -1. A column with more than ``WIDE`` values gets the
+  same codes from a table (distinct values in range-sorted order, numbered by
+  partition offsets) that is joined, so its values never reach the driver;
 * all features are standardised (mean 0, unit sample std).
 
 The label is the "left" flag of ``hrsight.functions.exprs.label_flag``;
@@ -20,23 +22,28 @@ rows without a label value are not used for training. Id-like columns
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from hrsight.functions.exprs import label_flag
 from hrsight.functions.quantiles import exact_quantiles
 from hrsight.roles import SEARCH_COLUMNS, Roles
+from hrsight.session import scratch_path
 
 LABEL = "label"
 WEIGHT = "class_weight"
 FEATURES = "features"
 ROW_KEY = "_row_key"
 UNKNOWN = "Unknown"
+# Text columns with more distinct values are coded by a joined table.
+WIDE = 10_000
 
 
 @dataclass
@@ -44,10 +51,11 @@ class FeatureSpec:
     numeric: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
     dropped: list[str] = field(default_factory=list)
+    wide: list[str] = field(default_factory=list)
 
     @property
     def names(self) -> list[str]:
-        return self.numeric + self.categorical
+        return self.numeric + self.categorical + self.wide
 
 
 def labelled(df: DataFrame, roles: Roles | None = None) -> DataFrame:
@@ -69,11 +77,9 @@ def row_key(df: DataFrame, roles: Roles | None = None) -> DataFrame:
 
 
 def candidate_features(df: DataFrame, roles: Roles | None = None, exclude: tuple[str, ...] = (),
-                       max_categories: int | None = 10_000) -> FeatureSpec:
-    """Numeric and text feature columns. Text columns with more than
-    ``max_categories`` distinct values (estimated in one pass with
-    ``approx_count_distinct``) are left out: their index labels would all
-    come to the driver and an id-like column is no feature anyway."""
+                       wide: int = WIDE) -> FeatureSpec:
+    """Numeric and text feature columns. Text columns with more than ``wide``
+    distinct values (estimated in one pass) are coded by a joined table."""
     roles = Roles.of(roles)
     skip = {LABEL, WEIGHT, ROW_KEY, FEATURES, roles.label_col(df), roles.id_col(df), *SEARCH_COLUMNS, *exclude}
     spec = FeatureSpec()
@@ -84,15 +90,38 @@ def candidate_features(df: DataFrame, roles: Roles | None = None, exclude: tuple
             spec.numeric.append(f.name)
         elif isinstance(f.dataType, StringType):
             spec.categorical.append(f.name)
-    if max_categories is not None and spec.categorical:
+    if spec.categorical:
         est = df.agg(*[F.approx_count_distinct(F.col(_q(c))).alias(f"d{i}")
                        for i, c in enumerate(spec.categorical)]).collect()[0]
-        wide = [c for i, c in enumerate(spec.categorical) if est[f"d{i}"] > max_categories]
-        spec.categorical = [c for c in spec.categorical if c not in wide]
-        spec.dropped.extend(wide)
+        spec.wide = [c for i, c in enumerate(spec.categorical) if est[f"d{i}"] > wide]
+        spec.categorical = [c for c in spec.categorical if c not in spec.wide]
     return spec
 
 
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the column's distinct texts (NULL as "Unknown") numbered from 0 in alphabetical order."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"codes-{uuid.uuid4().hex}")
+    (df.select(F.coalesce(F.col(_q(column)).cast("string"), F.lit(UNKNOWN)).alias("value")).distinct()
+     .repartitionByRange("value").withColumn("part", F.spark_partition_id()).write.parquet(path))
+    values = spark.read.parquet(path)
+    sizes = values.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row for each partition
+    first = sizes.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS first")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    return values.withColumn("within", within).join(F.broadcast(first), "part").select(
+        "value", (F.col("first") + F.col("within")).cast("double").alias("code"))
+
+
+def with_codes(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """Add ``_i_<column>`` for the columns coded by a table; a value that it lacks gets -1."""
+    for c, table in codes.items():
+        table = table.select(F.col("value").alias("_code_value"), F.col("code").alias(f"_i_{c}"))
+        key = F.coalesce(F.col(_q(c)).cast("string"), F.lit(UNKNOWN))
+        df = df.join(table, key == F.col("_code_value"), "left").drop("_code_value") \
+            .withColumn(f"_i_{c}", F.coalesce(F.col(_q(f"_i_{c}")), F.lit(-1.0)))
+    return df
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -104,7 +133,8 @@ def _lit(v) -> str:
 
 
 def fit_preparation(train: DataFrame, spec: FeatureSpec) -> tuple[PipelineModel, FeatureSpec]:
-    """Fit fill values, drop constant columns, index text, assemble, scale."""
+    """Fit fill values, drop constant columns, index text, assemble, scale.
+    ``train`` has the columns of ``with_codes`` for ``spec.wide``."""
     num = spec.numeric
     cat = spec.categorical
     src = train.select(*[F.col(_q(c)).cast("double").alias(c) for c in num],
@@ -125,7 +155,7 @@ def fit_preparation(train: DataFrame, spec: FeatureSpec) -> tuple[PipelineModel,
             keep_num.append(c)
         else:
             keep_cat.append(c)
-    kept = FeatureSpec(keep_num, keep_cat, [*spec.dropped, *dropped])
+    kept = FeatureSpec(keep_num, keep_cat, [*spec.dropped, *dropped], list(spec.wide))
     # Stage 1: fill (fitted values baked into the statement).
     fill_sql = ", ".join([f"coalesce(CAST({_q(c)} AS DOUBLE), {_lit(fills[c])}) AS {_q('_n_' + c)}" for c in keep_num]
                          + [f"coalesce(CAST({_q(c)} AS STRING), {_lit(UNKNOWN)}) AS {_q('_s_' + c)}"
@@ -141,7 +171,7 @@ def fit_preparation(train: DataFrame, spec: FeatureSpec) -> tuple[PipelineModel,
     remap = ", ".join(f"CASE WHEN {_q('_k_' + c)} >= {n_labels[c]} THEN -1.0 ELSE {_q('_k_' + c)} END "
                       f"AS {_q('_i_' + c)}" for c in keep_cat)
     unseen = SQLTransformer(statement=f"SELECT *{', ' + remap if remap else ''} FROM __THIS__")
-    assembler = VectorAssembler(inputCols=[f"_n_{c}" for c in keep_num] + [f"_i_{c}" for c in keep_cat],
+    assembler = VectorAssembler(inputCols=[f"_n_{c}" for c in keep_num] + [f"_i_{c}" for c in keep_cat + spec.wide],
                                 outputCol="_raw_features", handleInvalid="keep")
     scaler = StandardScaler(inputCol="_raw_features", outputCol=FEATURES, withMean=True, withStd=True)
     staged = first.transform(train)
@@ -175,14 +205,36 @@ def with_class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 
 
 def split(df: DataFrame, test_size: float = 0.2, seed: int = 42, folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Deterministic train/test split by row-key hash, plus a fold number in
-    [0, folds) for the training rows. Hashing is independent of the label,
-    so both classes are split in the same proportion in expectation; no
-    sort or window over a class is needed, and recomputed partitions land
-    on the same side."""
-    bucket = F.pmod(F.xxhash64(F.col(ROW_KEY), F.lit(seed)), F.lit(10_000))
-    tagged = df.withColumn("_is_test", bucket < F.lit(int(round(test_size * 10_000))))
-    train = (tagged.where(~F.col("_is_test")).drop("_is_test")
-             .withColumn("fold", F.pmod(F.xxhash64(F.col(ROW_KEY), F.lit(seed + 1)), F.lit(folds)).cast("int")))
-    test = tagged.where(F.col("_is_test")).drop("_is_test")
-    return train, test
+    """Stratified train/test split, and a fold number in [0, folds) for the
+    training rows, exact per class.
+
+    Rows get a hash of their key. Of a class with n rows the round(test_size * n)
+    with the smallest hashes are the test rows, and ranks of a second hash cut
+    the others into folds of equal size: exact quantiles of the hashes give the
+    thresholds, so there is no sort or window over a class, and recomputed
+    partitions land on the same side. Identical rows of a frame without an id
+    share a hash and stay together."""
+    # 52 bits: a double holds them exactly
+    tagged = (df.withColumn("_h", F.pmod(F.xxhash64(F.col(ROW_KEY), F.lit(seed)), F.lit(1 << 52)).cast("double"))
+              .withColumn("_g", F.pmod(F.xxhash64(F.col(ROW_KEY), F.lit(seed + 1)), F.lit(1 << 52)).cast("double")))
+    counts = {r[LABEL]: r["n"] for r in tagged.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(counts)
+
+    def thresholds(frame: DataFrame, column: str, cuts: dict) -> dict:
+        """{class: values between rank k - 1 and rank k, for its k in cuts}"""
+        hashes = frame.select(*[F.when(F.col(LABEL) == c, F.col(column)).alias(f"h{i}") for i, c in enumerate(classes)])
+        levels = {f"h{i}": [min(1.0, max(0.0, (k - 0.5) / max(1, sizes[c] - 1))) for k in cuts[c]] for i, c in enumerate(classes)}
+        got = exact_quantiles(hashes, levels)
+        return {c: [float("-inf") if k <= 0 else float("inf") if k >= sizes[c] else v for k, v in zip(cuts[c], got[f"h{i}"])]
+                for i, c in enumerate(classes)}
+
+    sizes = counts
+    cut = thresholds(tagged, "_h", {c: [int(round(test_size * counts[c]))] for c in classes})
+    is_test = reduce(lambda e, c: F.when(F.col(LABEL) == c, F.col("_h") < cut[c][0]).otherwise(e), classes, F.lit(False))
+    tagged = tagged.withColumn("_is_test", is_test)
+    train, test = tagged.where(~F.col("_is_test")), tagged.where("_is_test").drop("_h", "_g", "_is_test")
+    sizes = {c: counts[c] - int(round(test_size * counts[c])) for c in classes}
+    ends = thresholds(train, "_g", {c: [int(round(sizes[c] * j / folds)) for j in range(1, folds)] for c in classes})
+    fold = reduce(lambda e, c: F.when(F.col(LABEL) == c, reduce(
+        lambda n, v: n + (F.col("_g") >= v).cast("int"), ends[c], F.lit(0))).otherwise(e), classes, F.lit(0))
+    return train.withColumn("fold", fold.cast("int")).drop("_h", "_g", "_is_test"), test

@@ -32,9 +32,10 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hrsight.functions.exprs import col
 from hrsight.ml import evaluate
-from hrsight.ml.prep import (FEATURES, LABEL, ROW_KEY, WEIGHT, FeatureSpec, candidate_features,
-                             fit_preparation, labelled, row_key, split, with_class_weights)
+from hrsight.ml.prep import (FEATURES, LABEL, ROW_KEY, WEIGHT, WIDE, FeatureSpec, candidate_features, category_codes,
+                             fit_preparation, labelled, row_key, split, with_class_weights, with_codes)
 from hrsight.roles import Roles
 
 # Candidate settings (reference defaults) and a light preset.
@@ -82,6 +83,7 @@ class TrainResult:
     test: DataFrame
     train_types: dict[str, str] = field(default_factory=dict)
     label_values: tuple[str, str] = ("No", "Yes")
+    codes: dict[str, DataFrame] = field(default_factory=dict)
 
     def pipeline(self, name: str | None = None) -> PipelineModel:
         name = name or self.best
@@ -89,21 +91,29 @@ class TrainResult:
 
 
 def _label_values(df: DataFrame, roles: Roles) -> tuple[str, str]:
+    """The label's own texts for stayed and left: the most frequent of each side (the smaller of equals)."""
     name = roles.label_col(df)
-    return ("No", "Yes") if df.schema[name].dataType.simpleString() == "string" else ("0", "1")
+    if df.schema[name].dataType.simpleString() != "string":
+        return "0", "1"
+    counts = df.groupBy(F.col(LABEL).alias("y"), col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    best = {r["y"]: r["b"]["v"] for r in counts.groupBy("y").agg(
+        F.min(F.struct((-F.col("n")).alias("m"), "v")).alias("b")).collect()}
+    return best.get(0.0, "No"), best.get(1.0, "Yes")
 
 
 def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | None = None,
                  test_size: float = 0.2, seed: int = 42, cv_folds: int = 5, parallelism: int = 2,
-                 exclude: tuple[str, ...] = ()) -> TrainResult:
+                 exclude: tuple[str, ...] = (), wide: int = WIDE) -> TrainResult:
     roles = Roles.of(roles)
     settings = settings or DEFAULT
     spark: SparkSession = df.sparkSession
     # The input is read by ~10 passes (quantiles, ranges, indexing, scaling,
     # split counts, fits): persist it once instead of recomputing its plan.
     data = row_key(labelled(df, roles), roles).persist(StorageLevel.MEMORY_AND_DISK)
-    spec = candidate_features(data, roles, exclude)
+    spec = candidate_features(data, roles, exclude, wide)
     train, test = split(data, test_size, seed, max(cv_folds, 2))
+    codes = {c: category_codes(train, c) for c in spec.wide}
+    train, test = with_codes(train, codes), with_codes(test, codes)
     prep, kept = fit_preparation(train, spec)
     keep_cols = [FEATURES, LABEL, ROW_KEY]
     train_p = (with_class_weights(prep.transform(train).select(*keep_cols, "fold"))
@@ -148,12 +158,13 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
                 best, best_f1 = name, m["f1_score"]
         except Exception as e:  # noqa: BLE001 - a failing candidate is recorded, not fatal
             rows.append((name, None, None, None, None, None, None, None, None,
-                         f"{type(e).__name__}: {e}\n{traceback.format_exc(limit=2)}"[:2000]))
+                         f"{type(e).__name__}: {e}\n{traceback.format_exc()}"))
+    values = _label_values(data, roles)
     train_p.unpersist()
     data.unpersist()
     results = spark.createDataFrame(rows, RESULT_SCHEMA)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return TrainResult(prep, kept, models, results, best, test_p, types, _label_values(df, roles))
+    return TrainResult(prep, kept, models, results, best, test_p, types, values, codes)
 
 
 def feature_importance(result: TrainResult, name: str | None = None, top: int | None = None) -> DataFrame:
@@ -161,7 +172,7 @@ def feature_importance(result: TrainResult, name: str | None = None, top: int |
     for logistic regression. Built from the fitted model's k numbers."""
     name = name or result.best
     model = result.models[name]
-    names = [*result.spec.numeric, *result.spec.categorical]
+    names = result.spec.names
     if hasattr(model, "featureImportances"):
         vals = model.featureImportances.toArray().tolist()
     elif hasattr(model, "coefficients"):
@@ -186,13 +197,13 @@ def model_comparison(result: TrainResult) -> DataFrame:
                        F.initcap(F.regexp_replace("s.metric", "_", " ")).alias("label"), "s.value")
 
 
-def roc_curves(result: TrainResult, bins: int = 1000) -> DataFrame:
-    """ROC points of every trained model plus the chance diagonal."""
+def roc_curves(result: TrainResult) -> DataFrame:
+    """ROC points of every trained model, one for each distinct score, plus the chance diagonal."""
     spark = result.results.sparkSession
     out = spark.createDataFrame([("Random", 1.0, 0.0, 0.0), ("Random", 0.0, 1.0, 1.0)],
                                 "model string, threshold double, fpr double, tpr double")
     for name, model in result.models.items():
         scored = evaluate.with_probability(model.transform(result.test))
-        pts = evaluate.roc_points(scored, bins=bins).select(F.lit(name).alias("model"), "*")
+        pts = evaluate.roc_points(scored).select(F.lit(name).alias("model"), "*")
         out = out.unionByName(pts)
     return out

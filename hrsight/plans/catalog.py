@@ -241,8 +241,11 @@ UNION ALL SELECT 6, 'Young Workforce', 'Low', round_even(age, 1), NULL FROM ev W
 # ---- A17, A24, A25, A27 --------------------------------------------------
 
 register("attrition_crosstab", with_emp(f"""
-SELECT Department AS department, JobRole AS job_role, count(*) AS employees, {rate_sql()} AS attrition_pct
-FROM emp WHERE Department IS NOT NULL AND JobRole IS NOT NULL GROUP BY Department, JobRole
+WITH cells AS (SELECT Department AS department, JobRole AS job_role, count(*) AS employees, {rate_sql()} AS attrition_pct
+  FROM emp WHERE Department IS NOT NULL AND JobRole IS NOT NULL GROUP BY Department, JobRole)
+SELECT department, job_role, coalesce(employees, 0) AS employees, coalesce(attrition_pct, 0.0) AS attrition_pct
+FROM (SELECT DISTINCT department FROM cells) CROSS JOIN (SELECT DISTINCT job_role FROM cells)
+LEFT JOIN cells USING (department, job_role)
 """))(lambda spark, sf: describe.attrition_crosstab(emp(spark, sf), ROLES))
 
 register("department_pay_gap", with_emp("""
@@ -404,8 +407,8 @@ def trained(spark: SparkSession, sf: str):
     from hrsight.ml import train
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        _TRAINED[key] = train.train_models(emp(spark, sf), ROLES, settings=train.LIGHT, cv_folds=5,
-                                           parallelism=3)
+        _TRAINED[key] = train.train_models(emp(spark, sf), ROLES, settings=train.DEFAULT, cv_folds=5,
+                                           parallelism=5)
     return _TRAINED[key]
 
 
@@ -530,25 +533,28 @@ def _label_rule(spark: SparkSession, sf: str) -> DataFrame:
 # ---- S1 - S4, S7 - S9 ------------------------------------------------------
 
 def _csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Write the view as CSV into the shared scratch folder, validate it and
-    read it back with inference; report checks plus row/column counts."""
+    """Write the view as CSV into the shared folder, validate it, read it back
+    with inference, and sum up what was read."""
     import uuid
 
     from hrsight.session import scratch_path
     from hrsight.sources import csv
     path = scratch_path(spark, f"csv-roundtrip-{uuid.uuid4().hex}")
     csv.write_employees(emp(spark, sf), path)
-    checks = csv.validate(spark, path)
+    failed = csv.validate(spark, path).where("NOT ok").count()
     back = csv.read_employees(spark, path)
-    counts = back.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("rows_read").alias("check"), F.lit(True).alias("ok"), F.col("n").cast("string").alias("detail"))
-    types = spark.createDataFrame([("column_types", True, ",".join(f"{f.name}:{f.dataType.simpleString()}"
-                                                                   for f in back.schema.fields))],
-                                  "check string, ok boolean, detail string")
-    return checks.unionByName(counts).unionByName(types)
+    return back.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("EmployeeID").alias("ids"), F.sum("Age").cast("bigint").alias("sum_age"),
+        F.count("OverTime").alias("with_overtime"), F.count("MonthlyIncome").alias("with_income"),
+        F.min("MonthlyIncome").alias("min_income"), F.max("MonthlyIncome").alias("max_income"),
+        F.max("Department").alias("last_department"), F.lit(failed).cast("bigint").alias("failed_checks"))
 
 
-register("csv_roundtrip")(_csv_roundtrip)
+register("csv_roundtrip", with_emp("""
+SELECT count(*) AS n, count(DISTINCT EmployeeID) AS ids, CAST(sum(Age) AS BIGINT) AS sum_age, count(OverTime) AS with_overtime,
+  count(MonthlyIncome) AS with_income, min(MonthlyIncome) AS min_income, max(MonthlyIncome) AS max_income,
+  max(Department) AS last_department, CAST(0 AS BIGINT) AS failed_checks FROM emp
+"""))(_csv_roundtrip)
 
 
 def _report(spark: SparkSession, sf: str) -> DataFrame:
@@ -579,3 +585,88 @@ register("distribution_department_by_gender", with_emp(f"""
 SELECT Gender, value, n, {pct_sql('n', 'sum(n) OVER (PARTITION BY Gender)')} AS share_pct FROM (
   SELECT Gender, Department AS value, count(*) AS n FROM emp WHERE Department IS NOT NULL GROUP BY Gender, Department)
 """))(lambda spark, sf: describe.role_distribution(emp(spark, sf), ROLES, "department", by="Gender"))
+
+
+# ---- forms of the operators above that their own query leaves out ----------
+
+def _fixed_scored(spark: SparkSession, sf: str) -> DataFrame:
+    sc = emp(spark, sf).selectExpr("EmployeeID AS employee_id", f"CAST({_FIXED_SCORE_SQL.replace('round_even', 'bround')} AS DOUBLE) AS p_left",
+                                   f"CASE WHEN {LEFT} THEN 1.0 ELSE 0.0 END AS label")
+    return sc.withColumn("prediction", (F.col("p_left") >= 0.5).cast("double"))
+
+
+def _fixed_risk(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.ml import score
+    return score.risk_columns(_fixed_scored(spark, sf), F.col("p_left"), ("stayed", "left"))
+
+
+def _fixed_roc(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.ml import evaluate
+    pts = evaluate.roc_points(_fixed_scored(spark, sf)).where(F.col("threshold") < float("inf"))
+    return pts.select("threshold", F.bround("fpr", 6).alias("fpr"), F.bround("tpr", 6).alias("tpr"))
+
+
+_FIXED_SQL = f"sc AS (SELECT EmployeeID, {_FIXED_SCORE_SQL} AS s, CASE WHEN {LEFT} THEN 1.0 ELSE 0.0 END AS y FROM emp)"
+_FIXED_RISK_SQL = f"""{_FIXED_SQL}, risk AS (SELECT EmployeeID AS employee_id, CAST(s >= 0.5 AS INTEGER) AS prediction,
+  CASE WHEN s >= 0.5 THEN 'left' ELSE 'stayed' END AS predicted_label, round_even(CAST(s AS DOUBLE), 4) AS attrition_probability,
+  CASE WHEN s >= 0.7 THEN 'High Risk' WHEN s >= 0.4 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_level,
+  round_even(s * 100.0, 1) AS risk_score, round_even(greatest(s, 1.0 - s), 4) AS confidence, s FROM sc)"""
+
+register("ml_roc_fixed_score", with_emp(f"""
+WITH {_FIXED_SQL}, per AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM sc GROUP BY s)
+SELECT s AS threshold, round_even(sum(neg) OVER w / (SELECT sum(neg) FROM per), 6) AS fpr,
+  round_even(sum(pos) OVER w / (SELECT sum(pos) FROM per), 6) AS tpr
+FROM per WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""))(_fixed_roc)
+
+register("ml_risk_distribution_fixed_score", with_emp(f"""
+WITH {_FIXED_RISK_SQL}
+SELECT count(*) AS total, {cnt_if("risk_level = 'Low Risk'")} AS low_risk_count,
+  {cnt_if("risk_level = 'Medium Risk'")} AS medium_risk_count, {cnt_if("risk_level = 'High Risk'")} AS high_risk_count FROM risk
+"""))(lambda spark, sf: __import__("hrsight.ml.score", fromlist=["x"]).risk_distribution(_fixed_risk(spark, sf)))
+
+register("ml_top_risk_fixed_score", with_emp(f"""
+WITH {_FIXED_RISK_SQL} SELECT * EXCLUDE (s) FROM risk ORDER BY s DESC, employee_id LIMIT 100
+"""))(lambda spark, sf: __import__("hrsight.ml.score", fromlist=["x"]).top_risk(_fixed_risk(spark, sf), 100))
+
+register("projection_series", f"""
+WITH p AS ({_projection_sql([])}), x AS (SELECT *, 'M' || CAST(month AS VARCHAR) AS x FROM p)
+SELECT 'Attrition %' AS series, x, month, CAST(projected_attrition_rate AS DOUBLE) AS y FROM x
+UNION ALL SELECT 'Workforce Size', x, month, CAST(projected_size AS DOUBLE) FROM x
+""")(lambda spark, sf: projection.projection_series(projection.projection(emp(spark, sf), ROLES)))
+
+_SHOWN = ["EmployeeID", "Gender", "Department", "Age", "OverTime", "NumCompaniesWorked"]
+register("preview_text", with_emp(
+    "SELECT " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in _SHOWN) + " FROM emp ORDER BY emp.EmployeeID LIMIT 50"))(
+    lambda spark, sf: lookup.preview(emp(spark, sf).select(*_SHOWN), ROLES, 50, as_text=True))
+
+register("employee_search_regex", with_emp(
+    "SELECT * FROM emp WHERE regexp_matches(lower(EmployeeID), '_1[0-3]*7$') ORDER BY EmployeeID LIMIT 20"))(
+    lambda spark, sf: lookup.employee_search(emp(spark, sf), "_1[0-3]*7$", ROLES, regex=True))
+
+# Thresholds at which the rules that the view never triggers fire.
+_QUIET = {"dept_rate": 101.0, "low_income_rate": 101.0, "low_sat_share": 1.1, "overtime_rate": 101.0, "promo_rate": 101.0}
+register("recommendations_quiet", "SELECT 6 AS rule_no, 'General' AS category, 'Low' AS priority, 'All employees' AS target")(
+    lambda spark, sf: findings.recommendations(emp(spark, sf), ROLES, **_QUIET).select("rule_no", "category", "priority", "target"))
+
+_LOUD = {"overtime_ratio": 1e9, "income_ratio": 1e9, "sat_ratio": 1e9, "pay_gap_pct": -1.0, "age_old": 0.0, "age_young": 200.0}
+register("insights_workforce", with_emp("""
+WITH m AS (SELECT Department, avg(MonthlyIncome) AS m FROM emp WHERE Department IS NOT NULL GROUP BY Department)
+SELECT 4 AS rule_no, 'Pay Equity' AS type, 'Medium' AS severity,
+  round_even((max(m) - min(m)) / avg(m) * 100.0, 2) AS metric_value FROM m
+UNION ALL SELECT 5, 'Aging Workforce', 'Medium', round_even(avg(Age), 1) FROM emp
+UNION ALL SELECT 6, 'Young Workforce', 'Low', round_even(avg(Age), 1) FROM emp
+"""))(lambda spark, sf: findings.insights(emp(spark, sf), ROLES, **_LOUD).where("rule_no > 3").select(
+    "rule_no", "type", "severity", "metric_value"))
+
+
+def _report_values(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.plans.report import report_sections
+    return report_sections(emp(spark, sf), ROLES).where("section = 'overview'").select(
+        "section", "key", "label", F.col("value").cast("double").alias("value"))
+
+
+_OVERVIEW = ["total_employees", "total_departments", "total_job_roles", "avg_age", "avg_income", "avg_tenure", "attrition_rate"]
+register("report_overview_values", f"WITH o AS ({ORACLES['overview']})\n" + "\nUNION ALL ".join(
+    f"SELECT 'overview' AS section, '{k}' AS \"key\", '{k.replace('_', ' ').title()}' AS label, CAST({k} AS DOUBLE) AS value FROM o"
+    for k in _OVERVIEW))(_report_values)

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hrsight.ml import evaluate, score, train
-from hrsight.ml.prep import FeatureSpec, candidate_features, fit_preparation, labelled
+from hrsight.ml.prep import (FeatureSpec, candidate_features, category_codes, fit_preparation, labelled, row_key,
+                             split)
 from hrsight.roles import Roles
 from hrsight.session import scratch_path
 from hrsight.sources.synthetic import synthetic_employees
@@ -88,7 +89,7 @@ def test_save_and_load_give_same_predictions(spark, result):
     loaded = score.load_model(spark, path)
     a = score.predict_with(res, df).orderBy("employee_id").collect()
     b = score.predict(df, loaded["pipeline"], loaded["spec"], train_types=loaded["train_types"],
-                      label_values=loaded["label_values"]).orderBy("employee_id").collect()
+                      label_values=loaded["label_values"], codes=loaded["codes"]).orderBy("employee_id").collect()
     assert a == b
     assert loaded["results"].count() == len(SMALL)
 
@@ -121,8 +122,53 @@ def test_feature_importance_and_comparison(result):
     assert len(comp) == 4 * len(SMALL) and {r["label"] for r in comp} >= {"F1 Score", "Accuracy"}
 
 
-def test_high_cardinality_text_is_not_a_feature(spark):
-    rows = [(f"n{i}", "a" if i % 2 else "b", float(i), "Yes" if i % 3 else "No") for i in range(60)]
-    df = spark.createDataFrame(rows, "code string, grp string, x double, Attrition string")
-    spec = candidate_features(labelled(df, Roles.of()), Roles.of(), max_categories=10)
-    assert spec.categorical == ["grp"] and spec.dropped == ["code"]
+def wide_rows(spark, n=12_000):
+    rows = [(f"E{i}", f"n{i}" if i % 50 else None, "a" if i % 2 else "b", float(i % 97), "left" if i % 3 else "stayed") for i in range(n)]
+    return spark.createDataFrame(rows, "EmployeeID string, code string, grp string, x double, Attrition string").cache()
+
+
+def test_text_of_very_many_values_stays_a_feature(spark):
+    df = wide_rows(spark)
+    spec = candidate_features(labelled(df, Roles.of()), Roles.of())
+    assert spec.wide == ["code"] and spec.categorical == ["grp"] and not spec.dropped
+    codes = {r.value: r.code for r in category_codes(df, "code").collect()}
+    assert [codes[v] for v in sorted(codes)] == [float(i) for i in range(len(codes))] and "Unknown" in codes
+    res = train.train_models(df, settings={"Decision Tree": {"maxDepth": 3}}, cv_folds=2)
+    assert {r["feature"] for r in train.feature_importance(res).collect()} == {"x", "grp", "code"}
+    pred = score.predict_with(res, df.withColumn("index", F.lit(7)))
+    assert {r.predicted_label for r in pred.collect()} <= {"left", "stayed"} and pred.first()["index"] == 7
+    path = scratch_path(spark, "wide-model")
+    score.save_model(res, path)
+    back = score.load_model(spark, path)
+    again = score.predict(df, back["pipeline"], back["spec"], None, back["train_types"], back["label_values"], back["codes"])
+    assert sorted(map(str, again.collect())) == sorted(map(str, score.predict_with(res, df).collect()))
+
+
+def test_split_is_exact_per_class(spark):
+    data = row_key(labelled(wide_rows(spark, 1003), Roles.of()), Roles.of())
+    tr, te = split(data, 0.2, folds=5)
+    got = {}
+    for r in tr.groupBy("label", "fold").count().collect():
+        got.setdefault(r["label"], {})[r["fold"]] = r["count"]
+    test = {r["label"]: r["count"] for r in te.groupBy("label").count().collect()}
+    for y, n in {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}.items():
+        assert test[y] == round(0.2 * n)
+        assert sorted(got[y]) == [0, 1, 2, 3, 4] and max(got[y].values()) - min(got[y].values()) <= 1
+        assert sum(got[y].values()) == n - test[y]
+    assert tr.join(te, "EmployeeID").count() == 0
+
+
+def test_roc_has_every_distinct_score(spark):
+    rows = [((i * 37 % 101) / 101.0, float(i * 7 % 3 == 0)) for i in range(400)]
+    got = evaluate.roc_points(spark.createDataFrame(rows, "p_left double, label double").repartition(5)).collect()
+    pos = sum(y for _, y in rows)
+    want = [(float("inf"), 0.0, 0.0)] + [
+        (t, sum(1 - y for p, y in rows if p >= t) / (len(rows) - pos), sum(y for p, y in rows if p >= t) / pos)
+        for t in sorted({p for p, _ in rows}, reverse=True)]
+    assert [tuple(r) for r in got] == [pytest.approx(w) for w in want]
+
+
+def test_top_risk_orders_by_the_unrounded_probability(spark):
+    rows = [("a", 91.2, 0.91161), ("b", 91.2, 0.91244), ("c", 90.0, 0.9)]
+    got = score.top_risk(spark.createDataFrame(rows, "employee_id string, risk_score double, probability double"), 1).collect()
+    assert got[0].employee_id == "b"
