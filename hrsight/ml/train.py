@@ -53,6 +53,8 @@ LIGHT = {
     "Gradient Boosting": {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1},
 }
 
+ROWS_PER_TASK = 20_000
+
 RESULT_SCHEMA = ("model string, accuracy double, precision double, recall double, f1_score double, "
                  "roc_auc double, cv_mean double, cv_std double, confusion_matrix array<array<bigint>>, "
                  "error string")
@@ -116,9 +118,11 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
     train, test = with_codes(train, codes), with_codes(test, codes)
     prep, kept = fit_preparation(train, spec)
     keep_cols = [FEATURES, LABEL, ROW_KEY]
-    train_p = (with_class_weights(prep.transform(train).select(*keep_cols, "fold"))
+    # Tree and gradient rounds are many short jobs over these rows: no more tasks than they are worth.
+    tasks = max(1, -(-data.count() // ROWS_PER_TASK))
+    train_p = (with_class_weights(prep.transform(train).select(*keep_cols, "fold")).coalesce(tasks)
                .persist(StorageLevel.MEMORY_AND_DISK))
-    test_p = prep.transform(test).select(*keep_cols).persist(StorageLevel.MEMORY_AND_DISK)
+    test_p = prep.transform(test).select(*keep_cols).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train_p.count()
     f1_eval = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="weightedFMeasure")
     rows, models = [], {}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import NumericType
 
 from hrsight.functions.exprs import categorical_columns, count_if, numeric_columns, pct, rnd
 from hrsight.functions.quantiles import exact_quantiles
@@ -110,11 +110,3 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits:
             .select(F.element_at(names, F.col("o.p") + 1).alias("x"),
                     F.element_at(names, F.col("o.q") + 1).alias("y"),
                     rnd(F.col("r"), digits).alias("r")))
-
-
-def dataset_summary(df: DataFrame) -> dict:
-    """Small driver-side summary (row and column counts, names, types) for
-    report headers; the per-column detail stays in the frames above."""
-    return {"rows": df.count(), "columns": len(df.columns), "column_names": list(df.columns),
-            "dtypes": {f.name: f.dataType.simpleString() for f in df.schema.fields},
-            "text_columns": [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]}

@@ -3,6 +3,9 @@ import pandas as pd
 import pytest
 from conftest import hr_frame, left_flag, py_rate, to_spark
 
+from pyspark.sql import functions as F
+
+from hrsight.functions import exprs
 from hrsight.operators import describe
 from hrsight.roles import Roles
 
@@ -165,3 +168,11 @@ def test_headers_with_dots_and_spaces(spark):
     assert describe.attrition_rate(df, roles, by="Dept.Name").count() == 2
     assert scores.workforce_scores(df, roles).collect()[0]["department_stability_score"] is not None
     assert findings.recommendations(df, roles).count() >= 1
+
+
+def test_safe_divide_and_number_format(spark):
+    rows = [(6.0, 4.0, "2.005"), (1.0, 0.0, "text"), (None, 2.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, t string")
+    got = df.select(exprs.safe_divide(F.col("a"), F.col("b")).alias("q"), exprs.safe_divide(F.col("a"), F.col("b"), -1.0).alias("d"),
+                    exprs.format_decimals(F.col("t"), 1).alias("f"), exprs.title_key(F.lit("avg_income")).alias("k")).collect()
+    assert [tuple(r) for r in got] == [(1.5, 1.5, "2.0", "Avg Income"), (0.0, -1.0, "text", "Avg Income"), (0.0, -1.0, None, "Avg Income")]
