@@ -9,10 +9,11 @@ bucket rows whatever the group sizes. Every edge is confirmed on the full
 shingle sets.
 
 A star can miss a link between two members that are both unlike its centre, so
-stars are drawn again: first round the centre is the member that meets the most
-others over all buckets (the text that the copies were made from, usually);
-later rounds draw it at random, only in buckets whose members still lie in
-different components, until a round confirms no further link.
+stars are drawn again: in the first round the centre is the member that meets the
+most others over all buckets (the text that the copies were made from, usually);
+members that it leaves undecided are dealt out again, exactly, by their rarest
+shingles, and rounds of random centres go on, only across components, until a
+round confirms no further link.
 
 Documents with the same shingle set are one node from the start (grouped by a
 128-bit fingerprint of the set), so thousands of exact copies cost one row.
@@ -29,14 +30,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hrsight.llm.graph import components
+from hrsight.llm.graph import ROWS_PER_TASK, components, merged
 from hrsight.llm.tasks import drop, map_arrow, saved
 from hrsight.llm.textnp import U64, gram_hashes, mix64, words_of
 
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
+#: Stars drawn at random in each bucket of a later round.
+STARS = 2
 
 
 def shingle_sets(texts, k, lower):
@@ -84,7 +87,7 @@ def band_keys(sig, bands, rows):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
                     lower: bool = True, percent: int = 85, bands: int = 32, rows: int = 5) -> DataFrame:
-    """Per input row: id, n_shingles, component_id, kept.
+    """Per input row: id, n_shingles, component_id, kept, text_hash (xxhash64 of the text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of
     their shingle sets; a component is what links connect. With the default
@@ -92,6 +95,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
+    hashed = src.select("id", "text", F.xxhash64("text").alias("text_hash"))
 
     def sketch(batch, texts):
         sets = shingle_sets(texts, k, lower)
@@ -102,54 +106,92 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lists = [None] * len(sets)
         for i, b in zip(some, made):
             lists[i] = b
-        yield {"id": batch.column(0), "n_shingles": n, "s1": keys[:, 0], "s2": keys[:, 1], "bands": lists}
+        yield {"id": batch.column(0), "text_hash": batch.column(2), "n_shingles": n, "s1": keys[:, 0], "s2": keys[:, 1],
+               "bands": lists}
 
-    rows_ = saved(map_arrow(src, "text", sketch,
-                            f"id {id_type}, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"), "sketch")
+    rows_ = saved(map_arrow(hashed, "text", sketch, f"id {id_type}, text_hash bigint, n_shingles bigint, s1 bigint, "
+                            "s2 bigint, bands array<bigint>"), "sketch")
     # one node for each distinct set; its number stands for its 128-bit fingerprint
-    nodes = (rows_.where("n_shingles > 0 and id is not null").groupBy("s1", "s2")
-             .agg(F.min(F.struct("id", "bands")).alias("m"))
-             .select("s1", "s2", F.col("m.id").alias("id"), F.col("m.bands").alias("bands")))
-    members = nodes.select(F.struct("s1", "s2").alias("node"), F.explode("bands").alias("key"))
+    real = rows_.where("n_shingles > 0 and id is not null")
+    nodes = real.groupBy("s1", "s2").agg(F.min("id").alias("id"))
+    members = (real.groupBy("s1", "s2").agg(F.min(F.struct("id", "n_shingles", "bands")).alias("m"))
+               .select(F.struct("s1", "s2").alias("node"), F.col("m.n_shingles").alias("size"), F.explode("m.bands").alias("key")))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = saved(members.join(shared, "key"), "buckets")
-    popularity = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    parts = max(6, buckets.count() // ROWS_PER_TASK)
+    popularity = saved(buckets.groupBy("node").agg(F.sum("n").alias("met")), "popularity", parts)
     involved = popularity.select("node")
     texts = saved(_sets_of(src, nodes, involved, k, lower), "sets")
 
-    centre = (buckets.join(popularity, "node").groupBy("key")
-              .agg(F.max(F.struct("met", "node")).alias("c")).select("key", F.col("c.node").alias("centre")))
-    edges = (buckets.join(centre, "key").where("node != centre")
-             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    links = saved(_confirmed(edges, texts, percent), "links")
-    comp = saved(components(involved, links), "components")
-    all_links, turn = links, 0
+    placed = buckets.join(popularity, "node").select("key", "node", "size", "met", F.col("node").alias("label"))
+    # first stars: the centre is the member that meets the most others
+    edges = _stars(placed, [F.struct("met", "node", "label", "size")], percent)
+    links = saved(_confirmed(edges, texts, percent), "links", parts)
+    comp = components(involved, links)
+    rest = saved(_by_rare_shingles(placed.select("key", "node", "size").join(comp, "node"), texts, percent), "rest", parts)
+    turn = 0
     while True:
         turn += 1
-        placed = buckets.select("key", "node").join(comp, "node")
-        drawn = (placed.groupBy("key")
-                 .agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
-                      F.max(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "label")).alias("c"))
-                 .where("lo != hi").select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("to")))
-        edges = (placed.join(drawn, "key").where("label != to")
-                 .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-        more = saved(_confirmed(edges, texts, percent), "links")
+        draws = [F.struct(F.xxhash64("node", "key", F.lit(turn * STARS + i)).alias("met"), "node", "label", "size")
+                 for i in range(STARS)]
+        more = saved(_confirmed(_stars(rest.join(comp, "node"), draws, percent), texts, percent), "links", parts)
         if more.isEmpty():
             break
-        all_links = all_links.unionByName(more)
-        before = comp
-        comp = saved(components(involved, all_links), "components")
-        drop(before)
+        before, comp = comp, merged(comp, more)
+        drop(before, more)
     named = nodes.select(F.struct("s1", "s2").alias("node"), "id").join(comp, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_set = saved(named.join(smallest, "label").select("node.s1", "node.s2", "component_id"), "by_set")
     out = rows_.drop("bands").join(by_set, ["s1", "s2"], "left")
     out = out.select(
-        F.col("id").alias(id_col), "n_shingles",
+        F.col("id").alias(id_col), "text_hash", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     out = out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return out.select(id_col, "n_shingles", "component_id",
+                      F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def _stars(placed, draws, percent):
+    """Edges (a, b) from members to their bucket's centres, the members with the largest `draws`.
+
+    Only across components, and only where the set sizes allow the similarity."""
+    centres = (placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                         *[F.max(d).alias(f"c{i}") for i, d in enumerate(draws)])
+               .where("lo != hi").select("key", F.array_distinct(F.array(*[f"c{i}" for i in range(len(draws))])).alias("cs")))
+    return (placed.join(centres, "key").select("node", "size", "label", F.explode("cs").alias("c"))
+            .where(F.col("label") != F.col("c.label"))
+            .where(F.least("size", "c.size") * 100 >= F.greatest("size", "c.size") * percent)
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+
+
+def _by_rare_shingles(placed, texts, percent):
+    """(key, node, size): exact buckets for the members that the first stars left undecided.
+
+    Those are the members of buckets of three and more that still hold different
+    components. Two sets as similar as asked share one of their rarest shingles:
+    the first size - ceil(percent * size / 100) + 1 in the order of how many of
+    these members hold them."""
+    mixed = (placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+             .where("lo != hi AND n > 2").select("key"))
+    open_ = placed.join(mixed, "key", "left_semi").select("node", "size").distinct()
+
+    def spread(batch, _):
+        grams = batch.column(3).to_pylist()
+        n = np.array([len(g) // 8 for g in grams])
+        own = [batch.column(i).to_numpy().repeat(n) for i in range(3)]
+        yield {"s1": own[0], "s2": own[1], "size": own[2], "key": np.frombuffer(b"".join(grams), dtype=np.int64)}
+
+    rows = map_arrow(texts.join(open_, "node").select("node.s1", "node.s2", "size", "grams"), "grams", spread,
+                     "s1 bigint, s2 bigint, size bigint, key bigint")
+    rows = saved(rows, "shingles")
+    held = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("s1", "s2")
+    ranked = rows.join(held, "key").select(
+        "key", "s1", "s2", "size", F.row_number().over(own.orderBy("n", "key")).alias("at"), F.count("*").over(own).alias("shared"))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return ranked.where(F.col("at") + F.col("size") - F.col("shared") <= prefix).select(
+        "key", F.struct("s1", "s2").alias("node"), "size")
 
 
 def _sets_of(src, nodes, involved, k, lower):
@@ -193,4 +235,4 @@ def _confirmed(edges, texts, percent):
 
 def op9(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs)
+    return near_duplicates(docs).drop("text_hash")
