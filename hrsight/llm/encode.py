@@ -15,13 +15,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 YOUNG = 600_000
 _AFTER_BLANK = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
-_PUNCT = frozenset(".,;:?")
+# Letters of the Latin blocks (for which all Unicode versions agree) and a tail of ASCII signs other than
+# the apostrophe: exactly two pre-tokens, or one without the tail.
+_UNIT = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _encoders: dict = {}
 
 
@@ -32,11 +35,6 @@ def byte_symbols():
     return {b: chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)}
 
 
-def short_letter(c):
-    """A letter of the Latin blocks, for which all Unicode versions agree."""
-    return c < "ɐ" and c.isalpha()
-
-
 def encoder(path, what="ids"):
     """The worker's encoder for a tokenizer file; `what` is 'ids' or 'lengths'."""
     if (path, what) not in _encoders:
@@ -71,7 +69,9 @@ class Encoder:
         self.map = {b: ord(s) for b, s in byte_symbols().items()}
         self.young, self.old = {}, {}
         self.first = {}
-        self.tail = {c: self.value(self.tok.encode(c, add_special_tokens=False).ids) for c in _PUNCT}
+        self.bare, self.tails = {}, {"": 0 if self.lengths else b""}
+        self.line = self.value(self.tok.encode("\n", add_special_tokens=False).ids)
+        self.code = "H" if self.width.itemsize == 2 else "I"
 
     def value(self, ids):
         return len(ids) if self.lengths else np.array(ids, dtype=self.width).tobytes()
@@ -87,40 +87,66 @@ class Encoder:
         return [self.value(e.ids) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
     def word(self, w):
-        """' ' + w for a w of letters only: one pre-token, straight to the BPE model."""
-        mapped = (" " + w).encode().decode("latin-1").translate(self.map)
-        if self.lengths:
-            return len(self.model.tokenize(mapped))
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.width).tobytes()
+        """A word of letters, with or without a blank before it: one pre-token, straight to the BPE model."""
+        mapped = w.replace(" ", "Ġ") if w.isascii() else w.encode().decode("latin-1").translate(self.map)
+        made = self.model.tokenize(mapped)
+        return len(made) if self.lengths else array(self.code, [t.id for t in made]).tobytes()
+
+    def tail(self, signs):
+        v = self.tails.get(signs)
+        if v is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            v = self.tails[signs] = self.value(self.tok.encode(signs, add_special_tokens=False).ids)
+        return v
+
+    def stem(self, w):
+        """' ' + w for letters only, kept in the cache."""
+        v = self.young.get(w)
+        if v is None:
+            v = self.old.get(w)
+            if v is None:
+                v = self.word(" " + w)
+            self.young[w] = v
+        return v
+
+    def start(self, w):
+        """w for letters only, at the beginning of a line."""
+        v = self.bare.get(w)
+        if v is None:
+            if len(self.bare) > YOUNG // 4:
+                self.bare.clear()
+            v = self.bare[w] = self.word(w)
+        return v
 
     def fill(self, missing):
-        """Encode units that the young generation doesn't hold and put them there."""
-        young, old, rest = self.young, self.old, []
-        if len(young) + len(missing) > YOUNG:
-            self.old, self.young = young, {}
-            old, young = self.old, self.young
+        """{unit: value} of units that the young generation doesn't hold; most are kept in it."""
+        if len(self.young) + len(missing) > YOUNG:
+            self.old, self.young = self.young, {}
+        young, old, rest, out = self.young, self.old, [], {}
         for p in missing:
             v = old.get(p)
-            if v is None and p:
-                if short_letter(p[-1]) and p < "ɐ" and p.isalpha() and max(p) < "ɐ":
-                    v = self.word(p)
-                elif len(p) > 1 and p[-1] in _PUNCT and short_letter(p[-2]):
-                    stem = p[:-1]
-                    s = young.get(stem)
-                    if s is None:
-                        s = old.get(stem)
-                    if s is None and stem.isalpha() and max(stem) < "ɐ":
-                        s = young[stem] = self.word(stem)
-                    if s is not None:
-                        v = s + self.tail[p[-1]]
             if v is None:
-                rest.append(p)
-            else:
-                young[p] = v
+                m = _UNIT(p)
+                if m is not None:
+                    v = self.stem(m[1])
+                    if m[2]:
+                        v = v + self.tail(m[2])
+                elif "\n" in p and all(parts := [_UNIT(x) for x in p.split("\n")]):
+                    v = self.stem(parts[0][1]) + self.tail(parts[0][2])
+                    for m in parts[1:]:
+                        v = v + self.line + self.start(m[1]) + self.tail(m[2])
+                    out[p] = v  # hardly any of these comes again
+                    continue
+                else:
+                    rest.append(p)
+                    continue
+            out[p] = young[p] = v
         for i in range(0, len(rest), 1000):
             part = rest[i:i + 1000]
             for p, e in zip(part, self.tok.encode_batch_fast([" " + p for p in part], add_special_tokens=False)):
-                young[p] = self.value(e.ids)
+                out[p] = young[p] = self.value(e.ids)
+        return out
 
     def heads(self, p):
         """The first unit of a text, which has no blank before it."""
@@ -144,8 +170,7 @@ class Encoder:
             found = list(map(self.young.get, pieces))
             if None in found:
                 missing = dict.fromkeys(p for p, v in zip(pieces, found) if v is None)
-                self.fill(missing)
-                get = self.young.get
-                found = [get(p) if v is None else v for p, v in zip(pieces, found)]
+                new = self.fill(missing)
+                found = [new[p] if v is None else v for p, v in zip(pieces, found)]
             out.append(head + sum(found) if self.lengths else head + b"".join(found))
         return out

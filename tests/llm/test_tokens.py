@@ -16,6 +16,8 @@ TEXTS = [
     "x<|endoftext|>. y", "été, où? çа́ ß.", "日本語 テキスト、です。 漢字", "tab\tb \t c", "1,234.5 +1 (736) 555-2678", "a b   c",
     "word. " * 50, "𝔘𝔫𝔦 😀😀 ée", "A" * 3000, "HEL!! LO?? %%% ***", "a.b. c,d, e;f;\n\n\ng  ", "ªº µ ǅ.", "z" * 20 + "." * 40,
     "same text here", "same text here",
+    "x one.\nTwo!!\nThree%%%, four\n\nfive\nsix \nseven\r\neight x*y w/ z\n|a b|\n", "don't.\nCan't x's' it''s \"q\"", "a×b ÷ Ÿž ɏɐ ŉ",
+    "e.g.\nU.S.A. 3rd\n4th c++ <|endoftext|>\nEnd <|endoftext|", "µ.\nª, º! ß?\nÅ#", "word\x0bother\x0cnext\x1fend \x85 x",
 ]
 
 
