@@ -120,8 +120,11 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     bodies = map_arrow(src.join(per_doc, ["id", "copy"]).select("text", "lines"), "text", cut_out, "hash bigint, body string")
     bodies = saved(bodies.groupBy("hash").agg(F.min("body").alias("body")), "bodies")
-    keys = map_arrow(bodies, "body", _variants, "key bigint, place int, hash bigint").join(wanted, "hash")
-    keys = saved(keys, "variants")
+    variants = saved(map_arrow(bodies, "body", _variants, "key bigint, place int, hash bigint"), "variants")
+    # a key that one variant has joins nothing
+    met = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = saved(variants.join(met, "key", "left_semi").join(wanted, "hash"), "met")
+    drop(variants)
     # the earliest member of every key: of the lines without word p, for each p, and of the whole lines
     best = saved(keys.groupBy("key", "place").agg(F.min(F.struct("at", "hash")).alias("best")), "earliest")
     cut, whole = best.where("place >= 0"), best.where("place < 0").select("key", "best")
