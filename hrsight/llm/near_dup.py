@@ -13,7 +13,9 @@ stars are drawn again: in the first round the centre is the member that meets th
 most others over all buckets (the text that the copies were made from, usually);
 members that it leaves undecided are dealt out again, exactly, by their rarest
 shingles, and rounds of random centres go on, only across components, until a
-round confirms no further link.
+round confirms no further link. What is then still apart is settled without
+chance: in every rare-shingle bucket the members outside its largest component
+are compared with all its members of other components.
 
 Documents with the same shingle set are one node from the start (grouped by a
 128-bit fingerprint of the set), so thousands of exact copies cost one row.
@@ -40,6 +42,8 @@ from hrsight.llm.textnp import U64, gram_hashes, mix64, words_of
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 #: Stars drawn at random in each bucket of a later round.
 STARS = 2
+#: Members in a block of a bucket whose members are compared with each other.
+BLOCK = 256
 
 
 def shingle_sets(texts, k, lower):
@@ -139,6 +143,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         before, comp = comp, merged(comp, more)
         drop(before, more)
+    # the two members of any further link are in different components of a bucket, so one of them is outside its largest
+    left = saved(_confirmed(saved(_across(rest, comp, percent), "across"), texts, percent), "links", parts)
+    if not left.isEmpty():
+        comp = merged(comp, left)
     named = nodes.select(F.struct("s1", "s2").alias("node"), "id").join(comp, "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
@@ -165,8 +173,33 @@ def _stars(placed, draws, percent):
             .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
 
 
+def _across(rest, comp, percent):
+    """Edges (a, b): in every bucket, each member outside the largest component with every member of another component.
+
+    Both sides are dealt out in blocks, so no task gets a whole bucket. Pairs go that can't be similar enough by
+    their sizes, or by what is left of both sets behind the bucket's shingle: right at the first shingle of the
+    common order that two sets share, so a pair that is similar enough stays in that bucket at least."""
+    placed = rest.join(comp, "node")
+    main = (placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
+            .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+            .select("key", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("few"),
+                    F.ceil(F.col("n") / BLOCK).alias("many")))
+    marked = placed.join(main, "key").select(
+        "key", "few", "many", F.struct("node", "label", "size", "at", (F.col("label") == F.col("main")).alias("main")).alias("m"))
+    block = lambda n: F.pmod(F.xxhash64("m.node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    few = marked.where("NOT m.main").select("key", block("few").alias("row"), every("many").alias("column"), F.col("m").alias("x"))
+    many = marked.select("key", every("few").alias("row"), block("many").alias("column"), F.col("m").alias("y"))
+    behind = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    return (few.join(many, ["key", "row", "column"])
+            .where("x.label != y.label AND (y.main OR x.node < y.node)")
+            .where(F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
+            .where((behind + 1) * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+
 def _by_rare_shingles(placed, texts, percent):
-    """(key, node, size): exact buckets for the members that the first stars left undecided.
+    """(key, node, size, at): exact buckets for the members that the first stars left undecided.
 
     Those are the members of buckets of three and more that still hold different
     components. Two sets as similar as asked share one of their rarest shingles:
@@ -190,8 +223,8 @@ def _by_rare_shingles(placed, texts, percent):
     ranked = rows.join(held, "key").select(
         "key", "s1", "s2", "size", F.row_number().over(own.orderBy("n", "key")).alias("at"), F.count("*").over(own).alias("shared"))
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    return ranked.where(F.col("at") + F.col("size") - F.col("shared") <= prefix).select(
-        "key", F.struct("s1", "s2").alias("node"), "size")
+    ranked = ranked.withColumn("at", F.col("at") + F.col("size") - F.col("shared"))
+    return ranked.where(F.col("at") <= prefix).select("key", F.struct("s1", "s2").alias("node"), "size", "at")
 
 
 def _sets_of(src, nodes, involved, k, lower):

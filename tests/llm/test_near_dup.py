@@ -103,6 +103,30 @@ def test_star_of_copies_that_are_unlike_each_other(spark):
     assert sorted(tuple(r)[:4] for r in got) == brute(rows)
 
 
+def test_no_link_is_left_to_chance(spark, monkeypatch):
+    """Whatever the random centres miss, the comparison across components finds."""
+    rng = random.Random(21)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}b{i}" for i in range(100)]
+        for i in range(120):
+            t = base[:rng.choice([90, 93, 96, 100])]
+            for p in rng.sample(range(len(t)), rng.randrange(0, 5)):
+                t[p] = f"edit{rng.randrange(30)}"
+            rows.append((len(rows), " ".join(t)))
+    stars, rounds = near_dup._stars, []
+
+    def first_only(placed, draws, percent):
+        rounds.append(1)
+        return stars(placed, draws, percent) if len(rounds) == 1 else stars(placed, draws, percent).limit(0)
+
+    monkeypatch.setattr(near_dup, "_stars", first_only)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    got = sorted(tuple(r)[:4] for r in near_dup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute(rows)
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, "A B C D"), (8, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(
