@@ -2,9 +2,9 @@
 
 Every benchmark item of m words is compared with m-word windows of the
 documents. A window without a single word shingle of an item has similarity 0
-with it, so windows are drawn where a shingle of an item occurs: for a shingle
-at place o of the item and place p of the document, the window at p - o. All
-shingles of all documents are looked up; windows found again are merged.
+with it, and a window can move on to its first shared shingle without losing one,
+so a best window starts at a shared shingle (or is the document's last): windows
+are drawn at all of them. All shingles of all documents are looked up.
 
 Windows and items get a 64-bit SimHash of their words. Fingerprints are cut in
 `radius + 1` blocks; two that differ in at most `radius` bits agree in one block
@@ -79,8 +79,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     item_grams = at_places(items.select("item", "iw", "m", F.col("size").alias("own")), ["item", "m", "own"], "iw") \
         .where("size = own").drop("own")
     hits = at_places(src, ["id", "th", F.size("w").alias("n")], "w").join(
-        item_grams.withColumnRenamed("place", "inside"), ["size", "gram"])
-    start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("inside"), F.col("n") - F.col("m")))
+        item_grams.select("m", "size", "gram").distinct(), ["size", "gram"])
+    start = F.greatest(F.lit(0), F.least(F.col("place"), F.col("n") - F.col("m")))
     windows = saved(hits.select("id", "th", "m", start.alias("start")).distinct(), "windows")
     cut = windows.join(src, ["id", "th"]).select("id", "th", "m", "start", F.expr("slice(w, start + 1, m)").alias("ww")).distinct()
     cut = saved(cut.select("*", simhash(F.col("ww")).alias("fp")), "fingerprints")

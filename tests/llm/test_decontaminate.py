@@ -64,6 +64,24 @@ def test_against_all_windows(spark):
     assert all(r.contaminated == bool(r["items"]) for r in got.values())
 
 
+def found(spark, docs, items):
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = decontaminate.contamination(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    return {r.doc_id: r["items"] for r in rows}
+
+
+def test_best_window_between_two_offsets(spark):
+    """Words inserted in the middle and edits at both ends: no shared shingle lies where the item has it."""
+    docs, items = [], []
+    for i in range(4):
+        w = [f"i{i}w{j}" for j in range(100)]
+        items.append((i, " ".join(w)))
+        edited = ["a", "b", "c"] + w[3:50] + [f"new{j}" for j in range(6)] + w[50:97] + ["d", "e", "f"]
+        docs.append((i, " ".join([f"n{j}" for j in range(20)] + edited + [f"n{j}" for j in range(20)])))
+    want = brute(docs, items)
+    assert all(want.values()) and found(spark, docs, items) == want
+
+
 def test_nulls_repeats_and_empty(spark):
     text = " ".join(PASSAGE)
     frame = spark.createDataFrame([(None, text), (1, text), (1, text), (1, "other text"), (2, None)], "doc_id int, text string")
