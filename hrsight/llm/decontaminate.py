@@ -1,28 +1,29 @@
-"""Benchmark decontamination by SimHash over item-sized windows, in SQL functions only.
-
-Every benchmark item of m words is compared with m-word windows of the
-documents. A window without a single word shingle of an item has similarity 0
-with it, and a window can move on to its first shared shingle without losing one,
-so a best window starts at a shared shingle (or is the document's last): windows
-are drawn at all of them. All shingles of all documents are looked up.
-
-Windows and items get a 64-bit SimHash of their words. Fingerprints are cut in
-`radius + 1` blocks; two that differ in at most `radius` bits agree in one block
-at least, so joining on (item length, block, its bits) finds all of them. The
-candidates are verified exactly: weighted Jaccard similarity of the shingle
-multisets (weight: number of occurrences), at least `percent` / 100.
+"""Benchmark decontamination by an exact search of all item-sized windows, in SQL functions only.
+
+Every benchmark item of m words is compared with all m-word windows of the
+documents by the weighted Jaccard similarity of the shingle multisets (weight:
+number of occurrences), at least `percent` / 100. No window is drawn: a shared
+shingle at place p of a document counts for the windows that start in one
+interval, from where the window begins to hold it (and no more earlier
+occurrences than the item has) up to p. How many intervals cover a start is the
+size of the intersection there, so a running sum over the ends of the intervals
+gives the similarity of every window. Documents whose shingles shared with the
+item are too few in all are left out first, which loses nothing.
+
+A SimHash radius as filter before the exact similarity loses windows whose
+similarity is high enough, so the search has none; `simhash` and `blocks` are
+fingerprint expressions that no decision depends on.
 
 Defined results: lower-cased words `[^\\x20\\x09-\\x0D]+`; null and empty texts
 match nothing; an item of fewer than `k` words has one shingle, its whole word
 sequence, and items without words match nothing; a document shorter than an
-item is one window; windows that would cross an end of a document are moved
-inside. Rows with a null id are returned as not contaminated. Repeated rows get
+item is one window. Rows with a null id are returned as not contaminated. Repeated rows get
 the same values; rows of the same id with other texts are decided separately.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hrsight.llm.native import grams, words
@@ -51,17 +52,18 @@ def blocks(fingerprint, radius):
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            item_id: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 80,
-            radius: int = 16) -> DataFrame:
-    """(id, text_hash, item, start, n_words, similarity): the verified windows, `start` counted in words."""
+            item_id: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """(id, text_hash, item, start, n_words, similarity): windows that are similar enough, `start` counted in words.
+
+    Of neighbouring windows with the same similarity the first one is named; the best window of every pair is there."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.col(f"`{text_col}`")).alias("text")) \
         .where("id IS NOT NULL AND text != ''")
     src = src.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w"))
     items = benchmark.select(F.col(f"`{item_id}`").alias("item"), words(F.lower(F.col(f"`{item_text}`"))).alias("iw")) \
-        .where("size(iw) > 0").select("item", "iw", F.size("iw").alias("m"))
-    # (shingle size, item words) -> its shingles; shingle sizes below k exist only for items that short
-    items = saved(items.select("item", "iw", "m", simhash(F.col("iw")).alias("fp"), F.least("m", F.lit(k)).alias("size")), "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most k values
+        .where("size(iw) > 0").select("item", "iw", F.size("iw").alias("m")).distinct()
+    # shingle sizes below k exist only for items that short
+    items = saved(items.withColumn("own", F.least("m", F.lit(k))), "items")
+    sizes = sorted(r["own"] for r in items.select("own").distinct().collect())  # at most k values
 
     def at_places(frame, cols, word_col):
         """One row for each shingle of any size in use: `cols`, size, place, gram."""
@@ -76,31 +78,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         return docs.sparkSession.createDataFrame(
             [], f"id {src.schema['id'].dataType.simpleString()}, text_hash bigint, "
                 f"item {items.schema['item'].dataType.simpleString()}, start int, n_words int, similarity double")
-    item_grams = at_places(items.select("item", "iw", "m", F.col("size").alias("own")), ["item", "m", "own"], "iw") \
-        .where("size = own").drop("own")
-    hits = at_places(src, ["id", "th", F.size("w").alias("n")], "w").join(
-        item_grams.select("m", "size", "gram").distinct(), ["size", "gram"])
-    start = F.greatest(F.lit(0), F.least(F.col("place"), F.col("n") - F.col("m")))
-    windows = saved(hits.select("id", "th", "m", start.alias("start")).distinct(), "windows")
-    cut = windows.join(src, ["id", "th"]).select("id", "th", "m", "start", F.expr("slice(w, start + 1, m)").alias("ww")).distinct()
-    cut = saved(cut.select("*", simhash(F.col("ww")).alias("fp")), "fingerprints")
-    by_block = cut.select("id", "th", "m", "start", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.*")
-    item_block = items.select("item", "m", F.col("fp").alias("ifp"), F.explode(blocks(F.col("fp"), radius)).alias("b")) \
-        .select("item", "m", "ifp", "b.*")
-    near = (by_block.join(item_block, ["m", "block", "value"])
-            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-            .select("id", "th", "m", "start", "item").distinct())
-    window_grams = at_places(cut, ["id", "th", "m", "start"], "ww").groupBy("id", "th", "m", "start", "size", "gram") \
-        .agg(F.count("*").alias("n"))
-    counts = item_grams.groupBy("item", "m", "size", "gram").agg(F.count("*").alias("ni"))
-    totals = item_grams.groupBy("item").agg(F.count("*").alias("total"), F.first("size").alias("own"))
-    common = (near.join(window_grams, ["id", "th", "m", "start"]).join(counts, ["item", "m", "size", "gram"])
-              .groupBy("id", "th", "m", "start", "item").agg(F.sum(F.least("n", "ni")).alias("common")))
-    sized = (common.join(totals, "item").join(cut.select("id", "th", "m", "start", F.size("ww").alias("n_words")),
-                                              ["id", "th", "m", "start"]))
-    union = F.col("total") + F.greatest(F.lit(0), F.col("n_words") - F.col("own") + 1) - F.col("common")
-    return sized.withColumn("all", union).where(F.col("common") * 100 >= F.col("all") * percent).select(
-        "id", F.col("th").alias("text_hash"), "item", "start", "n_words", (F.col("common") / F.col("all")).alias("similarity"))
+    # an item number with several texts is several items
+    item = ["item", "ih", "m"]
+    item_grams = (at_places(items.select("item", F.xxhash64("iw").alias("ih"), "m", "iw", "own"), [*item, "own"], "iw")
+                  .where("size = own").groupBy(*item, "size", "gram").agg(F.count("*").alias("ni")))
+    pair = ["id", "th", "n", *item, "size"]
+    places = (at_places(src, ["id", "th", F.size("w").alias("n")], "w").join(item_grams, ["size", "gram"])
+              .groupBy(*pair, "gram", "ni").agg(F.array_sort(F.collect_set("place")).alias("at")))
+    # each place with the latest one that must lie before the window for it to count
+    places = places.withColumn("at", F.transform("at", lambda p, i: F.struct(
+        p.alias("place"), F.when(i >= F.col("ni"), F.get("at", i - F.col("ni").cast("int"))).otherwise(F.lit(-1)).alias("past"))))
+    held = F.least("n", "m") - F.col("size") + 1
+    total = F.col("m") - F.col("size") + 1
+    enough = lambda common: common * (100 + percent) >= (total + held) * percent
+    spots = (places.groupBy(*pair).agg(F.sum(F.least(F.size("at"), "ni")).alias("most"), F.flatten(F.collect_list("at")).alias("at"))
+             .where(enough(F.col("most"))).select(*pair, F.explode("at").alias("s")))
+    spots = spots.select(*pair, F.greatest(F.lit(0), F.col("s.past") + 1, F.col("s.place") - held + 1).alias("lo"),
+                         F.least("s.place", F.greatest(F.lit(0), F.col("n") - F.col("m"))).alias("hi")).where("lo <= hi")
+    ends = spots.select(*pair, F.explode(F.array(F.struct(F.col("lo").alias("start"), F.lit(1).alias("step")),
+                                                 F.struct((F.col("hi") + 1).alias("start"), F.lit(-1).alias("step")))).alias("e"))
+    steps = ends.groupBy(*pair, "e.start").agg(F.sum("e.step").alias("step"))
+    run = Window.partitionBy(*pair).orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    common = steps.withColumn("common", F.sum("step").over(run)).where(enough(F.col("common")))
+    return common.select(
+        "id", F.col("th").alias("text_hash"), "item", "start", F.least("n", "m").alias("n_words"),
+        (F.col("common") / (total + held - F.col("common"))).alias("similarity"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

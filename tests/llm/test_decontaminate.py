@@ -82,6 +82,19 @@ def test_best_window_between_two_offsets(spark):
     assert all(want.values()) and found(spark, docs, items) == want
 
 
+def test_similar_windows_whose_words_differ_much(spark):
+    """The shingles are similar enough, the words (each occurrence counted) are not."""
+    docs, items = [], []
+    for i in range(8):
+        w = [f"i{i}w{j}" for j in range(90)]
+        items.append((i, " ".join(w + [f"r{i}"] * 10)))
+        docs.append((i, " ".join([f"n{j}" for j in range(20)] + w + [f"x{i}y{j}" for j in range(10)])))
+    docs.append((20, " ".join(("p q " * 3 + "s t ") * 40)))  # a shingle counts as often as the item has it
+    items += [(20, "p q p q p q s t p q"), (21, "p q p q p q p q p q p q")]
+    want = brute(docs, items)
+    assert all(want[i] for i in range(8)) and found(spark, docs, items) == want
+
+
 def test_nulls_repeats_and_empty(spark):
     text = " ".join(PASSAGE)
     frame = spark.createDataFrame([(None, text), (1, text), (1, text), (1, "other text"), (2, None)], "doc_id int, text string")
