@@ -82,6 +82,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     item = ["item", "ih", "m"]
     item_grams = (at_places(items.select("item", F.xxhash64("iw").alias("ih"), "m", "iw", "own"), [*item, "own"], "iw")
                   .where("size = own").groupBy(*item, "size", "gram").agg(F.count("*").alias("ni")))
+    # written, so that its size is known and a small table is broadcast: a common passage is one key of the join
+    item_grams = saved(item_grams, "item_grams", max(6, items.count() // 1000))
     pair = ["id", "th", "n", *item, "size"]
     places = (at_places(src, ["id", "th", F.size("w").alias("n")], "w").join(item_grams, ["size", "gram"])
               .groupBy(*pair, "gram", "ni").agg(F.array_sort(F.collect_set("place")).alias("at")))
