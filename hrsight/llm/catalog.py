@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrsight.llm import align, decontaminate, id_files, line_dedup, near_dup, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts
+from hrsight.llm import align, decontaminate, id_files, lang_id, line_dedup, near_dup, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash_near_dup": near_dup.op9,
     "op10_packing": packing.op10,
     "op11_tokenizer_alignment": align.op11,
+    "op12_language_id": lang_id.op12,
 }
 
 ORACLES: dict[str, str] = {}
