@@ -28,6 +28,7 @@ megabyte of letters, is aligned in one piece.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from hrsight.llm.encode import byte_symbols
 from hrsight.llm.tasks import _arrow_schema, _array, drop, pieces, saved, ship
 
-#: Units in a generation of the worker's cache; characters of a stretch.
-YOUNG, STRETCH = 300_000, 1 << 20
+#: Units and parts of units in a generation of the worker's caches; characters of a stretch.
+YOUNG, PARTS, STRETCH = 150_000, 350_000, 1 << 20
 #: Pairs in the broadcast table; pairs that a task holds; pairs in a row of counts.
 TABLE, HELD, ROW = 1 << 20, 1 << 20, 1 << 16
 _CUT = re.compile(r"(?<=\S) ")
@@ -111,7 +112,7 @@ class Pair:
         # no piece joins a letter with anything but letters, and a line end is a byte piece: words and signs are apart
         self.fine = self.cut and all(s.isalpha() or not any(c.isalpha() for c in s) for s in inner if s) and not any(
             "\n" in s for s in inner)
-        self.young, self.old, self.parts = {}, {}, {}
+        self.young, self.old, self.parts, self.old_parts = {}, {}, {}, {}
 
     # ---- units ----
 
@@ -149,28 +150,36 @@ class Pair:
     def fill(self, missing):
         if len(self.young) + len(missing) > YOUNG:
             self.old, self.young = self.young, {}
-        if len(self.parts) > YOUNG:
-            self.parts = {}
-        out, split, wanted = {}, {}, {}
+        if len(self.parts) > PARTS:
+            self.old_parts, self.parts = self.parts, {}
+        out, split, wanted = {}, [], {}
+        parts, older = self.parts, self.old_parts
         for u in missing:
             e = self.old.get(u)
             if e is not None:
                 out[u] = self.young[u] = e
                 continue
             keys = self.keys(u)
-            split[u] = keys
+            split.append((u, keys))
             for k in keys:
-                if k not in self.parts:
-                    wanted[k] = None
+                if k not in parts:
+                    e = older.get(k)
+                    if e is None:
+                        wanted[k] = None
+                    else:
+                        parts[k] = e
         wanted = list(wanted)
         for i in range(0, len(wanted), 2000):
-            part = wanted[i:i + 2000]
-            self.parts.update(zip(part, self.aligned(part)))
-        for u, keys in split.items():
+            some = wanted[i:i + 2000]
+            parts.update(zip(some, self.aligned(some)))
+        for u, keys in split:
             if len(keys) == 1:
-                e = self.parts[keys[0]]
+                e = parts[keys[0]]
+            elif len(keys) == 2:
+                x, y = parts[keys[0]], parts[keys[1]]
+                e = x and y and (x[0] + ";" + y[0], x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4])
             else:
-                es = [self.parts[k] for k in keys]
+                es = [parts[k] for k in keys]
                 e = False if False in es else (";".join([x[0] for x in es]), b"".join([x[1] for x in es]),
                                               sum([x[2] for x in es]), sum([x[3] for x in es]), sum([x[4] for x in es]))
             out[u] = e
@@ -220,16 +229,16 @@ class Pair:
     def align(self, key, left, right, dropped, shift):
         raw = key.encode()
         ids_a = left.ids
-        tokens = list(right.pieces)
-        ids_b = [t.id for t in tokens[dropped:]]
+        tokens = list(right.pieces)[dropped:]
+        ids_b = [t.id for t in tokens]
         a_bytes, b_bytes = self.a_bytes, self.b_bytes
         if b"".join([a_bytes[i] for i in ids_a]) != raw or b"".join([b_bytes[i] for i in ids_b]) != raw:
             return False
         if key.isascii():
             ends_a = [e for _, e in left.offsets]
-            ends_b = [t.end + shift for t in tokens[dropped:]]
+            ends_b = [t.end + shift for t in tokens]
         else:
-            ends_a, ends_b = self.refined(key, raw, left.offsets, ids_a, tokens[dropped:], ids_b, shift)
+            ends_a, ends_b = self.refined(key, raw, left.offsets, ids_a, tokens, ids_b, shift)
         return self.entry(ids_a, ends_a, ids_b, ends_b)
 
     def refined(self, key, raw, offsets, ids_a, tokens, ids_b, shift):
@@ -258,10 +267,12 @@ class Pair:
         return ends_a, ends_b
 
     def entry(self, ids_a, ends_a, ids_b, ends_b):
+        base, a_text, b_text, n_a, n_b = self.base, self.a_text, self.b_text, len(ids_a), len(ids_b)
+        if n_a == 1 and n_b == 1:
+            return (a_text[ids_a[0]] + "|" + b_text[ids_b[0]], (ids_a[0] * base + ids_b[0]).to_bytes(self.code.itemsize, "little"), 1, 1, 1)
         i = j = gi = gj = 0
         groups, links = [], []
-        base, a_text, b_text = self.base, self.a_text, self.b_text
-        while i < len(ids_a) and j < len(ids_b):
+        while i < n_a and j < n_b:
             links.append(ids_a[i] * base + ids_b[j])
             x, y = ends_a[i], ends_b[j]
             if x <= y:
@@ -271,7 +282,7 @@ class Pair:
                 if x == y:
                     groups.append(",".join([a_text[t] for t in ids_a[gi:i]]) + "|" + ",".join([b_text[t] for t in ids_b[gj:j]]))
                     gi, gj = i, j
-        return ";".join(groups), np.array(links, dtype=self.code).tobytes(), len(ids_a), len(ids_b), len(groups)
+        return ";".join(groups), np.array(links, dtype=self.code).tobytes(), n_a, n_b, len(groups)
 
     # ---- one text ----
 
@@ -358,10 +369,12 @@ def _encoded(src: DataFrame, a_path: str, b_path: str, with_groups: bool) -> Dat
             for part, texts in pieces(batch, "text"):
                 cols = [[] for _ in range(8)]
                 full = False
+                gc.disable()  # the cached entries hold no cycles, and collections would walk all of them
                 for n_a, n_b, n_groups, n_links, digest, codes, times, kept in both.documents(texts, with_groups):
                     full = counts.add(codes) or full
                     for c, v in zip(cols, (n_a, n_b, n_groups, n_links, digest, codes.tobytes(), times.tobytes(), kept)):
                         c.append(v)
+                gc.enable()
                 made = [list(range(uid, uid + len(texts))), part.column(part.schema.get_field_index("id")), *cols]
                 uid += len(texts)
                 yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(made, schema)], schema=schema)

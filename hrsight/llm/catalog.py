@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hrsight.llm import align, decontaminate, id_files, lang_id, line_dedup, near_dup, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts
+from hrsight.llm import align, decontaminate, id_files, lang_id, line_dedup, near_dup, packing, phrases, pii, quality_model, quality_rules, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10,
     "op11_tokenizer_alignment": align.op11,
     "op12_language_id": lang_id.op12,
+    "op13_phrases": phrases.op13,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_phrases": phrases.ORACLE}

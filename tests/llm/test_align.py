@@ -73,6 +73,7 @@ def test_units_equal_whole_texts(both):
 
 def test_cache_and_stretches_change_nothing(both, monkeypatch):
     monkeypatch.setattr(align, "YOUNG", 5)
+    monkeypatch.setattr(align, "PARTS", 7)
     monkeypatch.setattr(align, "STRETCH", 7)
     made = align.Pair(A, B)
     for t, got in zip(TEXTS, made.documents(TEXTS, True)):
