@@ -41,7 +41,7 @@ from hrsight.llm.textnp import _BASE, _INV, _LOWER, U64, mix64, powers
 
 SIEVE_BITS, BLOCK_BITS = 26, 15
 #: Rows that a task holds before it passes them on; bytes laid out at a time; bytes of a word that is hashed by itself.
-HELD, STRETCH, LONG_WORD = 1 << 20, 1 << 21, 1 << 16
+HELD, STRETCH, LONG_WORD = 1 << 18, 1 << 20, 1 << 16
 KEY = ["c1", "c2", "c3", "c4"]
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
