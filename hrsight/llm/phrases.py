@@ -6,10 +6,11 @@ or, where the piece ends sooner, the shorter rest (the piece-end correction). Al
 shorter counts follow by flow: a sequence occurs as often as the edges that leave
 it plus the ends on it, so f of 3, 2 and 1 words are sums by prefix.
 
-1. A pass counts neighbouring word pairs in 2**`SIEVE_BITS` buckets; a bit table
-   of the buckets with `least` occurrences or more is broadcast (its size is
-   fixed). A pair that isn't in it can't be part of a candidate, so a piece ends
-   there as well: exact, the table only leaves out edges that can't count.
+1. A pass counts words and neighbouring pairs in 2**`SIEVE_BITS` buckets, a
+   second one the triples whose pairs are in; the bit tables of the buckets with
+   `least` occurrences or more are broadcast (their size is fixed). What isn't in
+   them can't be part of a candidate, so the graph ends there as it does at the
+   end of a piece: exact, the tables only leave out counts that nothing needs.
 2. A pass emits the longest gram at each word, summed in bounded arrays of the
    task, and the words' texts; sums by key give the edges, the flows the rest.
 3. Unary paths (all occurrences of a node come by one edge and leave by one)
@@ -97,25 +98,54 @@ def lowered(raw):
     return raw.translate(bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)))
 
 
-def pair_buckets(h, piece):
-    """(bucket of the pair at each word and the next, whether there is such a pair)."""
-    if len(h) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+def bucket_of(key):
+    return (mix64(key) >> U64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def in_table(table, bucket):
+    return (table[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def neighbours(piece, size):
+    """Whether the `size` words from each word on are in one piece (its numbers never fall)."""
+    n = len(piece) - size + 1
+    return piece[:n] == piece[size - 1:] if n > 0 else np.zeros(0, bool)
+
+
+def gram_buckets(h, size):
+    """The bucket of the `size` words from each word on."""
+    n = max(0, len(h) - size + 1)
+    key = h[:n] + U64(size)
     with np.errstate(over="ignore"):
-        key = mix64(h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:])
-    return (key >> U64(64 - SIEVE_BITS)).astype(np.int64), piece[:-1] == piece[1:]
+        for j in range(1, size):
+            key = mix64(key * U64(0xD6E8FEB86659FD93) + h[j:j + n])
+    return bucket_of(key)
+
 
+def frequent_links(h, piece, table):
+    """Whether each word and the next are a pair of the table within a piece."""
+    return neighbours(piece, 2) & in_table(table, gram_buckets(h, 2))
 
-def longest_grams(h, linked):
-    """Four columns: at each word the gram of up to four linked words, 0 where it ends sooner."""
+
+def frequent_triples(h, linked, table):
+    both = linked[:-1] & linked[1:]
+    at = np.flatnonzero(both)
+    if len(at):
+        three = np.stack([h[at], h[at + 1], h[at + 2]])
+        with np.errstate(over="ignore"):
+            key = mix64(mix64((three[0] + U64(3)) * U64(0xD6E8FEB86659FD93) + three[1]) * U64(0xD6E8FEB86659FD93) + three[2])
+        both[at] = in_table(table, bucket_of(key)) if table is not None else True
+    return both
+
+
+def longest_grams(h, linked, triples):
+    """Four columns: at each word the longest gram that the tables leave, 0 where it ends sooner."""
     out = np.zeros((4, len(h)), dtype=U64)
     out[0] = h
-    on = np.ones(len(h), dtype=bool)
-    for j in range(1, 4):
-        on[max(0, len(h) - j):] = False
-        if len(h) > j:
-            on[:len(h) - j] &= linked[j - 1:len(h) - 1]
-            out[j, :len(h) - j] = np.where(on[:len(h) - j], h[j:], U64(0))
+    for j, on in ((1, linked), (2, triples), (3, triples[:-1] & triples[1:])):
+        n = len(h) - j
+        if n > 0:
+            out[j, :n] = np.where(on, h[j:], U64(0))
     return out
 
 
@@ -167,9 +197,16 @@ def _parts(batches):
 
 # ---- sieve ----
 
-def sieve(src: DataFrame, least: int, seed: int) -> np.ndarray:
-    """Bits of the pair buckets with `least` occurrences or more; the table's size is fixed."""
+def sieve(src: DataFrame, least: int, seed: int, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Bits of the buckets with `least` occurrences or more: of words and pairs, or, given their table, of triples."""
     names = ["bucket", "n"]
+    shared = None if pairs is None else src.sparkSession.sparkContext.broadcast(pairs)
+
+    def buckets(h, piece):
+        if shared is None:
+            return np.concatenate((gram_buckets(h, 1), gram_buckets(h, 2)[neighbours(piece, 2)]))
+        linked = frequent_links(h, piece, shared.value)
+        return gram_buckets(h, 3)[frequent_triples(h, linked, None)]
 
     def count(batches):
         sums = Sums(1, np.int64)
@@ -180,8 +217,9 @@ def sieve(src: DataFrame, least: int, seed: int) -> np.ndarray:
 
         for texts, langs in _parts(batches):
             h, piece, *_ = words(texts, langs, seed)
-            bucket, real = pair_buckets(h, piece)
-            got, n = np.unique(bucket[real], return_counts=True)
+            if not len(h):
+                continue
+            got, n = np.unique(buckets(h, piece), return_counts=True)
             if sums.add(got[None, :], n.astype(np.int64)):
                 yield from rows()
         yield from rows()
@@ -207,15 +245,15 @@ def sieve(src: DataFrame, least: int, seed: int) -> np.ndarray:
 
 # ---- edges ----
 
-def emitted(src: DataFrame, table: np.ndarray, seed: int) -> DataFrame:
+def emitted(src: DataFrame, pairs: np.ndarray, triples: np.ndarray, seed: int) -> DataFrame:
     """Rows of grams (c1 to c4, n > 0), of words (c1, lang, word, n = 0) and of totals (lang, n), in a table."""
     ddl = "c1 bigint, c2 bigint, c3 bigint, c4 bigint, n bigint, lang string, word string"
     schema = _arrow_schema(src.sparkSession, ddl)
-    shared = src.sparkSession.sparkContext.broadcast(table)
+    shared = src.sparkSession.sparkContext.broadcast((pairs, triples))
     ship(src.sparkSession)
 
     def run(batches):
-        often = shared.value
+        often, often3 = shared.value
         sums, known, totals = Sums(4, U64), set(), {}
 
         def batch_of(**cols):
@@ -235,8 +273,7 @@ def emitted(src: DataFrame, table: np.ndarray, seed: int) -> DataFrame:
                 totals[lang] = totals.get(lang, 0) + n
             if not len(h):
                 continue
-            bucket, linked = pair_buckets(h, piece)
-            linked &= (often[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+            linked = frequent_links(h, piece, often)
             used = np.zeros(len(h), dtype=bool)
             used[:-1] |= linked
             used[1:] |= linked
@@ -249,7 +286,8 @@ def emitted(src: DataFrame, table: np.ndarray, seed: int) -> DataFrame:
             if fresh:
                 yield batch_of(c1=h[[i for _, i in fresh]].view(np.int64), n=[0] * len(fresh), lang=[langs[owner[i]] for _, i in fresh],
                                word=[lowered(whole[start[i]:stop[i]]).decode("utf-8", "surrogatepass") for _, i in fresh])
-            if sums.add(longest_grams(h, linked), np.ones(len(h), dtype=np.int64)):
+            grown = longest_grams(h, linked, frequent_triples(h, linked, often3))[:, in_table(often, gram_buckets(h, 1))]
+            if sums.add(grown, np.ones(grown.shape[1], dtype=np.int64)):
                 yield from grams()
         yield from grams()
         yield batch_of(lang=list(totals), n=list(totals.values()))
@@ -349,7 +387,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """lang, rank, phrase, a, l, r, n, score: the best `top` phrases of 2 to 4 words of each language."""
     src = docs.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"))
     for seed in range(8):
-        rows = emitted(src, sieve(src, least, seed), seed)
+        pairs = sieve(src, least, seed)
+        rows = emitted(src, pairs, sieve(src, least, seed, pairs), seed)
         texts = saved(rows.where("n = 0 AND word IS NOT NULL").groupBy("c1").agg(
             F.min(F.struct("lang", "word")).alias("t"), F.max(F.struct("lang", "word")).alias("u")), "words")
         if texts.where("t <> u").isEmpty():

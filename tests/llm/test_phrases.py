@@ -119,7 +119,8 @@ def test_paths(spark):
     """One passage 6 times, a part of it twice more: three paths, inner nodes only where all occurrences go on."""
     texts = ["a b c d e f g h"] * 6 + ["b c d e f"] * 2
     src = spark.createDataFrame([(t, "en") for t in texts], SCHEMA)
-    rows = phrases.emitted(src, phrases.sieve(src, 2, 0), 0)
+    pairs = phrases.sieve(src, 2, 0)
+    rows = phrases.emitted(src, pairs, phrases.sieve(src, 2, 0, pairs), 0)
     names = {r.c1: r.word for r in rows.where("n = 0").collect()}
     frequent = phrases.flows(rows, 2)
     got = {(" ".join(names[w] for w in r.words), r.n) for r in phrases.contigs(frequent).collect()}
@@ -141,7 +142,8 @@ def test_colliding_fingerprints_take_another_seed(spark, monkeypatch):
     frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     src = frame.select("text", "lang")
     monkeypatch.setattr(phrases, "words", colliding)
-    once = phrases.emitted(src, np.full(1 << phrases.SIEVE_BITS - 3, 255, np.uint8), 0)
+    full = np.full(1 << phrases.SIEVE_BITS - 3, 255, np.uint8)
+    once = phrases.emitted(src, full, full, 0)
     assert once.where("n = 0").groupBy("c1").count().where("count > 1").count() == 1
     assert made(frame, least=2) == brute(rows, 2)
 
