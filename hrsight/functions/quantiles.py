@@ -20,19 +20,20 @@ ceil((n-1)p) matches the usual "type 7" definition (pandas, NumPy, DuckDB
 ``quantile_cont``, Spark ``percentile``). Every pass scans the (pruned) columns
 and has a tiny result. NaN counts as missing, as NULL does.
 
-Per-group quantiles (``by``) use ``percentile_approx`` (a bounded, mergeable
-sketch) because a per-group exact answer would need a per-group interval
-table; that is stated where it is used.
+Per-group quantiles (``grouped_quantiles``) narrow one interval for each
+(group, rank): all groups advance in the same pass, over a table of targets that
+is joined to the rows. Groups, targets and results stay distributed.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -208,9 +209,120 @@ def exact_quantile(df: DataFrame, column: str, p: float, **kw) -> float | None:
     return exact_quantiles(df, {column: [p]}, **kw)[column][0]
 
 
-def approx_quantile_cols(column: str, probs: Sequence[float], accuracy: int = 100_000,
-                         prefix: str | None = None):
-    """Per-group sketch quantiles as aggregate expressions."""
-    prefix = prefix or column
-    arr = F.percentile_approx(F.col(column).cast("double"), list(probs), accuracy)
-    return [arr.getItem(i).alias(f"{prefix}_p{int(round(p * 100))}") for i, p in enumerate(probs)]
+# ---- per group ----
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], final_max: int = 100_000,
+                      sketch_accuracy: int = 1_000, salts: int = 8) -> DataFrame:
+    """Per group (NULL keys are groups): the keys and ``q0``, ``q1``, ... with exact type-7 interpolation.
+
+    Each (group, rank) has an interval [a, b] of sketch values that brackets it.
+    A pass counts, for all targets at once, the rows below a, equal to a, inside
+    and equal to b; a rank in a run of equal values is found, any other
+    one gets a narrower interval from a sketch of the rows strictly inside, which
+    are at most about 8 / ``sketch_accuracy`` of those before, whatever the values'
+    spread. An interval with at most ``final_max`` rows is finished by its distinct
+    values and their counts, ranked by a window over that many rows. A rank
+    that a bracket misses (sketches are not guaranteed) starts from [min, max].
+
+    Every aggregate is partial before its shuffle. Rows meet their group's targets
+    by a join on the key and a salt of the row, so a hot group is dealt over
+    ``salts`` tasks where the target table is too large to be broadcast. The
+    state between passes is a table in the shared folder. NaN and NULL are missing;
+    a group without values has NULL.
+    """
+    from hrsight.session import scratch_path
+
+    spark = df.sparkSession
+    ks = [f"_k{i}" for i in range(len(keys))]
+    x = F.col("`" + column.replace("`", "``") + "`").cast("double")
+    src = df.select(*[F.col("`" + k.replace("`", "``") + "`").alias(a) for k, a in zip(keys, ks)],
+                    F.nanvl(x, F.lit(None).cast("double")).alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def kept(frame: DataFrame) -> DataFrame:
+        path = scratch_path(spark, f"quantiles-{uuid.uuid4().hex}")
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    eps = 3.0 / sketch_accuracy
+    levels = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-eps, eps)})
+    groups = kept(src.groupBy(*ks).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                       F.percentile_approx("x", levels, sketch_accuracy).alias("s")))
+
+    def at(p: float):
+        return F.col("s")[levels.index(min(1.0, max(0.0, p)))]
+
+    # one target for each group, level and side; "inside" is the number of rows that the interval may hold
+    sides = [F.struct(F.lit(2 * i + up).alias("t"), at(p - eps).alias("a"), at(p + eps).alias("b"),
+                      (F.ceil if up else F.floor)((F.col("n") - 1) * F.lit(float(p))).cast("bigint").alias("rank"))
+             for i, p in enumerate(probs) for up in (0, 1)]
+    state = kept(groups.where("n > 0").select(*ks, "n", "lo", "hi", F.explode(F.array(*sides)).alias("e"))
+                 .select(*ks, "n", "lo", "hi", "e.*", (F.col("n") * (8.0 / sketch_accuracy)).alias("inside"),
+                         F.lit(None).cast("double").alias("value")))
+    salt = F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int")
+
+    def met(targets: DataFrame) -> DataFrame:
+        """(keys, target, x) of the rows up to each target's b."""
+        lists = targets.groupBy(*ks).agg(F.collect_list(F.struct("t", "a", "b")).alias("ts")) \
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = src.where("x IS NOT NULL").withColumn("salt", salt)
+        on = [rows[k].eqNullSafe(lists[k]) for k in ks] + [rows["salt"] == lists["salt"]]
+        return (rows.join(lists, on).select(*[rows[k] for k in ks], "x", F.explode("ts").alias("e"))
+                .where(F.col("x") <= F.col("e.b")).select(*ks, "x", "e.t", "e.a", "e.b"))
+
+    def back(frame: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        """Join on keys (null-safe) and target."""
+        named = other.select(*[F.col(k).alias(f"{k}_") for k in ks], F.col("t").alias("t_"), *[c for c in other.columns if c not in (*ks, "t")])
+        on = [frame[k].eqNullSafe(named[f"{k}_"]) for k in ks] + [frame["t"] == named["t_"]]
+        return frame.join(named, on, how).drop("t_", *[f"{k}_" for k in ks])
+
+    while True:
+        open_ = state.where("value IS NULL")
+        wide = open_.where(F.col("inside") > final_max)
+        if not wide.isEmpty():
+            strict = F.when((F.col("x") > F.col("a")) & (F.col("x") < F.col("b")), F.col("x"))
+            seen = met(wide).groupBy(*ks, "t").agg(
+                F.sum((F.col("x") < F.col("a")).cast("bigint")).alias("below"), F.sum((F.col("x") == F.col("a")).cast("bigint")).alias("at_a"),
+                F.count(strict).alias("within"), F.sum(((F.col("x") == F.col("b")) & (F.col("a") < F.col("b"))).cast("bigint")).alias("at_b"),
+                F.percentile_approx(strict, [j / 256 for j in range(257)], 2 * sketch_accuracy).alias("cuts"))
+            got = back(state, seen, "left")
+            first = F.col("rank") - F.col("below")
+            inner = first - F.col("at_a")
+            level = inner / F.greatest(F.col("within"), F.lit(1)) * 256
+            missed = (first < 0) | (inner >= F.col("within") + F.col("at_b"))
+            new = F.when(F.col("below").isNull(), F.struct("a", "b", "inside", "value")) \
+                .when(missed, F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("n").cast("double").alias("inside"),
+                                       F.lit(None).cast("double").alias("value"))) \
+                .when(inner < 0, F.struct("a", "b", "inside", F.col("a").alias("value"))) \
+                .when(inner >= F.col("within"), F.struct("a", "b", "inside", F.col("b").alias("value"))) \
+                .otherwise(F.struct(
+                    F.get("cuts", F.greatest(F.floor(level).cast("int") - 1, F.lit(0))).alias("a"),
+                    F.get("cuts", F.least(F.floor(level).cast("int") + 2, F.lit(256))).alias("b"),
+                    (F.col("within") / 64).alias("inside"), F.lit(None).cast("double").alias("value")))
+            state = kept(got.withColumn("e", new).select(*ks, "n", "lo", "hi", "t", F.col("e.a").alias("a"), F.col("e.b").alias("b"), "rank",
+                                                         F.col("e.inside").alias("inside"), F.col("e.value").alias("value")))
+            continue
+        if open_.isEmpty():
+            break
+        # the rows below a as one row, each value in [a, b] as one
+        value = F.when(F.col("x") >= F.col("a"), F.col("x"))
+        counts = met(open_).groupBy(*ks, "t", value.alias("v")).agg(F.count(F.lit(1)).alias("m"))
+        upto = F.sum("m").over(Window.partitionBy(*ks, "t").orderBy(F.col("v").asc_nulls_first()))
+        ranked = back(open_.select(*ks, "t", "rank"), counts.withColumn("upto", upto), "inner")
+        found = ranked.where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("m") <= F.col("rank")) & F.col("v").isNotNull()) \
+            .select(*ks, "t", F.col("v").alias("found"))
+        state = kept(back(state, found, "left").select(
+            *ks, "n", "t", "rank", F.coalesce("value", "found").alias("value"), "lo", "hi",
+            F.lit(None).cast("double").alias("inside"), F.col("lo").alias("a"), F.col("hi").alias("b"))
+            .withColumn("inside", F.when(F.col("value").isNull(), F.col("n").cast("double"))))
+    src.unpersist()
+
+    def side(i: int):
+        return F.max(F.when(F.col("t") == i, F.col("value")))
+
+    made = state.groupBy(*ks, "n").agg(*[e for i in range(len(probs)) for e in (side(2 * i).alias(f"l{i}"), side(2 * i + 1).alias(f"u{i}"))])
+    levels_ = [((F.col("n") - 1) * F.lit(float(p))) for p in probs]
+    quantiles = made.select(*[F.col(k).alias(f"{k}_") for k in ks], *[
+        (F.col(f"l{i}") + (h - F.floor(h)) * (F.col(f"u{i}") - F.col(f"l{i}"))).alias(f"q{i}") for i, h in enumerate(levels_)])
+    on = [groups[k].eqNullSafe(quantiles[f"{k}_"]) for k in ks]
+    return groups.select(*ks).join(quantiles, on, "left").select(
+        *[F.col(k).alias(n) for k, n in zip(ks, keys)], *[f"q{i}" for i in range(len(probs))])

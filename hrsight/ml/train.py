@@ -1,11 +1,14 @@
 """Train and compare attrition classifiers.
 
 One run: label and split the data, fit the preparation on the training
-split, then for each candidate estimator run a 5-fold cross-validation on
-the training split (``CrossValidator`` with a hash-assigned ``fold``
-column; its refit on the whole training split is the model kept), score the
-test split, and record the metrics. A failing candidate is recorded with
-its error and does not stop the others. The best model is the highest
+split, then fit each candidate on the whole training split (the model kept)
+and on the rest of each of its folds (cross-validation by the hash-assigned
+``fold`` column), score the test split, and record the metrics. All fits of
+all candidates run in one pool of threads, long ones first: a tree ensemble is
+many short jobs that leave most cores idle, so several fits share them. The
+folds don't touch the models kept: without cross-validation (``cv_folds=0``)
+models, metrics and best model are the same. A failing candidate is recorded
+with its error and does not stop the others. The best model is the highest
 weighted F1; the first candidate wins ties.
 
 Candidates and their defaults follow the reference settings: logistic
@@ -22,13 +25,14 @@ import logging
 import time
 import traceback
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
+from statistics import fmean, pstdev
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +91,10 @@ class TrainResult:
     label_values: tuple[str, str] = ("No", "Yes")
     codes: dict[str, DataFrame] = field(default_factory=dict)
 
+    def release(self) -> None:
+        """Give back the cached test rows."""
+        self.test.unpersist()
+
     def pipeline(self, name: str | None = None) -> PipelineModel:
         name = name or self.best
         return PipelineModel(stages=[*self.prep.stages, self.models[name]])
@@ -104,7 +112,7 @@ def _label_values(df: DataFrame, roles: Roles) -> tuple[str, str]:
 
 
 def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | None = None,
-                 test_size: float = 0.2, seed: int = 42, cv_folds: int = 5, parallelism: int = 2,
+                 test_size: float = 0.2, seed: int = 42, cv_folds: int = 5, parallelism: int = 8,
                  exclude: tuple[str, ...] = (), wide: int = WIDE) -> TrainResult:
     roles = Roles.of(roles)
     settings = settings or DEFAULT
@@ -119,30 +127,44 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
     prep, kept = fit_preparation(train, spec)
     keep_cols = [FEATURES, LABEL, ROW_KEY]
     # Tree and gradient rounds are many short jobs over these rows: no more tasks than they are worth.
-    tasks = max(1, -(-data.count() // ROWS_PER_TASK))
+    # A few fits at a time get more tasks each, so that all cores have work.
+    long_fits = 2 * (1 + max(cv_folds or 0, 0))
+    tasks = max(1, -(-data.count() // ROWS_PER_TASK), spark.sparkContext.defaultParallelism // long_fits)
     train_p = (with_class_weights(prep.transform(train).select(*keep_cols, "fold")).coalesce(tasks)
                .persist(StorageLevel.MEMORY_AND_DISK))
     test_p = prep.transform(test).select(*keep_cols).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK)
     n_train = train_p.count()
     f1_eval = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="weightedFMeasure")
-    rows, models = [], {}
-    best, best_f1 = None, None
     log = logging.getLogger("hrsight.train")
-    for name, params in settings.items():
+
+    def fitted(job: tuple[str, int | None]):
+        """The model kept (fold None) or the F1 of one fold; an exception is the result, not raised."""
+        name, fold = job
         started = time.perf_counter()
         try:
-            est = make_estimator(name, n_train, params, seed)
-            if cv_folds and cv_folds > 1:
-                cv = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().build(),
-                                    evaluator=f1_eval, foldCol="fold", numFolds=cv_folds,
-                                    parallelism=parallelism, seed=seed)
-                cvm = cv.fit(train_p)
-                model = cvm.bestModel
-                cv_mean = float(cvm.avgMetrics[0])
-                cv_std = float(cvm.stdMetrics[0]) if cvm.stdMetrics else None
-            else:
-                model = est.fit(train_p)
-                cv_mean = cv_std = None
+            est = make_estimator(name, n_train, settings[name], seed)
+            if fold is None:
+                return est.fit(train_p)
+            return f1_eval.evaluate(est.fit(train_p.where(F.col("fold") != fold)).transform(train_p.where(F.col("fold") == fold)))
+        except Exception as e:  # noqa: BLE001 - a failing candidate is recorded, not fatal
+            return e
+        finally:
+            log.info("%s, fold %s: %.1fs", name, fold, time.perf_counter() - started)
+
+    folds = range(cv_folds) if cv_folds and cv_folds > 1 else ()
+    # the later candidates take longest
+    jobs = [(name, fold) for name in reversed(list(settings)) for fold in (None, *folds)]
+    with ThreadPool(max(1, min(parallelism, len(jobs)))) as pool:
+        made = dict(zip(jobs, pool.map(inheritable_thread_target(spark)(fitted), jobs, chunksize=1)))
+    rows, models = [], {}
+    best, best_f1 = None, None
+    for name in settings:
+        try:
+            for job in jobs:
+                if job[0] == name and isinstance(made[job], Exception):
+                    raise made[job]
+            model = made[name, None]
+            cv = [made[name, k] for k in folds]
             scored = evaluate.with_probability(model.transform(test_p))
             cm_rows = evaluate.confusion(scored).collect()
             cm = {(r["actual"], r["predicted"]): r["n"] for r in cm_rows}
@@ -152,12 +174,10 @@ def train_models(df: DataFrame, roles: Roles | None = None, settings: dict | Non
             a = evaluate.auc(scored, counts=(pos, sum(cm.values())))
             rows.append((name, round(m["accuracy"], 4), round(m["precision"], 4), round(m["recall"], 4),
                          round(m["f1_score"], 4), None if a is None else round(a, 4),
-                         None if cv_mean is None else round(cv_mean, 4),
-                         None if cv_std is None else round(cv_std, 4),
+                         round(fmean(cv), 4) if cv else None, round(pstdev(cv), 4) if cv else None,
                          [[cm.get((0, 0), 0), cm.get((0, 1), 0)], [cm.get((1, 0), 0), cm.get((1, 1), 0)]],
                          None))
             models[name] = model
-            log.info("%s trained and evaluated in %.1fs", name, time.perf_counter() - started)
             if best_f1 is None or m["f1_score"] > best_f1:
                 best, best_f1 = name, m["f1_score"]
         except Exception as e:  # noqa: BLE001 - a failing candidate is recorded, not fatal

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hrsight.functions.exprs import col, count_if, group_cols, label_flag, pct, rate, rnd
-from hrsight.functions.quantiles import approx_quantile_cols, exact_quantiles
+from hrsight.functions.quantiles import exact_quantiles, grouped_quantiles
 from hrsight.roles import Roles
 
 
@@ -176,13 +176,9 @@ def performer_counts(df: DataFrame, roles: Roles | None = None) -> DataFrame:
                   lo.alias("underperformer_count"), pct(lo, n, 1).alias("underperformer_pct"))
 
 
-def salary_stats(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None,
-                 accuracy: int = 100_000) -> DataFrame:
-    """Mean, median, sample std, min, max, q25, q75 of income (0 dp).
-
-    Whole table: exact quantiles. Per group (``by``): quantiles from the
-    bounded ``percentile_approx`` sketch with the given accuracy.
-    """
+def salary_stats(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None) -> DataFrame:
+    """Mean, median, sample std, min, max, q25, q75 of income (0 dp), of the
+    whole table or of each group (``by``). All quantiles are exact."""
     roles = Roles.of(roles)
     inc = roles.col(df, "income")
     keys = group_cols(by)
@@ -192,10 +188,13 @@ def salary_stats(df: DataFrame, roles: Roles | None = None, by: str | Iterable[s
     base = [rnd(F.avg(x), 0).alias("mean"), rnd(F.stddev_samp(x), 0).alias("std"),
             rnd(F.min(x), 0).alias("min"), rnd(F.max(x), 0).alias("max")]
     if keys:
-        q = approx_quantile_cols(inc, [0.5, 0.25, 0.75], accuracy, prefix="q")
-        return (df.groupBy(*[col(k) for k in keys]).agg(*base, *q)
-                .select(*keys, "mean", rnd(F.col("q_p50"), 0).alias("median"), "std", "min", "max",
-                        rnd(F.col("q_p25"), 0).alias("q25"), rnd(F.col("q_p75"), 0).alias("q75")))
+        q = grouped_quantiles(df, keys, inc, [0.5, 0.25, 0.75]).select(
+            *[F.col(f"`{k}`").alias(f"_q_{i}") for i, k in enumerate(keys)], "q0", "q1", "q2")
+        stats = df.groupBy(*[col(k) for k in keys]).agg(*base)
+        on = [stats[f"`{k}`"].eqNullSafe(q[f"_q_{i}"]) for i, k in enumerate(keys)]
+        return stats.join(q, on).select(
+            *[stats[f"`{k}`"] for k in keys], "mean", rnd(F.col("q0"), 0).alias("median"), "std", "min", "max",
+            rnd(F.col("q1"), 0).alias("q25"), rnd(F.col("q2"), 0).alias("q75"))
     med, q25, q75 = exact_quantiles(df, {inc: [0.5, 0.25, 0.75]})[inc]
     return df.agg(*base).select(
         "mean", rnd(F.lit(med), 0).alias("median"), "std", "min", "max",

@@ -136,6 +136,22 @@ SELECT round_even(avg(MonthlyIncome), 0) AS mean, round_even(quantile_cont(Month
 FROM emp
 """))(lambda spark, sf: describe.salary_stats(emp(spark, sf), ROLES))
 
+
+def _grouped_salary_sql(key: str) -> str:
+    return f"""
+SELECT {key}, round_even(avg(MonthlyIncome), 0) AS mean, round_even(quantile_cont(MonthlyIncome, 0.5), 0) AS median,
+  round_even(stddev_samp(MonthlyIncome), 0) AS std, round_even(min(MonthlyIncome), 0) AS min,
+  round_even(max(MonthlyIncome), 0) AS max, round_even(quantile_cont(MonthlyIncome, 0.25), 0) AS q25,
+  round_even(quantile_cont(MonthlyIncome, 0.75), 0) AS q75
+FROM emp GROUP BY {key}
+"""
+
+
+register("salary_stats_by_department", with_emp(_grouped_salary_sql("Department")))(
+    lambda spark, sf: describe.salary_stats(emp(spark, sf), ROLES, by="Department"))
+register("salary_stats_by_role", with_emp(_grouped_salary_sql("JobRole")))(
+    lambda spark, sf: describe.salary_stats(emp(spark, sf), ROLES, by="JobRole"))
+
 register("pay_by_group", with_emp("""
 SELECT 'gender' AS dimension, Gender AS value, round_even(avg(MonthlyIncome), 0) AS avg_income
   FROM emp WHERE Gender IS NOT NULL GROUP BY Gender
@@ -398,23 +414,29 @@ WHERE user_id = (SELECT min(user_id) FROM events) ORDER BY ts DESC, event_id DES
 
 # ---- M1 - M17: models ----------------------------------------------------
 # Training is iterative (no SQL equivalent): the model queries have no
-# oracle. They share one training run per (session, data folder).
+# oracle. Queries after each other in one session and folder share a training
+# run; only the last one is kept. Cross-validation doesn't change the models,
+# so only the query that shows its figures runs it.
 
 _TRAINED: dict = {}
 
 
-def trained(spark: SparkSession, sf: str):
+def trained(spark: SparkSession, sf: str, cv_folds: int = 0):
     from hrsight.ml import train
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _TRAINED:
-        _TRAINED[key] = train.train_models(emp(spark, sf), ROLES, settings=train.DEFAULT, cv_folds=5,
-                                           parallelism=5)
-    return _TRAINED[key]
+    folds, result = _TRAINED.get(key, (None, None))
+    if folds is None or folds < cv_folds:
+        for _, old in _TRAINED.values():
+            old.release()
+        _TRAINED.clear()
+        result = train.train_models(emp(spark, sf), ROLES, settings=train.DEFAULT, cv_folds=cv_folds)
+        _TRAINED[key] = cv_folds, result
+    return result
 
 
-def _ml(fn):
+def _ml(fn, cv_folds: int = 0):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return fn(spark, sf, trained(spark, sf))
+        return fn(spark, sf, trained(spark, sf, cv_folds))
     return run
 
 
@@ -440,7 +462,7 @@ def _split_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("ml_split_counts")(_split_counts)
-register("ml_metrics")(_ml(lambda spark, sf, r: r.results))
+register("ml_metrics")(_ml(lambda spark, sf, r: r.results, cv_folds=5))
 register("ml_feature_importance")(_ml(lambda spark, sf, r: __import__(
     "hrsight.ml.train", fromlist=["x"]).feature_importance(r, top=15)))
 register("ml_model_comparison")(_ml(lambda spark, sf, r: __import__(

@@ -81,10 +81,15 @@ def test_salary_stats_exact(data):
     assert r["std"] == round(inc.std(), 0)
 
 
-def test_salary_stats_by_group_uses_sketch(data):
+def test_salary_stats_by_group_exact(data):
     pdf, df = data
     rows = describe.salary_stats(df, by="Gender").collect()
     assert {r["Gender"] for r in rows} == set(pdf["Gender"])
+    for r in rows:
+        inc = pd.to_numeric(pdf["MonthlyIncome"])[pdf["Gender"] == r["Gender"]].dropna()
+        assert (r["median"], r["q25"], r["q75"]) == tuple(round(inc.quantile(p), 0) for p in (0.5, 0.25, 0.75))
+    both = describe.salary_stats(df, by=["Gender", "Department"]).collect()
+    assert len(both) == len(pdf.groupby(["Gender", "Department"], dropna=False))
 
 
 def test_pay_by_group_grouping_sets(data):

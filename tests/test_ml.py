@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import hr_frame, to_spark
 from hrsight.ml import evaluate, score, train
 from hrsight.ml.prep import (FeatureSpec, candidate_features, category_codes, fit_preparation, labelled, row_key,
                              split)
@@ -172,3 +173,25 @@ def test_top_risk_orders_by_the_unrounded_probability(spark):
     rows = [("a", 91.2, 0.91161), ("b", 91.2, 0.91244), ("c", 90.0, 0.9)]
     got = score.top_risk(spark.createDataFrame(rows, "employee_id string, risk_score double, probability double"), 1).collect()
     assert got[0].employee_id == "b"
+
+
+def test_folds_do_not_change_the_models(spark):
+    """Same models, metrics and best model with and without cross-validation; only its figures are added."""
+    df = to_spark(spark, hr_frame(400, seed=21))
+    settings = {"Logistic Regression": {"maxIter": 50}, "Decision Tree": {"maxDepth": 4},
+                "Gradient Boosting": {"maxIter": 4, "maxDepth": 3}}
+    one = train.train_models(df, settings=settings, cv_folds=0)
+    two = train.train_models(df, settings=settings, cv_folds=3)
+    assert one.best == two.best
+    for a, b in zip(one.results.orderBy("model").collect(), two.results.orderBy("model").collect()):
+        assert [a[c] for c in ("model", "accuracy", "f1_score", "roc_auc", "confusion_matrix", "error")] == [
+            b[c] for c in ("model", "accuracy", "f1_score", "roc_auc", "confusion_matrix", "error")]
+        assert a.cv_mean is None and 0 <= b.cv_mean <= 1 and b.cv_std >= 0
+    assert one.models["Decision Tree"].toDebugString.split("\n")[1:] == two.models["Decision Tree"].toDebugString.split("\n")[1:]
+
+
+def test_failing_candidate_is_recorded(spark):
+    df = to_spark(spark, hr_frame(200, seed=4))
+    got = train.train_models(df, settings={"Decision Tree": {"maxDepth": 3}, "Random Forest": {"maxDepth": -1}}, cv_folds=2)
+    errors = {r.model: r.error for r in got.results.collect()}
+    assert errors["Decision Tree"] is None and errors["Random Forest"] and got.best == "Decision Tree"
