@@ -78,35 +78,84 @@ def categorical_profile(df: DataFrame, columns: list[str] | None = None, top: in
             .orderBy("column", "rank"))
 
 
+#: Columns of a block of the Gram matrix, rows multiplied at a time.
+BLOCK, CHUNK = 64, 8192
+
+
+def _gram(k: int):
+    """Arrow batches of k columns -> (i, j, n, px, py, mx, my, cxy, cxx, cyy) of a task, for i <= j: over the rows where
+    both columns have a value, their number, means less the pivots p, and sums of products and squares of deviations.
+
+    With x 0 where it is missing and m the mask of values, products of matrices give plain sums; values are taken
+    relative to the first one that the task sees in their column, so the sums don't cancel."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = ["i", "j", "n", "px", "py", "mx", "my", "cxy", "cxx", "cyy"]
+    blocks = [(b, min(k, b + BLOCK)) for b in range(0, k, BLOCK)]
+
+    def run(batches):
+        n, sx, sxy, sxx = (np.zeros((k, k)) for _ in range(4))  # sx, sxx: of x_i and its square where j has a value
+        pivot = np.full(k, np.nan)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1).astype(np.float64)
+                mask = ~np.isnan(x)
+                new = np.isnan(pivot) & mask.any(axis=0)
+                pivot[new] = x[mask.argmax(axis=0)[new], new]
+                x = np.where(mask, x - pivot, 0.0)
+                m, sq = mask.astype(np.float64), x * x
+                for p, q in blocks:
+                    for r, t in blocks:
+                        n[p:q, r:t] += m[:, p:q].T @ m[:, r:t]
+                        sx[p:q, r:t] += x[:, p:q].T @ m[:, r:t]
+                        sxx[p:q, r:t] += sq[:, p:q].T @ m[:, r:t]
+                        if p <= r:
+                            sxy[p:q, r:t] += x[:, p:q].T @ x[:, r:t]
+        i, j = np.triu_indices(k)
+        i, j = i[n[i, j] > 0], j[n[i, j] > 0]
+        m, x, y, xx, yy = n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i]
+        dxx, dyy = xx - x * x / m, yy - y * y / m
+        values = [i, j, m, pivot[i], pivot[j], x / m, y / m, sxy[i, j] - x * y / m,
+                  np.where(dxx > xx * 1e-13, dxx, 0.0), np.where(dyy > yy * 1e-13, dyy, 0.0)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=names)
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair of numeric columns on the rows where
     both are present, as long rows (x, y, r); r is NULL for a constant
-    column.
-
-    Each row is expanded into one (pair, a, b) record per column pair with
-    both values present, then one ``groupBy(pair)`` computes the
-    co-moments (``covar_pop``/``stddev_pop``, numerically stable and
-    mergeable). Partial aggregation leaves k(k+1)/2 rows per map task, so the
-    expansion never reaches the shuffle. The division is guarded, so a zero
-    variance gives NULL instead of an error under ANSI mode."""
+    column. NaN counts as missing.
+
+    Every task multiplies blocks of columns (a Gram matrix with the masks of
+    missing values) and passes on one row of co-moments for each pair; these rows
+    are the only shuffle. They are merged about the pair's common mean, which
+    is stable however far from zero a column lies. The division is guarded, so a
+    zero variance gives NULL instead of an error under ANSI mode."""
     cols = columns or numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "x string, y string, r double")
-    src = df.select(*[F.col(f"`{c}`").cast("double").alias(f"_c{i}") for i, c in enumerate(cols)])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    # One SQL expression (parsed once by the JVM) instead of ~10 Column
-    # objects per pair built over py4j.
-    recs = ", ".join(f"CASE WHEN _c{i} IS NOT NULL AND _c{j} IS NOT NULL THEN "
-                     f"named_struct('i', {i}, 'j', {j}, 'a', _c{i}, 'b', _c{j}) END" for i, j in pairs)
-    moments = (src.selectExpr(f"explode(filter(array({recs}), s -> s IS NOT NULL)) AS s")
-               .groupBy(F.col("s.i").alias("i"), F.col("s.j").alias("j"))
-               .agg(F.try_divide(F.covar_pop("s.a", "s.b"),
-                                 F.stddev_pop("s.a") * F.stddev_pop("s.b")).alias("r")))
+    src = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)])
+    parts = src.mapInArrow(_gram(len(cols)), "i bigint, j bigint, n double, px double, py double, mx double, "
+                           "my double, cxy double, cxx double, cyy double")
+    pair = Window.partitionBy("i", "j")
+    for v in ("x", "y"):  # means, less a pivot common to all tasks; then their distance from the mean of all rows
+        parts = parts.withColumn(f"m{v}", F.col(f"p{v}") - F.min(f"p{v}").over(pair) + F.col(f"m{v}"))
+        parts = parts.withColumn(f"d{v}", F.col(f"m{v}") - F.sum(F.col("n") * F.col(f"m{v}")).over(pair) / F.sum("n").over(pair))
+
+    def merged(moment: str, a: str, b: str):
+        return F.sum(F.col(moment) + F.col("n") * F.col(a) * F.col(b))
+
+    moments = parts.groupBy("i", "j").agg(F.try_divide(
+        merged("cxy", "dx", "dy"), F.sqrt(merged("cxx", "dx", "dx")) * F.sqrt(merged("cyy", "dy", "dy"))).alias("r"))
+    every = df.sparkSession.range(len(cols)).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(len(cols) - 1))).alias("j"))
     names = F.array(*[F.lit(c) for c in cols])
     fwd = F.struct(F.col("i").alias("p"), F.col("j").alias("q"))
     rev = F.struct(F.col("j").alias("p"), F.col("i").alias("q"))
     both = F.explode(F.when(F.col("i") == F.col("j"), F.array(fwd)).otherwise(F.array(fwd, rev)))
-    return (moments.select(both.alias("o"), "r")
-            .select(F.element_at(names, F.col("o.p") + 1).alias("x"),
-                    F.element_at(names, F.col("o.q") + 1).alias("y"),
-                    rnd(F.col("r"), digits).alias("r")))
+    bounded = F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    return (every.join(moments, ["i", "j"], "left").select(both.alias("o"), bounded.alias("r"))
+            .select(F.element_at(names, F.col("o.p").cast("int") + 1).alias("x"),
+                    F.element_at(names, F.col("o.q").cast("int") + 1).alias("y"), rnd(F.col("r"), digits).alias("r")))

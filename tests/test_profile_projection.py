@@ -104,3 +104,30 @@ def test_latest_per_user(spark):
     assert len(got) == 6 and {r["id"] for r in got} == {"e7", "e6", "e5"}
     hist = activity.history(log, user_id=1, limit=2).collect()
     assert [r["id"] for r in hist] == ["e7", "e6"] and {r["user_id"] for r in hist} == {1}
+
+
+def test_correlation_far_from_zero_missing_and_wide(spark):
+    """Values around 1e9, NULL and NaN in different rows, constants, more columns than a block; against pandas."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    n, k = 400, profile.BLOCK + 6
+    base = rng.normal(0, 1, (n, k)) + rng.normal(0, 1, (n, 1))
+    base[:, 0] = base[:, 0] * 1e-3 + 1e9
+    base[:, 1] = 7.3
+    base[rng.random((n, k)) < 0.2] = np.nan
+    rows = [tuple(None if np.isnan(v) and (i + j) % 2 else float(v) for j, v in enumerate(r)) for i, r in enumerate(base)]
+    names = [f"c {j}" for j in range(k)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names)).repartition(7)
+    got = {(r.x, r.y): r.r for r in profile.correlation_matrix(df).collect()}
+    base[:, 0] -= 1e9  # exact, and pandas loses digits far from zero
+    want = pd.DataFrame(base, columns=names).corr()
+    assert len(got) == k * k
+    for a in names:
+        for b in names:
+            w = want.loc[a, b]
+            if "c 1" in (a, b):
+                assert got[a, b] is None
+            else:
+                assert got[a, b] == pytest.approx(w, abs=3e-6)
+    assert all(r.r is None for r in profile.correlation_matrix(df.limit(0)).collect())
