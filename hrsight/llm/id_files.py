@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrsight.llm.encode import encoder
-from hrsight.llm.tasks import _arrow_schema, drop, map_arrow, new_folder, saved, ship
+from hrsight.llm.tasks import _arrow_schema, _array, drop, new_folder, pieces, saved, ship
 
 BLOCK, STEP = 1 << 15, 1 << 9
 
@@ -148,30 +148,38 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
 
-    def tokenise(batch, texts):
+    made = f"id {id_type}, width int, ids binary, counts binary"
+    schema = _arrow_schema(spark, made)
+
+    def tokenise(batches):
+        """A row for each text; at the end one with the counts of all ids of the task."""
         tok = encoder(tokenizer, "ids")
+        width = tok.width.itemsize
         end = np.array([end_id], dtype=tok.width).tobytes()
-        yield {"id": batch.column(0), "width": [tok.width.itemsize] * len(texts), "ids": [x + end for x in tok.encode(texts)]}
+        seen = np.zeros(0, dtype=np.int64)
 
-    table = saved(map_arrow(src, "text", tokenise, f"id {id_type}, width int, ids binary"), "ids", compression="zstd")
+        def rows(ids, width, raw, counts):
+            return pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip((ids, width, raw, counts), schema)], schema=schema)
 
-    def count(batches):
-        seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            width = batch.column(0)
-            if batch.num_rows:
-                got = np.bincount(np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=f"<u{width[0].as_py()}"))
-                if len(got) > len(seen):
-                    got[: len(seen)] += seen
-                    seen = got
-                else:
-                    seen[: len(got)] += got
+            for part, texts in pieces(batch, "text"):
+                got = [x + end for x in tok.encode(texts)]
+                n = np.bincount(np.frombuffer(b"".join(got), dtype=tok.width), minlength=len(seen))
+                n[: len(seen)] += seen
+                seen = n
+                yield rows(part.column(0), [width] * len(got), got, [None] * len(got))
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], names=["sym", "n"])
+        yield rows([None], [None], [None], [np.stack([some, seen[some]]).astype("<i8").tobytes()])
+
+    def unpack(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.frombuffer(raw, "<i8").reshape(2, -1))), names=["sym", "n"])
 
     ship(spark)
-    rows = (table.select("width", "ids").mapInArrow(count, "sym bigint, n bigint")
-            .groupBy("sym").agg(F.sum("n").alias("n")).collect())
+    table = saved(src.mapInArrow(tokenise, made), "ids", compression="zstd")
+    rows = (table.where("counts IS NOT NULL").select("counts").mapInArrow(unpack, "sym bigint, n bigint")
+            .groupBy("sym").agg(F.sum("n").alias("n")).collect())  # one row for each id of the vocabulary at most
     counts = np.zeros(max((r.sym for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
         counts[r.sym] = r.n
@@ -211,13 +219,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
             yield block()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(code, ddl) \
+    table.where("width IS NOT NULL").select("id", "width", "ids").repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(code, ddl) \
         .write.option("compression", "none").parquet(f"{path}/blocks")
     drop(table)
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """Per document, decoded from the files: id, start (ids before it), n_tokens, ids (little-endian u32 bytes), ids_crc32."""
+def read_ids(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document, decoded from the files: id, start (ids before it), n_tokens, ids_crc32, ids (little-endian u32 bytes).
+
+    Without `with_ids` the decoded ids end in their checksum and aren't handed on."""
     head = spark.read.parquet(f"{path}/code").first()
     table = spark.sparkContext.broadcast((head.max_bits, np.frombuffer(bytes(head.lengths), dtype=np.uint8)))
     blocks = spark.read.parquet(f"{path}/blocks")
@@ -244,7 +254,7 @@ def read_ids(spark, path: str) -> DataFrame:
                     within = got["before"][b]
                     for key, n in zip(got["ids"][b], got["sizes"][b]):
                         raw = flat[at:at + n].astype("<u4").tobytes()
-                        rows.append((key, got["part"][b], within, n, zlib.crc32(raw), raw))
+                        rows.append((key, got["part"][b], within, n, zlib.crc32(raw), raw if with_ids else None))
                         at, within = at + n, within + n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 begin = end
@@ -254,7 +264,7 @@ def read_ids(spark, path: str) -> DataFrame:
     offsets = per_part.selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS base")
     docs = blocks.select("part", "before", "n_ids", "ids", "sizes", "checkpoints", "bits").mapInArrow(read, ddl)
     return docs.join(F.broadcast(offsets), "part").select(
-        "id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids")
+        "id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def op4(spark, sf_dir):
@@ -263,4 +273,4 @@ def op4(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = new_folder(spark, "id-files")
     write_ids(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_ids(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return read_ids(spark, path, with_ids=False).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
