@@ -7,8 +7,8 @@ shorter counts follow by flow: a sequence occurs as often as the edges that leav
 it plus the ends on it, so f of 3, 2 and 1 words are sums by prefix.
 
 1. A pass counts words and neighbouring pairs in 2**`SIEVE_BITS` buckets, a
-   second one the triples whose pairs are in; the bit tables of the buckets with
-   `least` occurrences or more are broadcast (their size is fixed). What isn't in
+   second one the 3- and 4-grams whose pairs are in; the bit tables of the buckets
+   with `least` occurrences or more are broadcast (their size is fixed). What isn't in
    them can't be part of a candidate, so the graph ends there as it does at the
    end of a piece: exact, the tables only leave out counts that nothing needs.
 2. A pass emits the longest gram at each word, summed in bounded arrays of the
@@ -127,22 +127,28 @@ def frequent_links(h, piece, table):
     return neighbours(piece, 2) & in_table(table, gram_buckets(h, 2))
 
 
-def frequent_triples(h, linked, table):
-    both = linked[:-1] & linked[1:]
-    at = np.flatnonzero(both)
-    if len(at):
-        three = np.stack([h[at], h[at + 1], h[at + 2]])
-        with np.errstate(over="ignore"):
-            key = mix64(mix64((three[0] + U64(3)) * U64(0xD6E8FEB86659FD93) + three[1]) * U64(0xD6E8FEB86659FD93) + three[2])
-        both[at] = in_table(table, bucket_of(key)) if table is not None else True
-    return both
+def frequent_grams(h, linked, size, table=None):
+    """Whether the `size` words from each word on are linked and, given a table, in it; and their buckets where linked."""
+    n = max(0, len(h) - size + 1)
+    on = np.ones(n, dtype=bool)
+    for j in range(size - 1):
+        on &= linked[j:j + n]
+    at = np.flatnonzero(on)
+    key = h[at] + U64(size)
+    with np.errstate(over="ignore"):
+        for j in range(1, size):
+            key = mix64(key * U64(0xD6E8FEB86659FD93) + h[at + j])
+    bucket = bucket_of(key)
+    if table is not None:
+        on[at] = in_table(table, bucket)
+    return on, bucket
 
 
-def longest_grams(h, linked, triples):
+def longest_grams(h, linked, triples, quads):
     """Four columns: at each word the longest gram that the tables leave, 0 where it ends sooner."""
     out = np.zeros((4, len(h)), dtype=U64)
     out[0] = h
-    for j, on in ((1, linked), (2, triples), (3, triples[:-1] & triples[1:])):
+    for j, on in ((1, linked), (2, triples), (3, quads & triples[:-1] & triples[1:])):
         n = len(h) - j
         if n > 0:
             out[j, :n] = np.where(on, h[j:], U64(0))
@@ -179,8 +185,15 @@ class Sums:
         self.size = len(at)
         return self.size
 
-    def taken(self):
+    def taken(self, rare=False):
+        """All sums, or the smaller half of them: what a task meets often stays and is passed on once."""
         self.merge()
+        if rare and self.size > 1:
+            keys, n = self.keys[0], self.n[0]
+            order = np.argpartition(n, len(n) // 2)
+            low, high = order[:len(n) // 2], np.sort(order[len(n) // 2:])
+            self.keys, self.n, self.size = [keys[:, high]], [n[high]], len(high)
+            return keys[:, low], n[low]
         out = (self.keys[0], self.n[0]) if self.keys else (np.zeros((self.width, 0), self.kind), np.zeros(0, np.int64))
         self.keys, self.n, self.size = [], [], 0
         return out
@@ -198,7 +211,7 @@ def _parts(batches):
 # ---- sieve ----
 
 def sieve(src: DataFrame, least: int, seed: int, pairs: np.ndarray | None = None) -> np.ndarray:
-    """Bits of the buckets with `least` occurrences or more: of words and pairs, or, given their table, of triples."""
+    """Bits of the buckets with `least` occurrences or more: of words and pairs, or, given their table, of 3- and 4-grams."""
     names = ["bucket", "n"]
     shared = None if pairs is None else src.sparkSession.sparkContext.broadcast(pairs)
 
@@ -206,7 +219,7 @@ def sieve(src: DataFrame, least: int, seed: int, pairs: np.ndarray | None = None
         if shared is None:
             return np.concatenate((gram_buckets(h, 1), gram_buckets(h, 2)[neighbours(piece, 2)]))
         linked = frequent_links(h, piece, shared.value)
-        return gram_buckets(h, 3)[frequent_triples(h, linked, None)]
+        return np.concatenate([frequent_grams(h, linked, size)[1] for size in (3, 4)])
 
     def count(batches):
         sums = Sums(1, np.int64)
@@ -245,15 +258,15 @@ def sieve(src: DataFrame, least: int, seed: int, pairs: np.ndarray | None = None
 
 # ---- edges ----
 
-def emitted(src: DataFrame, pairs: np.ndarray, triples: np.ndarray, seed: int) -> DataFrame:
+def emitted(src: DataFrame, pairs: np.ndarray, longer: np.ndarray, seed: int) -> DataFrame:
     """Rows of grams (c1 to c4, n > 0), of words (c1, lang, word, n = 0) and of totals (lang, n), in a table."""
     ddl = "c1 bigint, c2 bigint, c3 bigint, c4 bigint, n bigint, lang string, word string"
     schema = _arrow_schema(src.sparkSession, ddl)
-    shared = src.sparkSession.sparkContext.broadcast((pairs, triples))
+    shared = src.sparkSession.sparkContext.broadcast((pairs, longer))
     ship(src.sparkSession)
 
     def run(batches):
-        often, often3 = shared.value
+        often, longer = shared.value
         sums, known, totals = Sums(4, U64), set(), {}
 
         def batch_of(**cols):
@@ -261,8 +274,8 @@ def emitted(src: DataFrame, pairs: np.ndarray, triples: np.ndarray, seed: int) -
             return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(m, f.type) for f in schema],
                                               schema=schema)
 
-        def grams():
-            keys, n = sums.taken()
+        def grams(rare=False):
+            keys, n = sums.taken(rare)
             for i in range(0, len(n), 1 << 17):
                 k = keys[:, i:i + (1 << 17)].view(np.int64)
                 yield batch_of(c1=k[0], c2=k[1], c3=k[2], c4=k[3], n=n[i:i + (1 << 17)])
@@ -286,9 +299,10 @@ def emitted(src: DataFrame, pairs: np.ndarray, triples: np.ndarray, seed: int) -
             if fresh:
                 yield batch_of(c1=h[[i for _, i in fresh]].view(np.int64), n=[0] * len(fresh), lang=[langs[owner[i]] for _, i in fresh],
                                word=[lowered(whole[start[i]:stop[i]]).decode("utf-8", "surrogatepass") for _, i in fresh])
-            grown = longest_grams(h, linked, frequent_triples(h, linked, often3))[:, in_table(often, gram_buckets(h, 1))]
+            triples, quads = (frequent_grams(h, linked, size, longer)[0] for size in (3, 4))
+            grown = longest_grams(h, linked, triples, quads)[:, in_table(often, gram_buckets(h, 1))]
             if sums.add(grown, np.ones(grown.shape[1], dtype=np.int64)):
-                yield from grams()
+                yield from grams(rare=True)
         yield from grams()
         yield batch_of(lang=list(totals), n=list(totals.values()))
 
