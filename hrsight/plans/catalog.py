@@ -8,6 +8,8 @@ holds the equivalent SQL text for DuckDB (the employee view is the CTE
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -480,6 +482,39 @@ register("ml_risk_distribution")(_ml(lambda spark, sf, r: __import__(
 register("ml_top_risk")(_ml(lambda spark, sf, r: __import__(
     "hrsight.ml.score", fromlist=["x"]).top_risk(_scores_frame(spark, sf, r), 100)))
 
+# M14, M15, A23 by a compiled model: a boosted ensemble fitted on this view at
+# sf0.01 (10 rounds, depth 3; ml/scorecard.json), run as SQL text on
+# both sides.
+
+@functools.cache
+def scorecard():
+    from hrsight.ml import compiled
+    with open(os.path.join(os.path.dirname(compiled.__file__), "scorecard.json"), encoding="utf-8") as f:
+        return compiled.Scorecard.from_json(f.read())
+
+
+def _compiled_risk(spark: SparkSession, sf: str) -> DataFrame:
+    from hrsight.ml import compiled, score
+    rows = compiled.score(emp(spark, sf), scorecard(), ["EmployeeID"], "p").withColumn("prediction", (F.col("p") > 0.5).cast("double"))
+    return score.risk_columns(rows, F.col("p"), keys=["EmployeeID"])
+
+
+_COMPILED_SQL = f"""
+WITH p AS ({scorecard().sql("emp", ["EmployeeID"], "duckdb", "p")}),
+scored AS (SELECT EmployeeID, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction,
+  CASE WHEN p > 0.5 THEN 'Yes' ELSE 'No' END AS predicted_label,
+  CASE WHEN p >= 0.7 THEN 'High Risk' WHEN p >= 0.4 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_level, p FROM p)
+"""
+register("ml_compiled_scores", with_emp(_COMPILED_SQL + """
+SELECT EmployeeID, prediction, predicted_label, risk_level, round_even(p, 6) AS probability FROM scored
+"""))(lambda spark, sf: _compiled_risk(spark, sf).select(
+    "EmployeeID", "prediction", "predicted_label", "risk_level", F.bround("probability", 6).alias("probability")))
+register("ml_compiled_risk_distribution", with_emp(_COMPILED_SQL + """
+SELECT count(*) AS total, count(*) FILTER (WHERE risk_level = 'Low Risk') AS low_risk_count,
+  count(*) FILTER (WHERE risk_level = 'Medium Risk') AS medium_risk_count,
+  count(*) FILTER (WHERE risk_level = 'High Risk') AS high_risk_count FROM scored
+"""))(lambda spark, sf: __import__("hrsight.ml.score", fromlist=["x"]).risk_distribution(_compiled_risk(spark, sf)))
+
 # Metric formulas (M10) on a fixed rule score, checked against SQL.
 _FIXED_SCORE_SQL = (f"round_even((CASE WHEN {OT_YES} THEN 40 ELSE 0 END"
                     " + CASE WHEN coalesce(JobSatisfaction <= 2, false) THEN 35 ELSE 0 END"

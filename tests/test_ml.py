@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import hr_frame, to_spark
-from hrsight.ml import evaluate, score, train
+from hrsight.ml import compiled, evaluate, score, train
 from hrsight.ml.prep import (FeatureSpec, candidate_features, category_codes, fit_preparation, labelled, row_key,
                              split)
 from hrsight.roles import Roles
@@ -195,3 +195,31 @@ def test_failing_candidate_is_recorded(spark):
     got = train.train_models(df, settings={"Decision Tree": {"maxDepth": 3}, "Random Forest": {"maxDepth": -1}}, cv_folds=2)
     errors = {r.model: r.error for r in got.results.collect()}
     assert errors["Decision Tree"] is None and errors["Random Forest"] and got.best == "Decision Tree"
+
+
+@pytest.fixture(scope="module")
+def four_models(spark):
+    df = to_spark(spark, hr_frame(500, seed=33)).withColumn("JobRole", F.when(F.col("JobRole") == "Analyst", "O'Neil \\ \"x\"").otherwise(F.col("JobRole")))
+    settings = {"Logistic Regression": {"maxIter": 30}, "Decision Tree": {"maxDepth": 5},
+                "Random Forest": {"numTrees": 5, "maxDepth": 4}, "Gradient Boosting": {"maxIter": 5, "maxDepth": 3}}
+    return df, train.train_models(df, settings=settings, cv_folds=0)
+
+
+@pytest.mark.parametrize("name", ["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting"])
+def test_compiled_model_equals_transform(spark, four_models, name):
+    """SQL text in Spark and in DuckDB against the pipeline, unseen texts, NULLs and missing columns included."""
+    import duckdb
+
+    df, res = four_models
+    new = df.withColumn("JobRole", F.when(F.col("EmployeeID") > "E0400", "never seen").otherwise(F.col("JobRole"))) \
+        .withColumn("Age", F.when(F.col("EmployeeID") > "E0300", F.col("Age"))).drop("EnvironmentSatisfaction")
+    card = compiled.Scorecard.from_json(compiled.compile_model(res, name).to_json())
+    want = {r.employee_id: r.probability for r in score.predict_with(res, new, name=name).collect()}
+    got = {r.EmployeeID: r.probability for r in compiled.score(new, card, ["EmployeeID"]).collect()}
+    assert got.keys() == want.keys() and len(set(want.values())) > 3
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+    pdf = new.withColumn("EnvironmentSatisfaction", F.lit(None).cast("int")).toPandas()
+    con = duckdb.connect()
+    con.register("rows", pdf)
+    other = {r[0]: r[1] for r in con.execute(card.sql("rows", ["EmployeeID"], "duckdb")).fetchall()}
+    assert other.keys() == want.keys() and max(abs(other[k] - want[k]) for k in want) < 1e-9
