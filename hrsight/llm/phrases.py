@@ -42,7 +42,7 @@ from hrsight.llm.textnp import _BASE, _INV, _LOWER, U64, mix64, powers
 
 SIEVE_BITS, BLOCK_BITS = 26, 15
 #: Rows that a task holds before it passes them on; bytes laid out at a time; bytes of a word that is hashed by itself.
-HELD, STRETCH, LONG_WORD = 1 << 19, 1 << 20, 1 << 16
+HELD, STRETCH, LONG_WORD = 400_000, 1 << 20, 1 << 16
 KEY = ["c1", "c2", "c3", "c4"]
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -166,7 +166,7 @@ class Sums:
         self.keys.append(keys)
         self.n.append(n)
         self.size += len(n)
-        return self.size > HELD * 3 // 2 and self.merge() > HELD
+        return self.size > HELD * 5 // 4 and self.merge() > HELD
 
     def merge(self):
         if not self.keys:
