@@ -21,9 +21,9 @@ A line is removed if an equal line, or a line within the bound, first occurs
 earlier: in a document with a smaller id, or further up in the same document.
 Decisions are taken on the input, not on what is left.
 
-Defined results: lines end at \\n; a line of fewer than `min_words` words (five:
-one word of five is the similarity of 0.8) is never compared and always stays;
-null and empty texts have no line to remove; rows with a null id are neither
+Defined results: lines end at \\n; equal lines (the same words) are found at any
+length, near ones only among lines of at least `min_words` words (five: one word
+of five is the similarity of 0.8); a line without words always stays; null and empty texts have no line to remove; rows with a null id are neither
 compared nor changed; rows that repeat an id and a text are one document, other
 texts of the same id come one after the other in the order of their xxhash64.
 """
@@ -59,13 +59,13 @@ def _part(run, first, last, size):
 
 
 def _line_rows(docs, min_words):
-    """One row for each compared line: its fingerprint, its place, and the keys of its halves."""
+    """One row for each line with words: its fingerprint, its place, and the keys of its halves (none for a short line)."""
 
     def split(batch, texts):
         rows = _lines(texts)
         h, first, _, _ = words_of([r[2] for r in rows])
         n = np.diff(first)
-        keep = np.flatnonzero(n >= min_words)
+        keep = np.flatnonzero(n)
         f, n = first[keep], n[keep]
         run = _sequence(h)
         half = n // 2
@@ -78,7 +78,7 @@ def _line_rows(docs, min_words):
         ids, copies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         yield {"hash": _part(run, f, f + n, n).view(np.int64), "id": [ids[rows[k][0]] for k in keep],
                "copy": [copies[rows[k][0]] for k in keep], "line": [rows[k][1] for k in keep],
-               "halves": [k if m % 2 == 0 else k[:2] for k, m in zip(keys, n.tolist())]}
+               "halves": [[] if m < min_words else k if m % 2 == 0 else k[:2] for k, m in zip(keys, n.tolist())]}
 
     id_type = docs.schema["id"].dataType.simpleString()
     return map_arrow(docs, "text", split, f"hash bigint, id {id_type}, copy bigint, line int, halves array<bigint>")
@@ -103,7 +103,7 @@ def _variants(batch, texts):
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
-    """(id, copy, lines): the numbers of the compared lines that stay; `copy` is xxhash64 of the text."""
+    """(id, copy, lines): the numbers of the lines with words that stay; `copy` is xxhash64 of the text."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("copy"),
                       F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text != ''")
     rows = saved(_line_rows(src, min_words), "line_rows")
@@ -181,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             drop_ = []
             if key is not None and t:
                 parts, s = t.split("\n"), set(s or ())
-                drop_ = [j for j, x in enumerate(parts) if j not in s and sum(1 for w in split_words(x) if w) >= min_words]
+                drop_ = [j for j, x in enumerate(parts) if j not in s and any(split_words(x))]
             if drop_:
                 out = set(drop_)
                 t = "\n".join(x for j, x in enumerate(parts) if j not in out)

@@ -19,14 +19,15 @@ def near(x, y):
 
 
 def brute(rows, min_words=5):
-    lines = sorted((d, j, tuple(WORD.findall(x))) for d, t in rows if t for j, x in enumerate(t.split("\n")) if len(WORD.findall(x)) >= min_words)
+    lines = sorted((d, j, tuple(WORD.findall(x))) for d, t in rows if t for j, x in enumerate(t.split("\n")) if WORD.search(x))
     first = {}
     for d, j, w in lines:
         first.setdefault(w, (d, j))
     by_len = {}
     for w in first:
-        by_len.setdefault(len(w), []).append(w)
-    gone = {w for w in first for n in (len(w) - 1, len(w), len(w) + 1) for y in by_len.get(n, ())
+        if len(w) >= min_words:
+            by_len.setdefault(len(w), []).append(w)
+    gone = {w for w in first if len(w) >= min_words for n in (len(w) - 1, len(w), len(w) + 1) for y in by_len.get(n, ())
             if first[y] < first[w] and near(w, y)}
     out = {}
     for d, j, w in lines:
@@ -91,6 +92,15 @@ def test_whole_table(spark):
     assert all(r.n_removed == len(want[d]) for d, r in got.items())
 
 
+def test_equal_short_lines(spark):
+    """Lines of one to four words, and long ones without a blank: copies go, near ones stay."""
+    url = "https://example.org/" + "a" * 300
+    rows = [(1, f"Share\n{url}\nAll rights reserved"), (2, f"share\n{url}\nAll  rights\treserved\n-"), (3, f"Share\nAll rights kept\n{url}x\n-"),
+            (4, "Share"), (5, "-\nown")]
+    got = {r.doc_id: r.lines_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == brute(rows) == {1: [], 2: [1, 2], 3: [0, 3], 4: [0], 5: [0]}
+
+
 def test_nulls_repeats_and_empty(spark):
     line = "one two three four five"
     rows = [(None, line), (2, line), (2, line), (3, line + " six"), (4, "x " + line + " y")]
