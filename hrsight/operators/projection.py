@@ -12,19 +12,19 @@ Hiring always replaces departures plus a constant, so size_m is
 n0 + m * floor(n0 * 0.02 / 12) in closed form: the whole table is one
 ``explode(sequence(1, periods))`` over the per-group stats row, all groups
 in parallel, no recursion. The noise is off by default; with
-``noise_sd > 0`` it is a normal draw per (group, month) made from two
-hash-derived uniforms (Box-Muller), so reruns and recomputed partitions
-give the same numbers.
+``noise_sd > 0`` it is a normal draw per (seed, group, month) from
+``functions/draws.py``, so reruns, recomputed partitions and another SQL
+engine give the same numbers.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hrsight.functions import draws
 from hrsight.functions.exprs import col, group_cols, label_flag, rate, rnd
 from hrsight.roles import Roles
 
@@ -34,9 +34,16 @@ RATE_FLOOR, RATE_MIN, RATE_MAX = 5.0, 0.0, 50.0
 GROWTH = 0.02
 
 
-def _uniform(*parts) -> F.Column:
-    h = F.xxhash64(*parts)
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+#: Stream of the noise draws; months are part of their key.
+NOISE_STREAM = 0
+
+
+def noise_key(keys: Iterable[str]) -> str:
+    """SQL text (both dialects) of a noise draw's key: the month and the group's values; each is led by its length, and
+    groups with a NULL don't occur."""
+    names = ["`" + k.replace("`", "``") + "`" for k in keys]
+    parts = [f"CAST(length(CAST({k} AS STRING)) AS STRING), ':', CAST({k} AS STRING)" for k in names]
+    return f"concat(CAST(month AS STRING), ':', {', '.join(parts) or repr('')})"
 
 
 def projection(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None,
@@ -44,24 +51,25 @@ def projection(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str
     roles = Roles.of(roles)
     keys = group_cols(by)
     flag = label_flag(df, roles)
-    base = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)) if keys else df
+    base = df
+    for k in keys:
+        base = base.where(col(k).isNotNull())
     agg = [F.count(F.lit(1)).alias("n0"), rate(flag).alias("r0")]
-    stats = base.groupBy(*[col(k) for k in keys]).agg(*agg) if keys else base.agg(*agg)
+    named = [col(k) for k in keys]
+    stats = base.groupBy(*named).agg(*agg) if keys else base.agg(*agg)
     m = F.col("month")
-    raw = F.col("r0") * F.pow(F.lit(MONTHLY_DECAY), m.cast("double"))
+    raw, u = F.col("r0") * F.pow(F.lit(MONTHLY_DECAY), m.cast("double")), "NULL"
     if noise_sd > 0:
-        key = [col(k).cast("string") for k in keys] or [F.lit("")]
-        u1 = _uniform(F.lit(seed), m, F.lit(1), *key)
-        u2 = _uniform(F.lit(seed), m, F.lit(2), *key)
-        raw = raw + F.lit(noise_sd) * F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
+        u = draws.uniform(noise_key(keys), NOISE_STREAM, seed)
+        raw = raw + F.expr(draws.normal("_u", 0.0, noise_sd))
     r = F.least(F.greatest(F.greatest(F.lit(RATE_FLOOR), raw), F.lit(RATE_MIN)), F.lit(RATE_MAX))
     step = F.floor(F.col("n0") * GROWTH / 12.0).cast("long")
     prev = F.col("n0") + (m - 1) * F.col("_step")
     departures = F.floor(prev * F.col("_r") / 100.0 / 12.0).cast("long")
-    return (stats.select(*keys, "n0", "r0", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("month"))
-            .withColumn("_step", step).withColumn("_r", r)
+    return (stats.select(*named, "n0", "r0", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("month"))
+            .withColumn("_u", F.expr(u)).withColumn("_step", step).withColumn("_r", r)
             .withColumn("projected_departures", departures)
-            .select(*keys, "month",
+            .select(*named, "month",
                     rnd(F.col("_r"), 2).alias("projected_attrition_rate"),
                     "projected_departures",
                     (F.col("n0") + m * F.col("_step")).alias("projected_size"),

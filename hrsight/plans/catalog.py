@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from hrsight.functions import draws
 from hrsight.operators import activity, describe, findings, lookup, profile, projection, scores
 from hrsight.roles import Roles
+from hrsight.sources import synthetic
 from hrsight.sources.fixture import employee_view, table, with_emp
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -357,16 +359,19 @@ SELECT "column", unique_count, rank, value, n FROM ranked JOIN uniq USING ("colu
 
 # ---- W1 ------------------------------------------------------------------
 
-def _projection_sql(keys: list[str], periods: int = 12) -> str:
+def _projection_sql(keys: list[str], periods: int = 12, noise_sd: float = 0.0, seed: int = 42) -> str:
+    noise = "" if not noise_sd else " + " + draws.normal("u", 0.0, noise_sd)
+    u = draws.uniform(projection.noise_key(keys).replace("`", ""), projection.NOISE_STREAM, seed, draws.DUCKDB)
     sel = "".join(f"{k}, " for k in keys)
     grp = f"GROUP BY {', '.join(keys)}" if keys else ""
     where = " AND ".join(f"{k} IS NOT NULL" for k in keys) or "true"
     return with_emp(f"""
 WITH s AS (SELECT {sel}count(*) AS n0, {rate_sql()} AS r0 FROM emp WHERE {where} {grp}),
-m AS (SELECT {sel}n0, r0, CAST(month AS INTEGER) AS month,
+t AS (SELECT {sel}n0, r0, month, {u} AS u FROM s, (SELECT CAST(month AS INTEGER) AS month FROM range(1, {periods + 1}) t(month))),
+m AS (SELECT {sel}n0, r0, month,
         CAST(floor(n0 * 0.02 / 12.0) AS BIGINT) AS step,
-        least(greatest(greatest(5.0, r0 * pow(0.98, CAST(month AS DOUBLE))), 0.0), 50.0) AS r
-      FROM s, range(1, {periods + 1}) t(month)),
+        least(greatest(greatest(5.0, r0 * pow(0.98, CAST(month AS DOUBLE)){noise}), 0.0), 50.0) AS r
+      FROM t),
 d AS (SELECT *, CAST(floor((n0 + (month - 1) * step) * r / 100.0 / 12.0) AS BIGINT) AS dep FROM m)
 SELECT {sel}month, round_even(r, 2) AS projected_attrition_rate, dep AS projected_departures,
   n0 + month * step AS projected_size, dep + step AS hiring_needed
@@ -378,6 +383,10 @@ register("projection", _projection_sql([]))(
     lambda spark, sf: projection.projection(emp(spark, sf), ROLES))
 register("projection_by_department", _projection_sql(["Department"]))(
     lambda spark, sf: projection.projection(emp(spark, sf), ROLES, by="Department"))
+register("projection_noise", _projection_sql([], 60, 0.5))(
+    lambda spark, sf: projection.projection(emp(spark, sf), ROLES, periods=60, noise_sd=0.5))
+register("projection_noise_by_group", _projection_sql(["Department", "JobRole"], 24, 2.5, 7))(
+    lambda spark, sf: projection.projection(emp(spark, sf), ROLES, ["Department", "JobRole"], 24, 2.5, 7))
 
 
 # ---- P13 - P15 -----------------------------------------------------------
@@ -557,12 +566,20 @@ FROM r, a
 # ---- S5 / S6: synthetic rows keyed by the order keys -----------------------
 
 def _synthetic(spark: SparkSession, sf: str) -> DataFrame:
-    from hrsight.sources import synthetic
     ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return synthetic.refine_labels(synthetic.generate(ids))
 
 
-register("synthetic_rows")(_synthetic)
+register("synthetic_rows", f"""
+WITH g AS ({synthetic.generate_sql("SELECT o_orderkey AS _id FROM orders")}),
+q AS (SELECT quantile_cont(MonthlyIncome, 0.25) AS q25 FROM g),
+r AS (SELECT g.*, {draws.uniform("CAST(_id AS STRING)", synthetic.FLIP_STREAM, 42, draws.DUCKDB)} AS u,
+  CASE WHEN JobSatisfaction <= 2 THEN 30 ELSE 0 END + CASE WHEN OverTime = 'Yes' THEN 20 ELSE 0 END
+  + CASE WHEN YearsSinceLastPromotion > 5 THEN 15 ELSE 0 END + CASE WHEN MonthlyIncome < q25 THEN 15 ELSE 0 END
+  + CASE WHEN WorkLifeBalance <= 2 THEN 10 ELSE 0 END + CASE WHEN EnvironmentSatisfaction <= 2 THEN 10 ELSE 0 END AS risk FROM g, q)
+SELECT * EXCLUDE (u, risk) REPLACE (CASE WHEN risk > 40 AND Attrition = 'No' AND u < risk / 100.0 THEN 'Yes'
+  WHEN risk < 10 AND Attrition = 'Yes' AND u < 0.5 THEN 'No' ELSE Attrition END AS Attrition) FROM r
+""")(_synthetic)
 
 register("synthetic_label_rule", with_emp("""
 WITH q AS (SELECT quantile_cont(MonthlyIncome, 0.25) AS q25 FROM emp),
@@ -578,7 +595,6 @@ SELECT EmployeeID, risk, risk > 40 AND Attrition = 'No' AS may_flip_to_yes,
 
 def _label_rule(spark: SparkSession, sf: str) -> DataFrame:
     from hrsight.functions.quantiles import exact_quantile
-    from hrsight.sources import synthetic
     e = emp(spark, sf)
     risk = synthetic.risk_hundredths(e, exact_quantile(e, "MonthlyIncome", 0.25))
     return e.select("EmployeeID", risk.alias("risk"), "Attrition").select(

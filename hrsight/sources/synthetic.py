@@ -2,10 +2,11 @@
 
 Rows are generated from a frame of ids (``spark.range(n)`` or any key
 column): every random draw is a hash of (id, column number, seed) scaled to
-(0, 1), so a row's values do not depend on partitioning, reruns or
-recomputed partitions. Distributions follow the reference generator:
-normal, lognormal, exponential (inverse CDF), Poisson (inverse-CDF ladder,
-clipped so it is finite), weighted and uniform choices.
+(0, 1) (``functions/draws.py``), so a row's values do not depend on
+partitioning, reruns or recomputed partitions, and the same rows follow from
+SQL text elsewhere (``generate_sql``). Distributions: normal, lognormal and
+exponential by inverse CDF, Poisson (inverse-CDF ladder, clipped so it is
+finite), weighted and uniform choices.
 
 The label refinement adds a risk score in integer hundredths (the same
 decisions as the float sums, all 64 combinations checked) and flips labels
@@ -15,11 +16,12 @@ quantile, computed once (not per row).
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hrsight.functions import draws as D
 from hrsight.functions.quantiles import exact_quantile
 
 # Category lists and weights of the generator.
@@ -40,88 +42,80 @@ FLIP_UP_ABOVE, FLIP_DOWN_BELOW, FLIP_DOWN_P = 40, 10, 0.5
 ID = "_id"
 
 
-class _Draws:
-    def __init__(self, seed: int):
-        self.seed = seed
-        self.k = 0
-
-    def u(self) -> Column:
-        """Next uniform in (0, 1) for this row."""
-        self.k += 1
-        h = F.xxhash64(F.col(ID), F.lit(self.k), F.lit(self.seed))
-        return (F.pmod(h, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-
-    def normal(self, mean: float, sd: float) -> Column:
-        u1, u2 = self.u(), self.u()
-        return F.lit(mean) + F.lit(sd) * F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
-
-    def exponential(self, scale: float) -> Column:
-        return F.lit(-scale) * F.log(F.lit(1.0) - self.u())
-
-    def randint(self, lo: int, hi: int) -> Column:
-        """Integer in [lo, hi)."""
-        return (F.lit(lo) + F.floor(self.u() * (hi - lo))).cast("int")
-
-    def choice(self, values: list) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.floor(self.u() * len(values)) + 1).cast("int"))
-
-    def weighted(self, pairs: list) -> Column:
-        u = self.u()
-        out, acc = None, 0.0
-        for v, p in pairs[:-1]:
-            acc += p
-            out = F.when(u < acc, F.lit(v)) if out is None else out.when(u < acc, F.lit(v))
-        return out.otherwise(F.lit(pairs[-1][0]))
-
-    def poisson(self, lam: float, cap: int) -> Column:
-        u = self.u()
-        out, cdf, pk = None, 0.0, math.exp(-lam)
-        for k in range(cap):
-            cdf += pk
-            out = F.when(u < cdf, F.lit(k)) if out is None else out.when(u < cdf, F.lit(k))
-            pk *= lam / (k + 1)
-        return out.otherwise(F.lit(cap))
+#: Stream of the flip draw of the refinement, after those of the columns.
+FLIP_STREAM = 64
+
+
+def _columns() -> list[tuple[str, Callable[[str], str]]]:
+    """(column, SQL text of its value from the text of its uniform); column i draws from stream i."""
+    def normal(lo, hi, mean, sd):
+        return lambda u: D.clipped(D.normal(u, mean, sd), lo, hi)
+
+    def exponential(lo, hi, scale):
+        return lambda u: D.clipped(D.exponential(u, scale), lo, hi)
+
+    def integer(lo, hi):
+        return lambda u: D.integer(u, lo, hi)
+
+    def choice(values):
+        return lambda u: D.choice(u, values)
+
+    def weighted(steps):
+        return lambda u: D.ladder(u, steps)
+
+    def poisson(lam, cap):
+        return lambda u: D.poisson(u, lam, cap)
+
+    return [
+        ("Age", normal(18, 65, 35.0, 10.0)),
+        ("Gender", choice(GENDERS)),
+        ("Department", choice(DEPARTMENTS)),
+        ("JobRole", choice(JOB_ROLES)),
+        ("Education", choice(EDUCATION)),
+        ("EducationLevel", integer(1, 5)),
+        ("MonthlyIncome", lambda u: f"CAST(floor(exp({D.normal(u, 8.0, 0.5)})) AS INT)"),
+        ("DailyRate", integer(100, 1500)),
+        ("HourlyRate", integer(15, 100)),
+        ("PercentSalaryHike", integer(0, 25)),
+        ("TotalWorkingYears", exponential(0, 40, 10.0)),
+        ("YearsAtCompany", exponential(0, 40, 5.0)),
+        ("YearsInCurrentRole", exponential(0, 20, 3.0)),
+        ("YearsSinceLastPromotion", exponential(0, 15, 2.0)),
+        ("YearsWithCurrManager", exponential(0, 17, 3.0)),
+        ("JobSatisfaction", integer(1, 5)),
+        ("EnvironmentSatisfaction", integer(1, 5)),
+        ("WorkLifeBalance", integer(1, 5)),
+        ("JobInvolvement", integer(1, 5)),
+        ("PerformanceRating", weighted(RATING_P)),
+        ("OverTime", weighted(OVERTIME_P)),
+        ("BusinessTravel", choice(TRAVEL)),
+        ("MaritalStatus", choice(MARITAL)),
+        ("NumCompaniesWorked", poisson(2.0, 10)),
+        ("TrainingTimesLastYear", poisson(3.0, 6)),
+        ("StockOptionLevel", weighted(STOCK_P)),
+        ("DistanceFromHome", exponential(1, 30, 5.0)),
+        ("Attrition", weighted(ATTRITION_P)),
+    ]
 
 
-def _clip_int(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(float(lo))), F.lit(float(hi))).cast("int")
+def _key(id_sql: str) -> str:
+    return f"CAST({id_sql} AS STRING)"
 
 
 def generate(ids: DataFrame, seed: int = 42, id_col: str = "id") -> DataFrame:
     """28-column synthetic employee table, one row per row of ``ids``."""
-    d = _Draws(seed)
+    columns = _columns()
     src = ids.select(F.col(id_col).alias(ID))
-    cols = [
-        ("Age", _clip_int(d.normal(35, 10), 18, 65)),
-        ("Gender", d.choice(GENDERS)),
-        ("Department", d.choice(DEPARTMENTS)),
-        ("JobRole", d.choice(JOB_ROLES)),
-        ("Education", d.choice(EDUCATION)),
-        ("EducationLevel", d.randint(1, 5)),
-        ("MonthlyIncome", F.exp(d.normal(8, 0.5)).cast("int")),
-        ("DailyRate", d.randint(100, 1500)),
-        ("HourlyRate", d.randint(15, 100)),
-        ("PercentSalaryHike", d.randint(0, 25)),
-        ("TotalWorkingYears", _clip_int(d.exponential(10), 0, 40)),
-        ("YearsAtCompany", _clip_int(d.exponential(5), 0, 40)),
-        ("YearsInCurrentRole", _clip_int(d.exponential(3), 0, 20)),
-        ("YearsSinceLastPromotion", _clip_int(d.exponential(2), 0, 15)),
-        ("YearsWithCurrManager", _clip_int(d.exponential(3), 0, 17)),
-        ("JobSatisfaction", d.randint(1, 5)),
-        ("EnvironmentSatisfaction", d.randint(1, 5)),
-        ("WorkLifeBalance", d.randint(1, 5)),
-        ("JobInvolvement", d.randint(1, 5)),
-        ("PerformanceRating", d.weighted(RATING_P)),
-        ("OverTime", d.weighted(OVERTIME_P)),
-        ("BusinessTravel", d.choice(TRAVEL)),
-        ("MaritalStatus", d.choice(MARITAL)),
-        ("NumCompaniesWorked", d.poisson(2, 10)),
-        ("TrainingTimesLastYear", d.poisson(3, 6)),
-        ("StockOptionLevel", d.weighted(STOCK_P)),
-        ("DistanceFromHome", _clip_int(d.exponential(5), 1, 30)),
-        ("Attrition", d.weighted(ATTRITION_P)),
-    ]
-    return src.select(F.col(ID), *[c.alias(n) for n, c in cols])
+    drawn = src.select(ID, *[F.expr(D.uniform(_key(ID), i, seed)).alias(f"_u{i}") for i in range(len(columns))])
+    return drawn.select(ID, *[F.expr(make(f"_u{i}")).alias(name) for i, (name, make) in enumerate(columns)])
+
+
+def generate_sql(ids_sql: str, seed: int = 42) -> str:
+    """``generate`` as DuckDB SQL over a query with the column ``_id``."""
+    columns = _columns()
+    drawn = ", ".join(f"{D.uniform(_key(ID), i, seed, D.DUCKDB)} AS _u{i}" for i in range(len(columns)))
+    made = ", ".join(f'{make(f"_u{i}")} AS {name}' for i, (name, make) in enumerate(columns))
+    return f"SELECT {ID}, {made} FROM (SELECT {ID}, {drawn} FROM ({ids_sql}))"
 
 
 def risk_hundredths(df: DataFrame, q25: float | None) -> Column:
@@ -144,7 +138,7 @@ def refine_labels(df: DataFrame, seed: int = 42, keep_score: bool = False) -> Da
     column ``_id`` of ``generate`` for its draws."""
     q25 = exact_quantile(df, "MonthlyIncome", 0.25)
     score = risk_hundredths(df, q25)
-    u = (F.pmod(F.xxhash64(F.col(ID), F.lit(-1), F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    u = F.expr(D.uniform(_key(ID), FLIP_STREAM, seed))
     a = F.col("Attrition")
     new = (F.when((F.col("_risk") > FLIP_UP_ABOVE) & (a == "No") & (u < F.col("_risk") / 100.0), F.lit("Yes"))
            .when((F.col("_risk") < FLIP_DOWN_BELOW) & (a == "Yes") & (u < FLIP_DOWN_P), F.lit("No"))
