@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from hrsight.ml.prep import LABEL, FeatureSpec, add_missing_columns, with_codes
 from hrsight.ml.train import TrainResult
 from hrsight.operators.lookup import with_employee_id
+from hrsight.operators.rowindex import with_index
 from hrsight.roles import Roles
 
 # Risk bands on the unrounded probability.
@@ -27,18 +28,22 @@ RISK_LEVELS = ("Low Risk", "Medium Risk", "High Risk")
 
 def predict(df: DataFrame, pipeline: PipelineModel, spec: FeatureSpec, roles: Roles | None = None,
             train_types: dict[str, str] | None = None, label_values: tuple[str, str] = ("No", "Yes"),
-            codes: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Per row: employee_id, index (when the frame has an ``index`` column), prediction, predicted_label, probability of
+            codes: dict[str, DataFrame] | None = None, index: bool = True) -> DataFrame:
+    """Per row: employee_id, index, prediction, predicted_label, probability of
     leaving (4 dp), risk level, risk score (percent, 1 dp) and confidence
-    max(p, 1 - p) (4 dp). Bands compare the unrounded probability."""
+    max(p, 1 - p) (4 dp). Bands compare the unrounded probability. ``index`` is
+    the frame's column of that name, else the dense number of
+    ``rowindex.with_index``; ``index=False`` spares its shuffle where the frame
+    has ids and nobody reads the number."""
     roles = Roles.of(roles)
-    src = with_employee_id(add_missing_columns(df, spec, train_types or {}), roles)
+    src = df if "index" in df.columns or not index else with_index(df)
+    src = with_employee_id(add_missing_columns(src, spec, train_types or {}), roles)
     if LABEL in src.columns:
         src = src.drop(LABEL)
     src = with_codes(src, codes or {})
     scored = pipeline.transform(src)
     return risk_columns(scored, vector_to_array(F.col("probability")).getItem(1), label_values,
-                        ["employee_id", *(["index"] if "index" in df.columns else [])])
+                        ["employee_id", *(["index"] if "index" in src.columns else [])])
 
 
 def risk_columns(scored: DataFrame, p: Column, label_values: tuple[str, str] = ("No", "Yes"),
@@ -56,10 +61,10 @@ def risk_columns(scored: DataFrame, p: Column, label_values: tuple[str, str] = (
         p.alias("probability"))
 
 
-def predict_with(result: TrainResult, df: DataFrame, roles: Roles | None = None, name: str | None = None
-                 ) -> DataFrame:
+def predict_with(result: TrainResult, df: DataFrame, roles: Roles | None = None, name: str | None = None,
+                 index: bool = True) -> DataFrame:
     return predict(df, result.pipeline(name), result.spec, roles, result.train_types, result.label_values,
-                   result.codes)
+                   result.codes, index)
 
 
 def risk_distribution(predictions: DataFrame) -> DataFrame:

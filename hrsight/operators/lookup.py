@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hrsight.functions.exprs import col
+from hrsight.operators.rowindex import with_index
 from hrsight.roles import SEARCH_COLUMNS, Roles
 
 
@@ -59,10 +60,11 @@ def department_search(df: DataFrame, query: str, roles: Roles | None = None) ->
 
 def with_employee_id(df: DataFrame, roles: Roles | None = None) -> DataFrame:
     """Add ``employee_id``: the id column, else ``EmployeeNumber``, else
-    ``Employee_<n>`` with a unique (not dense) generated number."""
+    ``Employee_<index>`` with the dense row number of ``rowindex.with_index``
+    (kept as ``index``, or taken from a column of that name)."""
     roles = Roles.of(roles)
     idc = roles.id_col(df)
     if idc is not None:
         return df.withColumn("employee_id", F.col(f"`{idc}`").cast("string"))
-    return df.withColumn("employee_id",
-                         F.concat(F.lit("Employee_"), F.monotonically_increasing_id().cast("string")))
+    numbered = df if "index" in df.columns else with_index(df)
+    return numbered.withColumn("employee_id", F.concat(F.lit("Employee_"), F.col("index").cast("string")))

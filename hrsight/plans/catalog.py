@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrsight.functions import draws
-from hrsight.operators import activity, describe, findings, lookup, profile, projection, scores
+from hrsight.operators import activity, describe, findings, lookup, profile, projection, rowindex, scores
 from hrsight.roles import Roles
 from hrsight.sources import synthetic
 from hrsight.sources.fixture import employee_view, table, with_emp
@@ -404,6 +404,22 @@ register("department_search", with_emp(
     lambda spark, sf: lookup.department_search(emp(spark, sf), "UR", ROLES))
 
 
+# ---- P16: row numbers and ids of a frame without an id ---------------------
+
+#: Columns of the view that repeat in many rows, and all of text or integers (one text in both engines).
+INDEXED = ["Gender", "Department", "JobRole", "Age", "NumCompaniesWorked", "OverTime"]
+_INDEX_SQL = f"""
+SELECT row_number() OVER (ORDER BY md5(concat({", ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR), ':', CAST({c} AS VARCHAR)) END"
+    for c in INDEXED)}))) - 1 AS "index", {", ".join(INDEXED)} FROM emp
+"""
+register("employee_index", with_emp(_INDEX_SQL))(
+    lambda spark, sf: rowindex.with_index(emp(spark, sf).select(*INDEXED)))
+register("employee_fallback_ids", with_emp(
+    f"SELECT *, concat('Employee_', CAST(\"index\" AS VARCHAR)) AS employee_id FROM ({_INDEX_SQL})"))(
+    lambda spark, sf: lookup.with_employee_id(emp(spark, sf).select(*INDEXED), ROLES))
+
+
 # ---- K8 / P17 on the events table -----------------------------------------
 
 register("activity_latest", """
@@ -481,13 +497,13 @@ register("ml_model_comparison")(_ml(lambda spark, sf, r: __import__(
 register("ml_roc")(_ml(lambda spark, sf, r: __import__("hrsight.ml.train", fromlist=["x"]).roc_curves(r)))
 
 
-def _scores_frame(spark, sf, r):
+def _scores_frame(spark, sf, r, counted=True):
     from hrsight.ml import score
-    return score.predict_with(r, emp(spark, sf), ROLES)
+    return score.predict_with(r, emp(spark, sf), ROLES, index=counted)
 
 
 register("ml_risk_distribution")(_ml(lambda spark, sf, r: __import__(
-    "hrsight.ml.score", fromlist=["x"]).risk_distribution(_scores_frame(spark, sf, r))))
+    "hrsight.ml.score", fromlist=["x"]).risk_distribution(_scores_frame(spark, sf, r, False))))
 register("ml_top_risk")(_ml(lambda spark, sf, r: __import__(
     "hrsight.ml.score", fromlist=["x"]).top_risk(_scores_frame(spark, sf, r), 100)))
 
