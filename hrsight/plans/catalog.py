@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from hrsight.functions import draws
+from hrsight.functions import draws, heavy
 from hrsight.operators import activity, describe, findings, lookup, profile, projection, rowindex, scores
 from hrsight.roles import Roles
 from hrsight.sources import synthetic
@@ -359,6 +359,16 @@ SELECT "column", unique_count, rank, value, n FROM ranked JOIN uniq USING ("colu
 
 # ---- W1 ------------------------------------------------------------------
 
+# K3 by verified candidates: a flag, keys of many values and one of near-unique values.
+_TOP = ["l_returnflag", "l_partkey", "l_suppkey", "l_orderkey"]
+register("top_values", """
+WITH long AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value FROM lineitem" for c in _TOP) + """),
+counts AS (SELECT "column", value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", CAST(rank AS INTEGER) AS rank, value, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank FROM counts) WHERE rank <= 5
+""")(lambda spark, sf: heavy.top_values(table(spark, sf, "lineitem"), _TOP))
+
+
 def _projection_sql(keys: list[str], periods: int = 12, noise_sd: float = 0.0, seed: int = 42) -> str:
     noise = "" if not noise_sd else " + " + draws.normal("u", 0.0, noise_sd)
     u = draws.uniform(projection.noise_key(keys).replace("`", ""), projection.NOISE_STREAM, seed, draws.DUCKDB)
