@@ -1,5 +1,6 @@
 import itertools
 import os
+import uuid
 import tempfile
 
 import pytest
@@ -112,6 +113,32 @@ def test_logs_append_and_read(spark):
     assert logs.read_log(spark, rpath, logs.REPORT_SCHEMA).collect()[0]["format"] == "json"
 
 
+def test_repeated_and_half_written_appends_count_once(spark):
+    path = scratch_path(spark, f"test-once-{uuid.uuid4().hex}")
+    rows = spark.range(50).select(F.col("id").cast("string").alias("id"), F.lit(3).cast("bigint").alias("user_id"))
+    schema = "id string, user_id bigint"
+    assert logs.append_once(rows, path, "w1") and not logs.append_once(rows, path, "w1")
+    # an attempt that died before its commit, and one with the data of another writer of the same id committed later
+    rows.write.parquet(f"{path}/attempt={'0' * 32}")
+    assert logs.read_log(spark, path, schema).count() == 50
+    late = "f" * 32
+    rows.write.parquet(f"{path}/attempt={late}")
+    (spark.createDataFrame([("w1", late, 50)], "write_id string, attempt string, n bigint")
+     .withColumn("committed", F.current_timestamp()).write.mode("append").parquet(f"{path}/{logs.COMMITS}"))
+    assert logs.read_log(spark, path, schema).count() == 50
+    assert logs.append_once(rows.limit(7), path, "w2") and logs.append_once(rows.limit(0), path, "w3")
+    assert not logs.append_once(rows, path, "w3")
+    got = logs.read_log(spark, path, schema)
+    assert got.count() == 57 and got.columns == ["id", "user_id"]
+    assert sorted((r["write_id"], r["n"]) for r in logs.commits(spark, path).collect()) == [("w1", 50), ("w2", 7), ("w3", 0)]
+    other = scratch_path(spark, f"test-once-{uuid.uuid4().hex}")
+    assert logs.log_activity(spark, other, 1, "upload", "a.csv", "x", write_id="u1")
+    assert not logs.log_activity(spark, other, 1, "upload", "a.csv", "x", write_id="u1")
+    assert logs.log_activity(spark, other, 1, "upload", "a.csv", "x")
+    ids = [r["id"] for r in logs.read_log(spark, other).collect()]
+    assert len(ids) == 2 == len(set(ids))
+
+
 def test_json_entries_default(spark):
     d = tempfile.mkdtemp(prefix="hrsight-test-")
     good = os.path.join(d, "h.json")
