@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hrsight.functions.exprs import col, count_if, group_cols, label_flag, pct, rate, rnd
 from hrsight.functions.quantiles import exact_quantiles, grouped_quantiles
+from hrsight.operators import sketches
 from hrsight.roles import Roles
 
 
@@ -81,12 +82,15 @@ def department_metrics(df: DataFrame, roles: Roles | None = None, by: str | Iter
             .withColumn("band", band(F.col("attrition_rate"))))
 
 
-def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None) -> DataFrame:
+def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str] | None = None,
+             distinct: str = "exact") -> DataFrame:
     """Workforce overview: headcount, distinct departments and roles, mean
     age (1 dp), income (0 dp), tenure (1 dp), attrition rate.
 
     The data is aggregated once per (group, department, role); distinct counts
-    and means are then taken over that small frame."""
+    and means are then taken over that small frame. Where departments or roles
+    are free text, that frame isn't small: ``distinct="approx"`` takes the two
+    counts from sketches (``sketches.relative_error``) in one aggregation."""
     roles = Roles.of(roles)
     keys = group_cols(by)
     flag = label_flag(df, roles)
@@ -100,8 +104,19 @@ def overview(df: DataFrame, roles: Roles | None = None, by: str | Iterable[str]
             parts += [F.sum(col(names[r]).cast("double")).alias(f"sum_{r}"), F.count(col(names[r])).alias(f"n_{r}")]
     per = df.groupBy(*inner).agg(*parts)
     none = F.lit(None).cast("double")
+    if distinct == "approx":
+        # one row is one person: the same expressions on a frame that isn't aggregated before
+        per = df.select(*inner, F.lit(1).alias("n"), *([flag.cast("bigint").alias("leavers")] if flag is not None else [F.lit(0).alias("leavers")]),
+                        *[e for r in means if names[r] for e in (col(names[r]).cast("double").alias(f"sum_{r}"),
+                                                                 col(names[r]).isNotNull().cast("int").alias(f"n_{r}"))])
+
+    def count(r: str):
+        if distinct == "approx":
+            return F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"_{r}").cast("string"), F.lit(sketches.LG_REGISTERS)))
+        return F.count_distinct(f"_{r}")
+
     out = [F.coalesce(F.sum("n"), F.lit(0)).alias("total_employees"),
-           *[(F.count_distinct(f"_{r}") if names[r] else F.lit(0)).cast("long").alias(alias) for r, alias in dims.items()],
+           *[(count(r) if names[r] else F.lit(0)).cast("long").alias(alias) for r, alias in dims.items()],
            *[(rnd(F.try_divide(F.sum(f"sum_{r}"), F.sum(f"n_{r}").cast("double")), d) if names[r] else none).alias(f"avg_{r}")
              for r, d in means.items()],
            pct(F.coalesce(F.sum("leavers"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).alias("attrition_rate")]

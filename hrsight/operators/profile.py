@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from hrsight.functions import heavy
 from hrsight.functions.exprs import categorical_columns, count_if, numeric_columns, pct, rnd
 from hrsight.functions.quantiles import exact_quantiles
+from hrsight.operators import sketches
 
 
 def _stack(items, names) -> "F.Column":
@@ -61,13 +63,22 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
                                   for k in ("mean", "std", "min", "max", "median")]))
 
 
-def categorical_profile(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> DataFrame:
+def categorical_profile(df: DataFrame, columns: list[str] | None = None, top: int = 5,
+                        distinct: str = "exact") -> DataFrame:
     """Per text column: distinct count (NULLs out) and the ``top`` most
-    frequent values (count desc, then value), one row per (column, rank)."""
+    frequent values (count desc, then value), one row per (column, rank).
+
+    ``distinct="approx"`` takes the distinct count from sketches
+    (``sketches.relative_error``); the top values, always exact, then come from
+    ``heavy.top_values``, which shuffles candidates only."""
     cols = columns or categorical_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column string, unique_count long, rank int, value string, n long")
+    if distinct == "approx":
+        uniq = sketches.distinct_counts(sketches.distinct_states(df, cols)).select("column", F.col("n_distinct").alias("unique_count"))
+        return (heavy.top_values(df, cols, top).join(uniq, "column").select("column", "unique_count", "rank", "value", "n")
+                .orderBy("column", "rank"))
     long = df.select(_stack([(F.lit(c), F.col(f"`{c}`").cast("string")) for c in cols],
                             ["column", "value"]).alias("s")).select("s.*").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hrsight.functions import draws, heavy
-from hrsight.operators import activity, describe, findings, lookup, profile, projection, rowindex, scores
+from hrsight.operators import activity, describe, findings, lookup, profile, projection, rowindex, scores, sketches
 from hrsight.roles import Roles
 from hrsight.sources import synthetic
 from hrsight.sources.fixture import employee_view, table, with_emp
@@ -369,6 +369,49 @@ SELECT "column", CAST(rank AS INTEGER) AS rank, value, n FROM (
 """)(lambda spark, sf: heavy.top_values(table(spark, sf, "lineitem"), _TOP))
 
 
+# A3 by sketches: states of every event type, united; the exact counts lie within the stated bounds.
+_COUNTED = ["user_id", "props", "event_id"]
+
+
+def _sketched(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events")
+    near = sketches.distinct_counts(sketches.distinct_states(events, _COUNTED, "event_type"))
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in _COUNTED]).select(F.explode(F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_exact")) for c in _COUNTED])).alias("s")).select("s.*")
+    return near.join(exact, "column").select("column", "n", "n_exact", F.col("n_exact").between(F.col("low"), F.col("high")).alias("within"))
+
+
+register("distinct_sketches", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS n_exact, true AS within FROM events" for c in _COUNTED))(_sketched)
+
+
+def _log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as log rows, appended in two writes by event type and once more under the same ids, with a write
+    that is never committed between; then read back."""
+    import uuid
+
+    from hrsight.session import scratch_path
+    from hrsight.sources import logs
+    path = scratch_path(spark, f"log-roundtrip-{uuid.uuid4().hex}")
+    events = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"), "user_id", F.col("event_type").alias("action"),
+        F.lit("events").alias("dataset_name"), F.col("props").alias("details"), F.col("ts").cast("timestamp").alias("timestamp"))
+    for turn in range(2):
+        for part in (0, 1):
+            logs.append_once(events.where(F.pmod(F.xxhash64("action"), F.lit(2)) == part), path, f"part-{part}")
+        if turn == 0:
+            events.write.parquet(f"{path}/attempt={uuid.uuid4().hex}")
+    return logs.read_log(spark, path).groupBy("action").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("user_id").alias("users"),
+        F.count("details").alias("with_details"))
+
+
+register("log_roundtrip", """
+SELECT event_type AS action, count(*) AS n, count(DISTINCT event_id) AS ids, count(DISTINCT user_id) AS users,
+  count(props) AS with_details FROM events GROUP BY event_type
+""")(_log_roundtrip)
+
+
 def _projection_sql(keys: list[str], periods: int = 12, noise_sd: float = 0.0, seed: int = 42) -> str:
     noise = "" if not noise_sd else " + " + draws.normal("u", 0.0, noise_sd)
     u = draws.uniform(projection.noise_key(keys).replace("`", ""), projection.NOISE_STREAM, seed, draws.DUCKDB)
