@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = _stars(placed, [F.struct("met", "node", "label", "size")], percent)
     links = saved(_confirmed(edges, texts, percent), "links", parts)
     comp = components(involved, links)
-    rest = saved(_by_rare_shingles(placed.select("key", "node", "size").join(comp, "node"), texts, percent), "rest", parts)
+    rest = saved(_by_rare_shingles(placed.select("key", "node", "size").join(comp, "node"), texts, percent), "rest")
     turn = 0
     while True:
         turn += 1
@@ -176,28 +176,40 @@ def _stars(placed, draws, percent):
 def _across(rest, comp, percent):
     """Edges (a, b): in every bucket, each member outside the largest component with every member of another component.
 
-    Both sides are dealt out in blocks, so no task gets a whole bucket. Pairs go that can't be similar enough by
+    Both sides are dealt out in blocks, so no task gets a whole bucket. The smaller set of a pair meets the larger one
+    only by its index shingles, the first size - ceil(2 * percent * size / (100 + percent)) + 1 of the common order: a
+    pair that is similar enough shares at least 2 * percent * size / (100 + percent) shingles, size being the smaller
+    one's, so the first shared one is among them. Pairs go that can't be similar enough by
     their sizes, or by what is left of both sets behind the bucket's shingle: right at the first shingle of the
     common order that two sets share, so a pair that is similar enough stays in that bucket at least."""
-    placed = rest.join(comp, "node")
-    main = (placed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key")
-            .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    index = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)) + 1
+    placed = rest.join(comp, "node").withColumn("index", F.col("at") <= index)
+    # a bucket without index rows, or with only one component, holds no pair
+    main = (placed.groupBy("key", "label").agg(F.count("*").alias("n"), F.max("index").alias("index")).groupBy("key")
+            .agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("index").alias("index"))
+            .where("labels > 1 AND index")
             .select("key", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("few"),
                     F.ceil(F.col("n") / BLOCK).alias("many")))
     marked = placed.join(main, "key").select(
-        "key", "few", "many", F.struct("node", "label", "size", "at", (F.col("label") == F.col("main")).alias("main")).alias("m"))
+        "key", "few", "many", F.struct("node", "label", "size", "at", "index", (F.col("label") == F.col("main")).alias("main")).alias("m"))
     block = lambda n: F.pmod(F.xxhash64("m.node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     few = marked.where("NOT m.main").select("key", block("few").alias("row"), every("many").alias("column"), F.col("m").alias("x"))
     many = marked.select("key", every("few").alias("row"), block("many").alias("column"), F.col("m").alias("y"))
     behind = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
-    return (few.join(many, ["key", "row", "column"])
-            .where("x.label != y.label AND (y.main OR x.node < y.node)")
+    return (_meetings(few, many).where("x.label != y.label AND (y.main OR x.node < y.node)")
             .where(F.least("x.size", "y.size") * 100 >= F.greatest("x.size", "y.size") * percent)
             .where((behind + 1) * (100 + percent) >= (F.col("x.size") + F.col("y.size")) * percent)
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
 
+def _meetings(few, many):
+    """Pairs of rows x, y of one block of a bucket of which an index row is the smaller; sets of one size meet in either place."""
+    at = ["key", "row", "column"]
+    return (few.where("x.index").join(many, at).where("x.size <= y.size")
+            .unionByName(few.join(many.where("y.index"), at).where("y.size <= x.size")))
+
+
 def _by_rare_shingles(placed, texts, percent):
     """(key, node, size, at): exact buckets for the members that the first stars left undecided.
 

@@ -127,6 +127,32 @@ def test_no_link_is_left_to_chance(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_form_letters_do_not_all_meet(spark, monkeypatch):
+    """Letters of one template that are not similar enough share buckets of bands, but no index shingle; real copies
+    among them are still found."""
+    rng = random.Random(33)
+    template = [f"t{i}" for i in range(180)]
+    rows = []
+    for i in range(400):
+        t = template + [f"own{i}_{j}" for j in range(30)]
+        rows.append((2 * i, " ".join(t)))
+        if i % 80 == 0:
+            t[rng.randrange(100)] = "edit"
+            rows.append((2 * i + 1, " ".join(t)))
+    meetings, met = near_dup._meetings, []
+
+    def counted(few, many):
+        out = meetings(few, many)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "_meetings", counted)
+    got = sorted(tuple(r)[:4] for r in near_dup.near_duplicates(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == brute(rows)
+    assert met and sum(met) < 1000
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, "A B C D"), (8, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(
