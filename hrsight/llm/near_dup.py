@@ -236,7 +236,9 @@ def _by_rare_shingles(placed, texts, percent):
         "key", "s1", "s2", "size", F.row_number().over(own.orderBy("n", "key")).alias("at"), F.count("*").over(own).alias("shared"))
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     ranked = ranked.withColumn("at", F.col("at") + F.col("size") - F.col("shared"))
-    return ranked.where(F.col("at") <= prefix).select("key", F.struct("s1", "s2").alias("node"), "size", "at")
+    found = ranked.where(F.col("at") <= prefix).select("key", F.struct("s1", "s2").alias("node"), "size", "at")
+    # the table is read in every round: as many files as its rows call for, dealt out behind the shuffle that ranks them
+    return found.repartition(max(6, rows.count() // ROWS_PER_TASK), "key", "node")
 
 
 def _sets_of(src, nodes, involved, k, lower):
