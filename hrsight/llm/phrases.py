@@ -42,7 +42,9 @@ from hrsight.llm.textnp import _BASE, _INV, _LOWER, U64, mix64, powers
 
 SIEVE_BITS, BLOCK_BITS = 26, 15
 #: Rows that a task holds before it passes them on; bytes laid out at a time; bytes of a word that is hashed by itself.
-HELD, STRETCH, LONG_WORD = 400_000, 1 << 20, 1 << 16
+HELD, STRETCH, LONG_WORD = 400_000, 1 << 18, 1 << 16
+#: Characters of text whose words are in arrays at a time, and rows that are Python texts at a time.
+PART, ROWS = 1 << 20, 500
 KEY = ["c1", "c2", "c3", "c4"]
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -201,11 +203,9 @@ class Sums:
 
 def _parts(batches):
     for batch in batches:
-        langs = batch.column(1).to_pylist()
-        at = 0
-        for part, texts in pieces(batch, "text"):
-            yield texts, langs[at:at + len(texts)]
-            at += len(texts)
+        for first in range(0, batch.num_rows, ROWS):
+            for part, texts in pieces(batch.slice(first, ROWS), "text", PART):
+                yield texts, part.column(1).to_pylist()
 
 
 # ---- sieve ----

@@ -154,3 +154,28 @@ def test_edges(spark):
     assert made(frame, least=2) == brute(rows, 2)
     assert made(frame.limit(0)) == []
     assert made(spark.createDataFrame([(None, None)], SCHEMA)) == []
+
+
+def test_memory_of_a_batch_is_bounded():
+    """The arrays of words are those of a small part of a batch, whatever its rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choices(names, k=300)) if i % 50 else None for i in range(5000)]
+    langs = [f"l{i % 3}" for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(langs)], names=["text", "lang"])
+    table = np.full(1 << phrases.SIEVE_BITS - 3, 255, np.uint8)
+    met = []
+    tracemalloc.start()
+    for part, of in phrases._parts([batch]):
+        h, piece, *_ = phrases.words(part, of)
+        linked = phrases.frequent_links(h, piece, table)
+        phrases.longest_grams(h, linked, *(phrases.frequent_grams(h, linked, n, table)[0] for n in (3, 4)))
+        met += [hash(x) for x in zip(part, of)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert met == [hash(x) for x in zip(texts, langs)]
+    assert peak < 70e6
