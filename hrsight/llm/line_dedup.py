@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hrsight.llm.tasks import drop, fresh, map_arrow, saved
+from hrsight.llm.tasks import LAID_OUT, drop, fresh, map_arrow, saved
 from hrsight.llm.textnp import _BASE, _INV, U64, mix64, powers, words_of
 
 
@@ -81,7 +81,7 @@ def _line_rows(docs, min_words):
                "halves": [[] if m < min_words else k if m % 2 == 0 else k[:2] for k, m in zip(keys, n.tolist())]}
 
     id_type = docs.schema["id"].dataType.simpleString()
-    return map_arrow(docs, "text", split, f"hash bigint, id {id_type}, copy bigint, line int, halves array<bigint>")
+    return map_arrow(docs, "text", split, f"hash bigint, id {id_type}, copy bigint, line int, halves array<bigint>", LAID_OUT)
 
 
 def _variants(batch, texts):
@@ -120,7 +120,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     bodies = map_arrow(src.join(per_doc, ["id", "copy"]).select("text", "lines"), "text", cut_out, "hash bigint, body string")
     bodies = saved(bodies.groupBy("hash").agg(F.min("body").alias("body")), "bodies")
-    variants = saved(map_arrow(bodies, "body", _variants, "key bigint, place int, hash bigint"), "variants")
+    variants = saved(map_arrow(bodies, "body", _variants, "key bigint, place int, hash bigint", LAID_OUT), "variants")
     # a key that one variant has joins nothing
     met = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = saved(variants.join(met, "key", "left_semi").join(wanted, "hash"), "met")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hrsight.llm.graph import ROWS_PER_TASK, components, merged
-from hrsight.llm.tasks import drop, map_arrow, saved
+from hrsight.llm.tasks import LAID_OUT, drop, map_arrow, saved
 from hrsight.llm.textnp import U64, gram_hashes, mix64, words_of
 
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                "bands": lists}
 
     rows_ = saved(map_arrow(hashed, "text", sketch, f"id {id_type}, text_hash bigint, n_shingles bigint, s1 bigint, "
-                            "s2 bigint, bands array<bigint>"), "sketch")
+                            "s2 bigint, bands array<bigint>", LAID_OUT), "sketch")
     # one node for each distinct set; its number stands for its 128-bit fingerprint
     real = rows_.where("n_shingles > 0 and id is not null")
     nodes = real.groupBy("s1", "s2").agg(F.min("id").alias("id"))
@@ -251,7 +251,7 @@ def _sets_of(src, nodes, involved, k, lower):
         yield {"s1": keys[:, 0], "s2": keys[:, 1], "grams": [s.tobytes() for s in sets]}
 
     found = map_arrow(src.join(wanted.distinct(), "id", "left_semi").select("text"), "text", collect,
-                      "s1 bigint, s2 bigint, grams binary")
+                      "s1 bigint, s2 bigint, grams binary", LAID_OUT)
     return (found.select(F.struct("s1", "s2").alias("node"), "grams").join(involved, "node", "left_semi")
             .groupBy("node").agg(F.min("grams").alias("grams")))
 

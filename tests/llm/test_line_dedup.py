@@ -108,3 +108,26 @@ def test_nulls_repeats_and_empty(spark):
         spark.createDataFrame(rows, "doc_id int, text string")).collect())
     assert got == [("2", []), ("2", []), ("3", [0]), ("4", []), ("None", [])]
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def test_memory_of_a_batch_is_bounded(spark, monkeypatch):
+    """Lines are laid out in small parts of a batch, whatever its rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from hrsight.llm import tasks
+
+    got = {}
+    monkeypatch.setattr(line_dedup, "map_arrow", lambda df, text, fn, ddl, limit=tasks.PIECE_BYTES: got.update(fn=fn, limit=limit))
+    line_dedup._line_rows(spark.createDataFrame([], "id bigint, copy bigint, text string"), 5)
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(2000)]
+    texts = ["\n".join(" ".join(rng.choices(names, k=12)) for _ in range(30)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array(texts)], names=["id", "copy", "text"])
+    tracemalloc.start()
+    lines = sum(len(rows["hash"]) for part, of in tasks.pieces(batch, "text", got["limit"]) for rows in got["fn"](part, of))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lines == 120_000
+    assert peak < 90e6
