@@ -223,3 +223,14 @@ def test_compiled_model_equals_transform(spark, four_models, name):
     con.register("rows", pdf)
     other = {r[0]: r[1] for r in con.execute(card.sql("rows", ["EmployeeID"], "duckdb")).fetchall()}
     assert other.keys() == want.keys() and max(abs(other[k] - want[k]) for k in want) < 1e-9
+
+
+def test_forest_with_kept_nodes_grows_the_same_trees(spark):
+    from pyspark.ml.linalg import Vectors
+    rows = [(Vectors.dense([i * 37 % 101, i * 11 % 17, i * i % 29]), float(i * i % 7 < 2), 1.0 + (i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, ["features", "label", "class_weight"]).coalesce(2).cache()
+    est = train.make_estimator("Random Forest", 600, {"numTrees": 4, "maxDepth": 12})
+    assert est.getCacheNodeIds()
+    kept, walked = est.fit(df), est.copy({est.cacheNodeIds: False}).fit(df)
+    assert max(t.depth for t in kept.trees) > 10
+    assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
