@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,14 @@ def test_forest_with_kept_nodes_grows_the_same_trees(spark):
     kept, walked = est.fit(df), est.copy({est.cacheNodeIds: False}).fit(df)
     assert max(t.depth for t in kept.trees) > 10
     assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_test_rows_are_scored_once_for_metrics_and_roc(spark, four_models):
+    _, res = four_models
+    assert res.scored.keys() == res.models.keys()
+    assert all(s.storageLevel.useMemory for s in res.scored.values())
+    got = train.roc_curves(replace(res, models={}, test=None))  # needs neither models nor test rows again
+    name = "Random Forest"
+    want = evaluate.roc_points(evaluate.with_probability(res.models[name].transform(res.test)))
+    assert sorted(map(tuple, got.where(F.col("model") == name).drop("model").collect())) == sorted(map(tuple, want.collect()))
+    assert {r.model for r in got.select("model").distinct().collect()} == {"Random", *res.models}
