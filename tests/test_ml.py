@@ -1,4 +1,5 @@
 from dataclasses import replace
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,22 @@ def test_test_rows_are_scored_once_for_metrics_and_roc(spark, four_models):
     want = evaluate.roc_points(evaluate.with_probability(res.models[name].transform(res.test)))
     assert sorted(map(tuple, got.where(F.col("model") == name).drop("model").collect())) == sorted(map(tuple, want.collect()))
     assert {r.model for r in got.select("model").distinct().collect()} == {"Random", *res.models}
+
+
+def test_medians_of_many_columns_are_exact_without_narrowing(spark, monkeypatch):
+    """24 order statistics of 900,000 rows fit the shared budget of 100,000 fetched rows; the medians stay exact."""
+    from hrsight.ml import prep
+    rows = [((i * 7919 % 10007) / 7.0, float(i % 13), float(i % 2), "Yes" if i % 3 else "No") for i in range(4000)]
+    df = labelled(spark.createDataFrame(rows, "x double, y double, z double, Attrition string"), Roles.of())
+    seen, found = {}, {}
+
+    def spy(frame, wanted, **kw):
+        seen.update(kw)
+        found.update(prep_quantiles(frame, wanted, **kw))
+        return found
+
+    prep_quantiles = prep.exact_quantiles
+    monkeypatch.setattr(prep, "exact_quantiles", spy)
+    fit_preparation(df, candidate_features(df, Roles.of()))
+    assert 8 * 900_000 / seen.get("sketch_accuracy", 1_000) <= 100_000 / 24
+    assert found == {c: [median(r[i] for r in rows)] for i, c in enumerate("xyz")}
